@@ -1,0 +1,17 @@
+"""All registered queries of the library, by operator name, with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+FLAGSHIP = ""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
