@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import parsing, quality, toxicity
 from plumbline.llm.common import documents
 from plumbline.llm.pieces import encode_decode
 from plumbline.llm.simhash import near_duplicates
@@ -18,6 +19,25 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _held_out(mod: int, rest: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
+
+
+def _judged(scores: DataFrame, mod: int, rest: int) -> DataFrame:
+    got = scores.withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", _held_out(mod, rest).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _judged(toxicity.score(docs, toxicity.train(docs, labels, ~_held_out(4, 2))), 4, 2)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _judged(quality.score(docs, quality.train(docs, labels, ~_held_out(5, 0))), 5, 0)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -28,8 +48,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_locally_consistent_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.compared(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_sentencepiece": op8_sentencepiece}
+    """The contract's queries, by name."""
+    made = (op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op10_locally_consistent_fingerprints)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
