@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import parsing, quality, toxicity
+from plumbline.llm import linededup, mixing, parsing, quality, toxicity
 from plumbline.llm.common import documents
 from plumbline.llm.pieces import encode_decode
 from plumbline.llm.simhash import near_duplicates
@@ -52,11 +52,29 @@ def op10_locally_consistent_fingerprints(spark: SparkSession, sf_dir: str) -> Da
     return parsing.compared(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_repeated_lines(documents(spark, sf_dir)).select("doc_id", "text", "lines_before", "lines_removed")
+
+
+#: The mix: a source's number mod 4 is its domain; weights of domains, of languages in each, of sources in each of those.
+MIX_DOMAIN = F.concat(F.lit("d"), F.regexp_extract("source", "([0-9]+)", 1).try_cast("int") % 4)
+MIX_WEIGHTS = {"domain": F.when(F.col("domain") == "d0", 4).when(F.col("domain") == "d1", 3).when(F.col("domain") == "d2", 2).otherwise(1), "lang": F.when(F.col("lang") == "en", 3).when(F.col("lang").isin("de", "fr"), 2).otherwise(1), "source": F.lit(1)}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 1.0, 2, 7
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs, MIX_DOMAIN, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract's queries, by name."""
-    made = (op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op10_locally_consistent_fingerprints)
+    made = (op3_line_dedup, op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op9_mixing, op10_locally_consistent_fingerprints)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": linededup.ORACLE, "op9_mixing": mixing.oracle("CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END", "CASE WHEN lang = 'en' THEN 3 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END", "1", MIX_SHARE, MIX_EPOCHS, MIX_SEED)}
