@@ -93,6 +93,13 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], share: floa
     return placed.select("id", *LEVELS, "tokens", (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("int")).cast("int").alias("copies"))
 
 
+def taken(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them. Rows that repeat an id are taken as often as the most taken of them."""
+    most = copies.groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies")).where(F.col("__copies") > 0)
+    met = docs.join(most, docs[id_col].eqNullSafe(most["__id"]))
+    return met.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 def oracle(domain_weight: str, lang_weight: str, source_weight: str, share: float, epochs: int, seed: int) -> str:
     """The same in DuckDB's SQL over ``documents``, a source's number mod 4 being its domain; prefix sums run over whole leaves."""
 

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import doc_frame, skew_join, slices, written
@@ -198,3 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("members"))
     named = skew_join(rooted.select("fp", "w", "root"), lowest, "root", "members", n, "fp", "inner")
     return skew_join(prints, named.select("fp", "w", "component"), "fp", "w", total, "id", "inner")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near-duplicates: those with its smallest id, and of rows that repeat that id one.
+
+    Rows without an id cannot stand for others and stay.
+    """
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius)
+    stay = found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("__n")).withColumnRenamed("id", "__id")
+    met = docs.join(stay, docs[id_col] == stay["__id"], "left").where(F.col("__n").isNotNull() | F.col(id_col).isNull())
+    # only ids that repeat need their rows set in an order
+    again = met.where(F.col("__n") > 1).withColumn("__k", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col("__k") == 1).drop("__k")
+    return met.where(F.col("__n").isNull() | (F.col("__n") == 1)).unionByName(again).select(*docs.columns)

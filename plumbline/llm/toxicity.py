@@ -149,12 +149,12 @@ class Network:
         return d
 
     def fit(self, texts: list[str], labels: np.ndarray, steps: int = 420, rate: float = 0.015, seed: int = 1) -> None:
-        """Adam on batches of 16 texts, the same number of steps whatever the sample's size."""
+        """Adam on batches of 16 texts: the same number of steps whatever the sample's size, but 24 rounds at most."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, size = 0, 16
-        total = steps
+        total = steps = min(steps, 24 * -(-len(texts) // size))
         for _ in range(-(-steps // -(-len(texts) // size))):
             order = r.permutation(len(texts))
             for lo in range(0, len(order), size):
@@ -226,3 +226,14 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(b.column(1).to_pylist()))], ["id", "score"])
 
     return doc_frame(docs, id_col, text_col).mapInArrow(run, "id long, score double")
+
+
+def kept(docs: DataFrame, net: Network, below: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score less than ``below``, all columns as they are; nothing is shuffled. Null texts are scored as empty."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(net.score([t or "" for t in b.column(at).to_pylist()]) < below))
+
+    return docs.mapInArrow(run, docs.schema)
