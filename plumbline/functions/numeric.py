@@ -83,4 +83,4 @@ def strict_utc(s: Column) -> Column:
 
 
 def hours_between(a: Column, b: Column) -> Column:
-    return (F.unix_micros(b) - F.unix_micros(a)) / 3.6e9
+    return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 3.6e9
