@@ -142,14 +142,14 @@ def s10_root_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(F.split("root", "/")[0].alias("grp")).agg(F.count("*").alias("roots"), F.count_if(F.col("root").contains("widget")).alias("widgets"))
 
 
-@query(f"WITH {GRID}, c AS (SELECT g.surface, g.row, g.col, u.a, u.b FROM grid g, (VALUES (0.25::DOUBLE, 0.5::DOUBLE)) u(a, b)), s AS (SELECT c.surface, c.row, c.col, count(*) FILTER (valid) AS n, sum((CASE WHEN g.row = c.row THEN 1 - a ELSE a END) * (CASE WHEN g.col = c.col THEN 1 - b ELSE b END) * z) AS z FROM c JOIN grid g ON g.surface = c.surface AND g.row - c.row BETWEEN 0 AND 1 AND g.col - c.col BETWEEN 0 AND 1 GROUP BY ALL) SELECT surface, row, col, round(CASE WHEN n = 4 THEN z END, 4) AS z FROM s")
+@query(f"WITH {GRID}, c AS (SELECT g.surface, g.row, g.col, u.a, u.b FROM grid g, (VALUES (0.25::DOUBLE, 0.5::DOUBLE)) u(a, b)), s AS (SELECT c.surface, c.row, c.col, count(*) FILTER (valid) AS n, sum((CASE WHEN g.row = c.row THEN 1 - a ELSE a END) * (CASE WHEN g.col = c.col THEN 1 - b ELSE b END) * z) AS z FROM c JOIN grid g ON g.surface = c.surface AND g.row - c.row BETWEEN 0 AND 1 AND g.col - c.col BETWEEN 0 AND 1 GROUP BY ALL) SELECT surface, row, col, round(CASE WHEN n = 4 THEN z END, 8) AS z FROM s")
 def j17_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surface at a quarter down and half across each cell; NULL unless all four corners are valid."""
     g = grid(spark, sf_dir).select("surface", "row", "col", "z", "valid")
     corner = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit((0.25 if i else 0.75) * 0.5).alias("w")) for i in (0, 1) for j in (0, 1)])
     moved = g.select("surface", "row", "col", "z", "valid", F.explode(corner).alias("c")).select("surface", (F.col("row") - F.col("c.i")).alias("row"), (F.col("col") - F.col("c.j")).alias("col"), (F.col("z") * F.col("c.w")).alias("wz"), "valid")
     s = moved.groupBy("surface", "row", "col").agg(F.count_if("valid").alias("n"), F.sum("wz").alias("s"))
-    return g.select("surface", "row", "col").join(s, ["surface", "row", "col"]).select("surface", "row", "col", F.round(F.when(F.col("n") == 4, F.col("s")), 4).alias("z"))
+    return g.select("surface", "row", "col").join(s, ["surface", "row", "col"]).select("surface", "row", "col", F.round(F.when(F.col("n") == 4, F.col("s")), 8).alias("z"))
 
 
 @query(f"""WITH {VOXELS}, r AS (SELECT volume, chunk, y, x, z, v > 100 AS pred, ct > 0 AS ct FROM voxels), g AS (SELECT *, z - row_number() OVER (PARTITION BY volume, chunk, y, x ORDER BY z) AS g FROM r WHERE pred AND ct), k AS (SELECT volume, chunk, y, x, min(z) AS first, count(*) AS length FROM g GROUP BY volume, chunk, y, x, g) SELECT volume, chunk, y, x, min(first) AS first, arg_min(length, first) AS length FROM k GROUP BY ALL""")
