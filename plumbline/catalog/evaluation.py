@@ -7,6 +7,7 @@ from plumbline.catalog.fixtures import ENSEMBLE, EVALUATED, SCORED, ensemble, ev
 from plumbline.catalog.registry import query
 from plumbline.catalog.samples import _draw
 from plumbline.catalog.voxels import _rounded
+from plumbline.functions.numeric import correlation
 from plumbline.operators import evaluation as op
 
 
@@ -213,10 +214,10 @@ def a72_modal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("k", k).where("k = 1").select("event_type", F.col("v").alias("mode"), "n")
 
 
-@query("""WITH h AS (SELECT label, quality, toxic, lang FROM documents d JOIN (SELECT doc_id, quality, toxic, quality * 2 + toxic AS label FROM labels) USING (doc_id)) SELECT lang, count(*) AS n, round(avg(toxic), 6) AS rate, CASE WHEN count(*) >= 4 THEN round(corr(quality, toxic), 6) END AS corr FROM h GROUP BY lang""")
+@query("""WITH h AS (SELECT label, quality, toxic, lang FROM documents d JOIN (SELECT doc_id, quality, toxic, quality * 2 + toxic AS label FROM labels) USING (doc_id)) SELECT lang, count(*) AS n, round(avg(toxic), 6) AS rate, CASE WHEN count(*) >= 4 AND stddev_pop(quality) > 0 AND stddev_pop(toxic) > 0 THEN round(corr(quality, toxic), 6) END AS corr FROM h GROUP BY lang""")
 def a63_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return _rounded(h.groupBy("lang").agg(F.count("*").alias("n"), F.avg("toxic").alias("rate"), F.when(F.count("*") >= 4, F.corr("quality", "toxic")).alias("corr")))
+    return _rounded(h.groupBy("lang").agg(F.count("*").alias("n"), F.avg("toxic").alias("rate"), F.when(F.count("*") >= 4, correlation("quality", "toxic")).alias("corr")))
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, quality, {_draw("'bal'", 'doc_id')} AS h FROM documents JOIN labels USING (doc_id)), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM d GROUP BY lang, quality)), k AS (SELECT *, row_number() OVER (PARTITION BY lang, quality ORDER BY h, doc_id) AS k FROM d) SELECT doc_id, lang, quality FROM k, m WHERE k <= m""")

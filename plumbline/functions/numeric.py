@@ -17,6 +17,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's coefficient as an aggregate; NULL without variance, where the built-in raises."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import hash_draw, ratio
+from plumbline.functions.numeric import correlation, hash_draw, ratio
 
 
 def even_spread(n: Column, k: int) -> Column:
@@ -113,7 +113,7 @@ def correlations(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Spearman (average ranks) and Pearson by group; NULL for fewer than three rows or no variance."""
     r = average_rank(average_rank(df, keys, a, "__ra"), keys, b, "__rb")
     fine = lambda x, y, c: F.when((F.count("*") >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), c)
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), fine(a, b, F.corr("__ra", "__rb")).alias("spearman"), fine(a, b, F.corr(F.col(a), F.col(b))).alias("pearson"))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), fine(a, b, correlation("__ra", "__rb")).alias("spearman"), fine(a, b, correlation(a, b)).alias("pearson"))
 
 
 def stability(runs: DataFrame, root: str, run: str, score: str, first: str, second: str, least: int = 3, top: int = 10) -> DataFrame:
@@ -124,7 +124,7 @@ def stability(runs: DataFrame, root: str, run: str, score: str, first: str, seco
     w = Window.partitionBy(F.lit(0))
     both = both.withColumn("ta", F.row_number().over(w.orderBy(F.desc("a"), root)) <= top).withColumn("tb", F.row_number().over(w.orderBy(F.desc("b"), root)) <= top)
     d = F.col("b") - F.col("a")
-    out = both.agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.avg(d).alias("shift"), F.stddev_samp(d).alias("shift_sd"), F.count_if(F.col("ta") & F.col("tb")).alias("top_common"), F.corr("a", "b").alias("pearson"))
+    out = both.agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.avg(d).alias("shift"), F.stddev_samp(d).alias("shift_sd"), F.count_if(F.col("ta") & F.col("tb")).alias("top_common"), correlation("a", "b").alias("pearson"))
     return out.withColumn("verdict", F.when(F.col("n") < least, "INSUFFICIENT").when(F.col("mean_abs") <= 2, "PASS").otherwise("FAIL"))
 
 
