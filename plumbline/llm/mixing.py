@@ -15,7 +15,7 @@ from plumbline.llm.common import written
 
 LEVELS = ("domain", "lang", "source")
 #: Documents of a leaf that one prefix sum covers; longer leaves are summed in parts of about this many.
-PART = 20_000
+PART = 2_000
 
 
 def word_count(text: Column) -> Column:
