@@ -25,12 +25,12 @@ def g02_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and nations' neighbours as a sparse graph: an order links its customer to the customer of the next order but one of the same status and month; ids are order keys."""
+    """Customers and nations' neighbours as a sparse graph: an order links its customer to the customer of the next order of the same status, priority and day; ids are order keys."""
     from pyspark.sql import Window
 
     o = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_orderstatus", F.date_trunc("month", "o_orderdate")).orderBy("o_orderkey")
-    return o.select(F.col("o_orderkey").alias("eid"), F.col("o_custkey").alias("i"), F.lead("o_custkey", 2).over(w).alias("j"), (F.col("o_orderkey") % 5).alias("d"), F.col("o_totalprice").alias("w")).where("j IS NOT NULL AND i <> j")
+    w = Window.partitionBy("o_orderstatus", "o_orderpriority", F.to_date("o_orderdate")).orderBy("o_orderkey")
+    return o.select(F.col("o_orderkey").alias("eid"), F.col("o_custkey").alias("i"), F.lead("o_custkey").over(w).alias("j"), (F.col("o_orderkey") % 5).alias("d"), F.col("o_totalprice").alias("w")).where("j IS NOT NULL AND i <> j")
 
 
 @query()

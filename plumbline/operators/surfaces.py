@@ -129,3 +129,32 @@ def tile_orientation(grid: DataFrame, value: str, tile: int) -> DataFrame:
     j = g.groupBy("surface", t("row").alias("tr"), t("col").alias("tc")).agg(F.avg(F.col("gx") * F.col("gx")).alias("jxx"), F.avg(F.col("gy") * F.col("gy")).alias("jyy"), F.avg(F.col("gx") * F.col("gy")).alias("jxy"))
     d = F.sqrt(F.pow(F.col("jxx") - F.col("jyy"), 2) + 4 * F.col("jxy") * F.col("jxy"))
     return j.select("surface", "tr", "tc", (0.5 * F.degrees(F.atan2(2 * F.col("jxy"), F.col("jxx") - F.col("jyy")))).alias("angle"), ratio(d, F.col("jxx") + F.col("jyy")).alias("coherence"), (F.col("jxx") + F.col("jyy")).alias("energy"))
+
+
+def _segment(p: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Squared distance of p to the segment from a to b."""
+    d = _minus(b, a)
+    t = clamp(F.coalesce(ratio(dot(_minus(p, a), d), dot(d, d)), F.lit(0.0)), 0.0, 1.0)
+    r = [pc - ac - t * dc for pc, ac, dc in zip(p, a, d, strict=True)]
+    return dot(r, r)
+
+
+def triangle_distance(p: list[Column], a: list[Column], b: list[Column], c: list[Column]) -> Column:
+    """Distance of a point to a triangle: to its plane if the foot lies inside, else to the nearest edge."""
+    n = cross(_minus(b, a), _minus(c, a))
+    inside = F.lit(True)
+    for u, v in ((a, b), (b, c), (c, a)):
+        inside = inside & (dot(cross(_minus(v, u), _minus(p, u)), n) >= 0)
+    plane = F.abs(dot(_minus(p, a), n)) / norm(n)
+    return F.when(inside & (norm(n) > 0), plane).otherwise(F.sqrt(F.least(_segment(p, a, b), _segment(p, b, c), _segment(p, c, a))))
+
+
+def point_to_mesh(points: DataFrame, corners: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, fid, d): the nearest triangle (ties: the smaller fid) among those whose box in x and y meets the cells around the point; exact within ``cell``, NULL beyond. corners: fid, ax .. cz."""
+    box = lambda f, a: F.floor(f(*[F.col(k + a) for k in "abc"]) / cell)
+    t = corners.withColumn("__x", F.explode(F.sequence(box(F.least, "x"), box(F.greatest, "x")))).withColumn("__y", F.explode(F.sequence(box(F.least, "y"), box(F.greatest, "y"))))
+    around = lambda a: F.explode(F.sequence(F.floor(F.col(a) / cell) - 1, F.floor(F.col(a) / cell) + 1))
+    p = points.select(key, *AXES).withColumn("__x", around("x")).withColumn("__y", around("y"))
+    d = triangle_distance(_p(), *[[F.col(k + a) for a in AXES] for k in "abc"])
+    best = p.join(t, ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= cell).groupBy(key).agg(F.min(F.struct(F.round("d", 9).alias("d"), "fid")).alias("b"))
+    return points.select(key).join(best, key, "left").select(key, F.col("b.fid").alias("fid"), F.col("b.d").alias("d"))

@@ -60,10 +60,10 @@ def trace_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("bad IS NULL").drop("bad"), rows.where("bad IS NOT NULL").select("trace_id", "bad")
 
 
-def trace_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Points, control points and segments of annotated traces, each with its place."""
+def trace_json(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Points, control points and segments of annotated traces, each with its place; a document a file, or a line."""
     point = "array<array<double>>"
-    doc = spark.read.schema(f"id string, line_points {point}, control_points {point}, segments array<struct<mode: string>>").json(path, multiLine=True)
+    doc = spark.read.schema(f"id string, line_points {point}, control_points {point}, segments array<struct<mode: string>>").json(path, multiLine=not lines)
     xyz = lambda c: doc.select("id", F.posexplode(c).alias("ord", "p")).select("id", "ord", *[F.col("p")[k].alias(a) for k, a in enumerate("xyz")])
     return {"points": xyz("line_points"), "controls": xyz("control_points"), "segments": doc.select("id", F.posexplode("segments").alias("ord", "s")).select("id", "ord", "s.mode")}
 
@@ -111,3 +111,13 @@ def geometry_digest(grid: DataFrame, key: str, block: int = 64) -> DataFrame:
 def write_once(df: DataFrame, path: str) -> None:
     """A result that is there already is refused."""
     df.write.mode("errorifexists").parquet(path)
+
+
+def listing_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(key, size) from landed listing pages."""
+    return spark.read.schema("contents array<struct<key: string, size: long>>").json(path).select(F.explode("contents").alias("c")).select("c.key", "c.size")
+
+
+def score_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(run, root, ok, score, identities) of prior runs."""
+    return spark.read.schema("run string, root string, ok boolean, score double, identities array<long>").json(path)

@@ -122,3 +122,19 @@ def test_spatial_plans_have_no_nested_loops(spark):
 def test_scans_are_pruned(spark):
     df = spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_quantity > 10").select("l_suppkey")
     assert any("l_quantity" in f for f in inspect.pushed_filters(df)) and set(inspect.read_columns(df)) == {"l_suppkey", "l_quantity"}
+
+
+def test_point_to_mesh_is_the_nearest_triangle(spark):
+    from plumbline.operators import surfaces
+
+    rng = np.random.default_rng(5)
+    pts = rng.uniform(0, 20, (30, 3))
+    tri = rng.uniform(0, 20, (40, 3, 3))
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(pts)], "id long, x double, y double, z double")
+    t = spark.createDataFrame([(i, *map(float, x.ravel())) for i, x in enumerate(tri)], "fid long, " + ", ".join(f"{k}{a} double" for k in "abc" for a in "xyz"))
+    u = np.linspace(0, 1, 60)
+    mesh = np.array([(a, b) for a in u for b in u if a + b <= 1])
+    got = {r.id: r for r in surfaces.point_to_mesh(p, t, "id", 20.0).collect()}
+    for i, x in enumerate(pts):
+        dense = np.array([np.linalg.norm(a + mesh[:, :1] * (b - a) + mesh[:, 1:] * (c - a) - x, axis=1).min() for a, b, c in tri])
+        assert got[i].d <= dense.min() + 1e-9 and got[i].d == pytest.approx(dense[got[i].fid], abs=0.35)
