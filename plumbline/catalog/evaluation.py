@@ -189,12 +189,10 @@ def a54_decision_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORED}, f AS (SELECT h.domain AS held, r.grp, r.score, r.y FROM (SELECT DISTINCT domain FROM scored) h JOIN scored r ON r.domain <> h.domain), m AS (SELECT held, median(score) FILTER (y) - median(score) FILTER (NOT y) AS d FROM f GROUP BY held), s AS (SELECT s.domain, s.y, s.score * sign(d) AS score FROM scored s JOIN m ON held = s.domain) " + _AUC.format(k="domain", t="s"))
 def a55_leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other domains' medians set the direction; AUC on the held-out one. Folds come from sums over domains, not from copies of the rows: medians by fold need them once each, keyed by fold."""
+    """The other domains' medians set the direction; AUC on the held-out one."""
     s = scored(spark, sf_dir)
-    held = s.select(F.col("domain").alias("held")).distinct()
-    f = s.join(held, F.col("domain") != F.col("held"))
-    m = f.groupBy("held").agg((F.median(F.when(F.col("y"), F.col("score"))) - F.median(F.when(~F.col("y"), F.col("score")))).alias("d"))
-    j = s.join(m, F.col("domain") == F.col("held")).select("domain", "y", (F.col("score") * F.signum("d")).alias("s"))
+    m = op.leave_one_out_medians(s, "domain", "y", "score").groupBy("domain").agg((F.max(F.when(F.col("y"), F.col("median"))) - F.max(F.when(~F.col("y"), F.col("median")))).alias("d"))
+    j = s.join(m, "domain").select("domain", "y", (F.col("score") * F.signum("d")).alias("s"))
     return _rounded(op.roc_auc(j, ["domain"], "s", "y"))
 
 

@@ -24,11 +24,11 @@ def p01_even_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INV = "(" + " + ".join("(floor({c} / {b} ** %d)::BIGINT %% {b}) / ({b}::DOUBLE ** %d)" % (k, k + 1) for k in range(12)) + ")"
 
 
-@query(f"WITH r AS (SELECT p_partkey, round({_INV.format(c='p_partkey', b=2)}, 9) AS i2, round({_INV.format(c='p_partkey', b=3)}, 9) AS i3, round({_INV.format(c='p_partkey', b=5)}, 9) AS i5 FROM part) SELECT *, row_number() OVER (ORDER BY i2, i3, i5, p_partkey)::INTEGER AS place FROM r")
+@query(f"WITH r AS (SELECT p_partkey, round({_INV.format(c='p_partkey', b=2)}, 9) AS i2, round({_INV.format(c='p_partkey', b=3)}, 9) AS i3, round({_INV.format(c='p_partkey', b=5)}, 9) AS i5 FROM part) SELECT *, row_number() OVER (ORDER BY i2, i3, i5, p_partkey) AS place FROM r")
 def p02_low_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     df = table(spark, sf_dir, "part").select("p_partkey", *[F.round(fn.radical_inverse(k, b), 9).alias(f"i{b}") for b in (2, 3, 5)])
-    return op.ordinal(df, [], ["i2", "i3", "i5", "p_partkey"], "place")
+    return op.global_rank(df, ["i2", "i3", "i5", "p_partkey"], "place")
 
 
 @query("SELECT o_orderkey, o_custkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 - 3 + 30 * count(*) OVER (PARTITION BY o_custkey)) % count(*) OVER (PARTITION BY o_custkey))::BIGINT AS rotated FROM orders")

@@ -24,6 +24,23 @@ def _steps(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     return df.groupBy(*keys, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(label)).alias("pos"))
 
 
+def _ranked(df: DataFrame, keys: list[str], score: str, descending: bool = False, weight: Column | None = None) -> DataFrame:
+    """(keys, s, n, upto, total): distinct scores with how many rows have them and how many come up to them. Picks of a rank need no more."""
+    n = df.groupBy(*keys, F.col(score).alias("s")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+    w = Window.partitionBy(*keys)
+    return n.withColumn("upto", F.sum("n").over(w.orderBy(F.desc("s") if descending else "s"))).withColumn("total", F.sum("n").over(w))
+
+
+def leave_one_out_medians(df: DataFrame, fold: str, flag: str, value: str) -> DataFrame:
+    """(fold, flag, median): the median over all other folds. Rows are counted by distinct value first; only these counts are shown to the other folds, which are few."""
+    counts = df.groupBy(fold, flag, value).agg(F.count("*").alias("n"))
+    folds = df.select(F.col(fold).alias("held")).distinct()
+    r = _ranked(counts.join(folds, F.col(fold) != F.col("held")), ["held", flag], value, weight=F.col("n"))
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("s")))
+    g = r.groupBy("held", flag).agg(at(F.floor((F.col("total") + 1) / 2)).alias("a"), at(F.floor(F.col("total") / 2) + 1).alias("b"))
+    return g.select(F.col("held").alias(fold), flag, ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
 def roc_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve, ties sharing ranks; NULL with one class only."""
     w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,9 +58,8 @@ def risk_coverage(df: DataFrame, keys: list[str], confidence: str, error: str) -
 
 def fpr_at_recall(df: DataFrame, keys: list[str], score: str, label: str, recall: float) -> DataFrame:
     """Share of negatives at or above the cut that keeps the wanted share of positives."""
-    w = Window.partitionBy(*keys)
-    pos = df.where(F.col(label)).select(*keys, F.col(score).alias("cut")).withColumn("k", F.row_number().over(w.orderBy(F.desc("cut")))).withColumn("n", F.count("*").over(w))
-    cut = pos.where(F.col("k") == F.ceil(F.col("n") * recall)).select(*keys, "cut")
+    pos = _ranked(df.where(F.col(label)), keys, score, descending=True)
+    cut = pos.groupBy(*keys).agg(F.max(F.when(F.col("upto") >= F.ceil(F.col("total") * recall), F.col("s"))).alias("cut"))
     return df.join(cut, keys).groupBy(*keys).agg(F.first("cut").alias("cut"), F.avg(F.when(~F.col(label), (F.col(score) >= F.col("cut")).cast("double"))).alias("fpr"))
 
 
@@ -56,9 +72,9 @@ def disagreement(df: DataFrame, unit: list[str], p: str) -> DataFrame:
 
 def conformal(df: DataFrame, keys: list[str], score: str, alpha: float) -> DataFrame:
     """Split-conformal upper bound: the score of rank ceil((n + 1)(1 - alpha)), NULL beyond n; the share at or below it."""
-    w = Window.partitionBy(*keys)
-    r = df.select(*keys, F.col(score).alias("s")).withColumn("k", F.row_number().over(w.orderBy("s"))).withColumn("n", F.count("*").over(w))
-    g = r.groupBy(*keys).agg(F.first("n").alias("n"), F.max(F.when(F.col("k") == F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("s"))).alias("bound"))
+    r = _ranked(df, keys, score)
+    rank = F.ceil((F.col("total") + 1) * (1 - alpha))
+    g = r.groupBy(*keys).agg(F.first("total").alias("n"), F.min(F.when(F.col("upto") >= rank, F.col("s"))).alias("bound"))
     return df.join(g, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("bound").alias("bound"), F.avg((F.col(score) <= F.col("bound")).cast("double")).alias("covered"))
 
 
@@ -79,9 +95,9 @@ def evaluate(expected: DataFrame, keys: list[str], truth: str, predicted: str, f
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
     """Values of rank max(1, ceil(q n)): picks, not interpolations."""
-    w = Window.partitionBy(*keys)
-    r = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v")).withColumn("k", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count("*").over(w))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("n") * q)), F.col("v"))).alias(f"q{round(q * 100)}") for q in qs])
+    r = _ranked(df.where(F.col(value).isNotNull()), keys, value)
+    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("total") * q)), F.col("s")))
+    return r.groupBy(*keys).agg(F.first("total").alias("n"), *[at(q).alias(f"q{round(q * 100)}") for q in qs])
 
 
 def replicates(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:

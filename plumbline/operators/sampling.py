@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import correlation, hash_draw, ratio
+from plumbline.operators.graphs import settled
 
 
 def even_spread(n: Column, k: int) -> Column:
@@ -18,6 +19,15 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str | Column], name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """1-based rank over the whole table without gathering it: ranges of the order, ranks inside each, and the counts of the ranges before. The offsets have a row for each partition."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    counts = ranged.groupBy("__p").agg(F.count("*").alias("n"))
+    ahead = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    inside = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    return inside.join(F.broadcast(ahead), "__p").withColumn(name, F.col("__ahead") + F.col("__k")).drop("__p", "__k", "__ahead")
+
+
 def rotated(df: DataFrame, keys: list[str], order: str, by: int) -> DataFrame:
     """The cyclic shift of an order by ``by`` places, as a new order from 0."""
     n = F.count("*").over(Window.partitionBy(*keys))
@@ -121,10 +131,10 @@ def stability(runs: DataFrame, root: str, run: str, score: str, first: str, seco
     a = runs.where(F.col(run) == first).select(root, F.col(score).alias("a"))
     b = runs.where(F.col(run) == second).select(root, F.col(score).alias("b"))
     both = a.join(b, root)
-    w = Window.partitionBy(F.lit(0))
-    both = both.withColumn("ta", F.row_number().over(w.orderBy(F.desc("a"), root)) <= top).withColumn("tb", F.row_number().over(w.orderBy(F.desc("b"), root)) <= top)
+    best = lambda c: both.orderBy(F.desc(c), root).limit(top).select(root)
+    common = best("a").join(best("b"), root).agg(F.count("*").alias("top_common"))
     d = F.col("b") - F.col("a")
-    out = both.agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.avg(d).alias("shift"), F.stddev_samp(d).alias("shift_sd"), F.count_if(F.col("ta") & F.col("tb")).alias("top_common"), correlation("a", "b").alias("pearson"))
+    out = both.agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.avg(d).alias("shift"), F.stddev_samp(d).alias("shift_sd"), correlation("a", "b").alias("pearson")).crossJoin(F.broadcast(common))
     return out.withColumn("verdict", F.when(F.col("n") < least, "INSUFFICIENT").when(F.col("mean_abs") <= 2, "PASS").otherwise("FAIL"))
 
 

@@ -186,7 +186,13 @@ def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str]) ->
 
 def band_holdout(df: DataFrame, value: str, key: str, bands: int) -> DataFrame:
     """Equal-count bands; in each, the row nearest to the band's mean is held out (ties: smaller value, then key)."""
-    out = df.withColumn("band", F.ntile(bands).over(Window.orderBy(value, key)))
+    from plumbline.operators.sampling import global_rank
+
+    r = global_rank(df, [value, key], "__r").crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
+    small, over = F.floor(F.col("__n") / bands), F.col("__n") % bands
+    wide = over * (small + 1)
+    band = F.when(F.col("__r") <= wide, F.floor((F.col("__r") - 1) / (small + 1)) + 1).otherwise(over + F.floor((F.col("__r") - 1 - wide) / small) + 1)
+    out = r.withColumn("band", band.cast("int")).drop("__r", "__n")
     w = Window.partitionBy("band")
     far = F.round(F.abs(F.col(value) - F.avg(value).over(w)), 9)
     return out.withColumn("__f", far).withColumn("held", F.row_number().over(w.orderBy("__f", value, key)) == 1).drop("__f")
