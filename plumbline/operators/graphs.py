@@ -24,16 +24,28 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_lowest(pairs: DataFrame, keep_own: bool) -> DataFrame:
+    """pairs (u, v) with m, the smallest v of each u (or u itself). Hubs stand out: nodes with more than 1/512 of the pairs, 512 at most, are broadcast, and their pairs are dealt out for the join of the others."""
+    least = F.least(F.min("v"), F.col("u")) if keep_own else F.min("v")
+    low = pairs.groupBy("u").agg(least.alias("m"), F.count("*").alias("w"))
+    cut = pairs.count() // 512
+    heavy = low.where(F.col("w") > cut).select(F.col("u").alias("hu"), F.col("m").alias("hm"))
+    light = low.where(F.col("w") <= cut).select(F.col("u").alias("lu"), F.col("m").alias("lm"), F.lit(0).alias("ls"))
+    met = pairs.join(F.broadcast(heavy), pairs["u"] == heavy["hu"], "left")
+    met = met.withColumn("salt", F.when(F.col("hu").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(9973))))
+    met = met.join(light, (met["u"] == light["lu"]) & (met["salt"] == light["ls"]), "left")
+    return met.select("u", "v", F.coalesce("hm", "lm").alias("m"))
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches, by large-star and small-star rounds."""
     now = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        large = settled(_with_lowest(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        met = _with_lowest(large, False)
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         now = settled(small)
         after = _mark(now)
         if after == mark:
