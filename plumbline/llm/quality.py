@@ -157,7 +157,9 @@ class Chain:
         for at, to in slices(texts, 1 << 21):
             x, n, counts = lines(texts[at:to])
             good, _ = self.marginals(neighbours(x, counts) @ self.w, counts)
-            out[at:to] = 1 / (1 + np.exp(-(self.scale[0] * self.document(good, n, counts) + self.scale[1])))
+            # rounded, so that equal texts score alike whatever batch they came in
+            z = np.round(self.scale[0] * self.document(good, n, counts) + self.scale[1], 6)
+            out[at:to] = 1 / (1 + np.exp(-z))
         return out
 
 
