@@ -23,8 +23,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates stays, that with the smallest id: they share 0.8 of their five-word shingles, by sketches, and all but 10 bits of their fingerprints."""
+    return simhash.one_of_each(docs, shingle=5, radius=10, likeness=0.8)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

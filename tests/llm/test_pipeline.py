@@ -44,7 +44,7 @@ def test_lines_go(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    want = {low for _, _, low in brute_groups([(r["doc_id"], r["text"]) for r in stages[2]])}
+    want = {low for _, _, low in brute_groups([(r["doc_id"], r["text"]) for r in stages[2]], 5, 10, 0.8)}
     assert sorted(r["doc_id"] for r in stages[3]) == sorted(want)
 
 
