@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import linededup, mixing, simhash, toxicity
+from plumbline.llm import linededup, mixing, shared, simhash, toxicity
 from plumbline.llm.common import documents, written
 from plumbline.llm.pieces import encode_decode
 from plumbline.llm.queries import _held_out, mixed, piece_model_path
@@ -23,8 +23,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id: they share 0.8 of their five-word shingles, by sketches, and all but 10 bits of their fingerprints."""
-    return simhash.one_of_each(docs, shingle=5, radius=10, likeness=0.8)
+    """One document of each group of near-duplicates stays, that with the smallest id: they are linked by pairs that share 0.8 of their distinct five-word shingles, counted exactly."""
+    return simhash.standing(docs, shared.near_duplicates(docs.where(F.col("doc_id").isNotNull()), shingle=5, likeness=0.8))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,31 +31,35 @@ PART = 4096
 FRONTIER = 2_000_000
 
 
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of ``shingle`` words; a text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest as h
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return []
+    line, n = b" ".join(words), len(words)
+    if n <= shingle:
+        return [h(line, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[: n - shingle])).tolist()
+    return [h(line[s:e], seed) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
 def fingerprints(texts: list[str], shingle: int = 4, seed: int = 42, sketch: np.ndarray | None = None) -> np.ndarray:
     """Unsigned 64-bit SimHash of each text: words are runs without ASCII white space, A-Z lower-cased; bit set if in over half of the shingles' XXH64.
 
     ``sketch``, zeros of shape (texts, len(SKETCH)), is filled if given: the top six bits of a hash
     choose its bin, and a bin holds 1 to 15 by its smallest hash, 0 if it has none.
     """
-    from xxhash import xxh64_intdigest as h
-
     out = np.zeros(len(texts), np.uint64)
     for at, to in slices(texts, 1 << 20):
         hashes: list[int] = []
         counts = np.zeros(to - at, np.int64)
         for k in range(at, to):
-            words = texts[k].encode("utf-8", "surrogatepass").lower().split()
-            if not words:
-                continue
-            line, n = b" ".join(words), len(words)
-            if n <= shingle:
-                hashes.append(h(line, seed))
-                counts[k - at] = 1
-                continue
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-            starts = np.concatenate(([0], ends[: n - shingle])).tolist()
-            hashes.extend([h(line[s:e], seed) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)])
-            counts[k - at] = n - shingle + 1
+            own = shingle_hashes(texts[k], shingle, seed)
+            hashes.extend(own)
+            counts[k - at] = len(own)
         full = np.flatnonzero(counts)
         if not len(full):
             continue
@@ -251,7 +255,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without an id cannot stand for others and stay.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, likeness)
+    return standing(docs, near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, likeness), id_col, text_col)
+
+
+def standing(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with an id that names its component in ``found`` (one of those that repeat it), and those without an id."""
     stay = found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("__n")).withColumnRenamed("id", "__id")
     met = docs.join(stay, docs[id_col] == stay["__id"], "left").where(F.col("__n").isNotNull() | F.col(id_col).isNull())
     # only ids that repeat need their rows set in an order
