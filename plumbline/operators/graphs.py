@@ -106,8 +106,8 @@ def maximum_forest(edges: DataFrame, weight: str, rounds: int = 40) -> DataFrame
     raise RuntimeError(f"not contracted in {rounds} rounds")
 
 
-def mode_refined(edges: DataFrame, values: DataFrame, rounds: int = 20) -> DataFrame:
-    """Node values moved to what most edge support implies, one side of the graph (nodes of i, nodes of j) at a time; a value among the winners stays. edges: i, j, d, w; values: node, val."""
+def mode_refined(edges: DataFrame, values: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Node values moved to what most edge support implies, one side of the graph (nodes of i, nodes of j) at a time; a value among the winners stays. Ends when nothing moves, and never returns before. edges: i, j, d, w; values: node, val."""
     now = settled(values)
     for _ in range(rounds):
         before = now
@@ -116,8 +116,8 @@ def mode_refined(edges: DataFrame, values: DataFrame, rounds: int = 20) -> DataF
             top = votes.withColumn("best", F.max("k").over(Window.partitionBy("n"))).where("k = best").groupBy("n").agg(F.min("implied").alias("least"), F.collect_set("implied").alias("all"))
             now = settled(now.join(top, now["node"] == top["n"], "left").select("node", F.when(F.col("n").isNull() | F.array_contains("all", F.col("val")), F.col("val")).otherwise(F.col("least")).alias("val")))
         if now.exceptAll(before).isEmpty():
-            break
-    return now
+            return now
+    raise RuntimeError(f"values still move after {rounds} rounds")
 
 
 def residuals(edges: DataFrame, values: DataFrame) -> DataFrame:
