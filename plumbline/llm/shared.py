@@ -1,41 +1,37 @@
-"""Near-duplicates by the exact share of distinct shingles that two texts have in common (Jaccard).
-
-No pair at or over the threshold is lost on the way. In any one order of all shingles, two sets of which
-each shares ``likeness`` of itself with the other have a common shingle among the first
-n - ceil(likeness * n) + 1 of each (the prefix), and the place of the first such shingle in both bounds
-what they can share. Shingles that are common in a sample come last in that order, so that few texts meet
-that do not share much; the sample decides how much work there is, never what is found. Every pair that
-meets and can still reach the threshold is decided on the whole sets, joined in Spark; only pairs that
-are connected already are not.
+"""Near-duplicates that share a part of their distinct shingles (Jaccard), found by SimHash and decided exactly.
+
+Candidates come from the Gray-order index of ``simhash``: a text's fingerprint is that of its distinct
+shingles, and texts meet under keys of ROWS minima of its hashes each, BANDS keys a text whatever the
+table's size. Two sets that share 0.8 have a key in common with probability 1 - (1 - 0.8^3)^6 = 0.987,
+and are within RADIUS bits but for a few in a thousand; alike sets more surely. Under a key the index
+drops whole groups of fingerprints beyond the radius. Every candidate that is not connected yet is then
+decided by its two whole sets, joined in Spark: no link is made by an estimate.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import doc_frame, skew_join, slices, written
 from plumbline.llm.components import components
-from plumbline.llm.simhash import PART, shingle_hashes
+from plumbline.llm.simhash import GrayIndex, gray_rank, in_parts, majority, named, shingle_hashes, whole_groups
 
-#: Texts in the sample that tells common shingles, how often one must occur in it, and the most that are held.
-SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 18
-#: Rounds in which the texts of a shingle are held against one of them, before all that are still apart are held against each other.
-ROUNDS = 1
-#: Buckets of the filter that spares texts without a pair the hashing and the way to the join.
-BUCKETS = 1 << 20
-#: Pairs that a task holds at once.
-HELD = 1_000_000
+#: Keys of a text, minima in a key, and the differing bits up to which texts under a key are candidates.
+BANDS, ROWS, RADIUS = 6, 3, 20
+#: More bits than two fingerprints differ in.
+FAR = 99
+_ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str, shingle: int, seed: int = 42) -> np.ndarray:
     """The distinct shingles of a text by their 64-bit hashes, ascending."""
-    return np.unique(np.array(shingle_hashes(text, shingle, seed), np.uint64)).view(np.int64)
+    return np.unique(np.array(shingle_hashes(text, shingle, seed), np.uint64))
 
 
 def name_of(codes: np.ndarray) -> int:
@@ -46,179 +42,135 @@ def name_of(codes: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def prefix_size(n: int, likeness: float) -> int:
-    return n - math.ceil(likeness * n - 1e-6) + 1 if n else 0
+def band_keys(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row of BANDS keys for each run of ``counts`` codes, none of them empty: the minima of ROWS hashes each."""
+    first, out = np.r_[0, np.cumsum(counts)[:-1]], np.empty((len(counts), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BANDS):
+            key = np.full(len(counts), k, np.uint64)
+            for odd in _ODD[k * ROWS : (k + 1) * ROWS]:
+                key = (key ^ np.minimum.reduceat(codes * odd, first)) * _MIX
+            out[:, k] = key ^ key >> np.uint64(32)
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _common(docs: DataFrame, total: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur often in a sample of the texts, ascending, and how often."""
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, spot, name, n, fp, keys): the name, size, fingerprint and keys of each text's set; the empty set has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             for at, to in slices(texts, 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in texts[at:to]]))], ["code"])
+                sets = [shingle_set(t, shingle) for t in texts[at:to]]
+                counts, codes = np.fromiter(map(len, sets), np.int64, to - at), np.concatenate(sets)
+                keys = iter(band_keys(codes, counts[counts > 0]) if len(codes) else ())
+                held = _lists([next(keys) if n else codes[:0] for n in counts])
+                names, prints = pa.array([name_of(s) for s in sets], pa.int64()), pa.array(majority(codes, counts).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), names, pa.array(counts), prints, held], ["id", "spot", "name", "n", "fp", "keys"])
 
-    some = docs if total <= SAMPLE else docs.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(total)) < SAMPLE)
-    counted = some.mapInArrow(run, "code long").groupBy("code").agg(F.count("*").alias("w")).where(F.col("w") >= OFTEN)
-    got = counted.orderBy(F.desc("w"), "code").limit(COMMON).toArrow()
-    code, w = got["code"].to_numpy(), got["w"].to_numpy()
-    order = np.argsort(code)
-    return code[order], w[order]
+    return docs.mapInArrow(run, "id long, spot long, name long, n long, fp long, keys array<long>")
 
 
-def _marked(docs: DataFrame, shingle: int, likeness: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, fp, n, prefix): the name and size of each text's set of shingles, and its first ones, those rarer in the sample before others."""
-    codes, counts = common
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for at, to in slices(texts, 1 << 20):
-                names, sizes, firsts = [], [], []
-                for t in texts[at:to]:
-                    own = shingle_set(t, shingle)
-                    names.append(name_of(own))
-                    sizes.append(len(own))
-                    if len(codes):
-                        k = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                        own = own[np.argsort(np.where(codes[k] == own, counts[k], 0), kind="stable")]
-                    firsts.append(own[: prefix_size(len(own), likeness)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts)], ["id", "fp", "n", "prefix"])
-
-    return docs.mapInArrow(run, "id long, fp long, n int, prefix array<long>")
-
-
-def _reach(na, pa_, nb, pb, likeness: float, least):
-    """Whether sets of na and nb shingles whose first common one is at places pa_ and pb can have the threshold's overlap."""
-    return least(na - pa_, nb - pb) >= likeness / (1 + likeness) * (na + nb) - 1e-6
+def _candidates(spots: DataFrame, likeness: float, nearest: bool) -> DataFrame:
+    """(a, b): pairs of names under a key, within RADIUS bits, of sizes that allow the likeness and with different roots.
 
+    ``nearest``: only each text's nearest under a key. spots: (key, wide, name, n, fp, root).
+    """
+    dealt = in_parts(spots, "key", F.col("wide"), "name").select("key", "p", "r", "part", "name", "n", "fp", "root")
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(fp, codes): the whole sets that pairs need; others may be among them. Only texts whose id may be that of such a set are hashed."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    need = np.zeros(BUCKETS, bool)
-    need[ends.join(nodes, "fp").where("low IS NOT NULL").select(F.pmod("low", F.lit(BUCKETS)).cast("int").alias("k")).distinct().toArrow()["k"].to_numpy()] = True
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in whole_groups(batches, 3):
+            rows = rows[:, np.lexsort((gray_rank(rows[6].view(np.uint64)), group))]
+            (p, r, part, name, n), fps, root = rows[1:6], rows[6].view(np.uint64), rows[7]
+            best = np.full(rows.shape[1], FAR << 32, np.int64)
+            for i, j in GrayIndex(fps, group).links(RADIUS):
+                ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]) - 1e-6)
+                ok &= (p[i] == r[i]) | (part[i] != part[j])  # two of one part meet where p is r
+                i, j = i[ok], j[ok]
+                if nearest:
+                    apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) << 32
+                    np.minimum.at(best, j, apart | i)
+                    np.minimum.at(best, i, apart | j)
+                    continue
+                yield _pairs(name[i], name[j])
+            if nearest:
+                i = np.flatnonzero(best >> 32 < FAR)
+                yield _pairs(name[i], name[best[i] & 0xFFFFFFFF])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(name, codes): the whole sets that the pairs need. One text of each is read; texts that repeat its id may add others."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    need = nodes.join(ends, "name", "left_semi").select("spot").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            there = need[np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), BUCKETS)] | ids.is_null().to_numpy(zero_copy_only=False)
-            texts = b.column(1).filter(pa.array(there)).to_pylist()
-            for at, to in slices(texts, 1 << 20):
-                found = {name_of(own): own for own in (shingle_set(t, shingle) for t in texts[at:to])}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], ["fp", "codes"])
+            whole = b.column(0).to_pylist()
+            for at, to in slices(whole, 1 << 20):
+                found = {name_of(own): own for own in (shingle_set(t, shingle) for t in whole[at:to])}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], ["name", "codes"])
 
-    return docs.mapInArrow(run, "fp long, codes array<long>").groupBy("fp").agg(F.first("codes").alias("codes"))
+    got = texts.join(need, "spot", "left_semi").select("text").mapInArrow(run, "name long, codes array<long>")
+    return got.groupBy("name").agg(F.first("codes").alias("codes"))
 
 
-def alike_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, likeness: float) -> DataFrame:
+def alike_pairs(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     """The pairs (a, b) of which the sets share at least ``likeness`` of their union."""
-    sets = written(_sets(docs, nodes, pairs, shingle), "sets")
     total = pairs.count()
-    for end in ("a", "b"):
-        many = pairs.groupBy(F.col(end).alias("k")).agg(F.count("*").alias("w"))
-        right = sets.join(many, sets["fp"] == many["k"]).select(F.col("fp").alias(end), F.col("codes").alias(f"codes_{end}"), "w")
-        other = "b" if end == "a" else "a"
+    for end, other in (("a", "b"), ("b", "a")):
+        many = pairs.groupBy(F.col(end).alias("name")).agg(F.count("*").alias("w"))
+        right = sets.join(many, "name").select(F.col("name").alias(end), F.col("codes").alias(f"codes_{end}"), "w")
         pairs = skew_join(pairs, right, end, "w", total, other, "inner")
     both = F.size(F.array_intersect("codes_a", "codes_b"))
     return pairs.where(both / (F.size("codes_a") + F.size("codes_b") - both) >= likeness).select("a", "b")
 
 
-def _rooted(spots: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return spots.withColumn("root", F.col("fp"))
-    return spots.join(roots, spots["fp"] == roots["node"], "left").select(*spots.columns, F.coalesce("root", "fp").alias("root"))
-
-
-def _ordered(a: str | Column, b: str | Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _against_one(spots: DataFrame, total: int, likeness: float, k: int) -> DataFrame:
-    """Each text of a shingle with one of its texts, the same for as many shingles as can be: (a, b) of those not yet connected."""
-    hub = spots.groupBy("token").agg(F.min_by(F.struct("fp", "n", "pos", "root"), F.xxhash64("fp", F.lit(k))).alias("hub"), F.count("*").alias("wide"))
-    met = skew_join(spots, hub, "token", "wide", total, "fp", "inner")
-    return met.where((F.col("root") != F.col("hub.root")) & _reach(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), likeness, F.least)).select(*_ordered("fp", "hub.fp")).distinct()
-
-
-def _against_all(spots: DataFrame, total: int, likeness: float) -> DataFrame:
-    """(a, b): all pairs of texts of a shingle that are not yet connected. A shingle with over PART texts is split into pairs of parts."""
-    wide = spots.groupBy("token").agg(F.count("*").alias("wide"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "wide", F.ceil(F.col("wide") / PART).cast("int").alias("parts"))
-    met = skew_join(spots, wide, "token", "wide", total, "fp", "inner").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("r"), "part", "fp", "n", "pos", "root")
-
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """rows, one column each, sorted by (token, p, r, n)."""
-        key, part, fp, n, pos, root = rows[:3], rows[3], rows[4], rows[5], rows[6], rows[7]
-        group = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        # partners come later in the group and are no larger than n / likeness
-        place = group * (1 << 31) + n
-        stop = np.searchsorted(place, group * (1 << 31) + np.minimum(np.floor(n / likeness + 1e-6).astype(np.int64), (1 << 31) - 1), "right")
-        width = np.maximum(stop - np.arange(len(n)) - 1, 0)
-        ends, at = np.cumsum(width), 0
-        while at < len(n):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right")))
-            w = width[at:to]
-            i = np.repeat(np.arange(at, to), w)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-            ok = (root[i] != root[j]) & _reach(n[i], pos[i], n[j], pos[j], likeness, np.minimum)
-            ok &= (key[1][i] == key[2][i]) | (part[i] != part[j])  # pairs within a part are met where p is r
-            i, j = fp[i[ok]], fp[j[ok]]
-            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-            at = to
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
-        for b in batches:
-            kept.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
-            held += b.num_rows
-            if held < 8 * PART:
-                continue
-            rows = np.concatenate(kept, axis=1)
-            change = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
-            cut = change[-1] + 1 if len(change) else 0
-            if cut:
-                yield from found(rows[:, :cut])
-            kept, held = [rows[:, cut:]], rows.shape[1] - cut
-        if held:
-            yield from found(np.concatenate(kept, axis=1))
-
-    return dealt.repartition("token", "p", "r").sortWithinPartitions("token", "p", "r", "n").mapInArrow(run, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
     """One row per document: (id, fp, component), the smallest id of all that it reaches over pairs that share ``likeness`` of their distinct shingles.
 
-    fp names the set of shingles. Null, empty and blank texts have the empty set and are one group.
-    Repeated rows and null ids keep their rows; a null id never names a component unless nothing else is
-    in it. An empty table gives an empty result; further columns are ignored.
+    fp names the set of shingles; texts with equal sets are one node, however many. First each node is
+    held against its nearest under each key, then all candidates that are still apart. Null, empty and
+    blank texts have the empty set and are one group. Repeated rows and null ids keep their rows; a
+    null id never names a component unless nothing else is in it. An empty table gives an empty result;
+    further columns are ignored.
     """
-    texts = doc_frame(docs, id_col, text_col)
-    marked = written(_marked(texts, shingle, likeness, _common(texts, texts.count(), shingle)), "marked")
-    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    spots = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
-    met = spots.groupBy("token").agg(F.count("*").alias("wide")).where("wide > 1")
-    spots = written(skew_join(spots, met, "token", "wide", nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], "fp", "inner"), "spots")
-    rows, roots, links = spots.count(), None, spots.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    for k in range(ROUNDS + 1):
-        now = _rooted(spots, roots)
-        pairs = written(_against_one(now, rows, likeness, k) if k < ROUNDS else _against_all(now, rows, likeness), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = written(alike_pairs(texts, nodes.select("fp", "low"), pairs, shingle, likeness), "alike")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        roots = written(components(links, "a", "b"), "roots")
-    rooted = _rooted(nodes.select("fp", "low", "w"), roots)
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("members"))
-    named = skew_join(rooted.select("fp", "w", "root"), lowest, "root", "members", n, "fp", "inner")
-    return skew_join(marked.select("id", "fp"), named.select("fp", "w", "component"), "fp", "w", total, "id", "inner")
+    texts = doc_frame(docs, id_col, text_col).select("id", F.coalesce("id", F.xxhash64("text")).alias("spot"), "text")
+    marked = written(_marked(texts, shingle), "marked")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    nodes = written(marked.groupBy("name").agg(F.min("id").alias("low"), F.min("spot").alias("spot"), F.count("*").alias("w"), *firsts), "nodes")
+    n, total, keys = nodes.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    spots = nodes.select("name", "n", "fp", F.explode("keys").alias("key"))
+    met = spots.groupBy("key").agg(F.count("*").alias("w"), F.count("*").alias("wide")).where("w > 1")
+    spots = written(skew_join(spots, met, "key", "w", keys, "name", "inner"), "spots")
+    rows = spots.count()
+    pairs = written(_candidates(spots.withColumn("root", F.col("name")), likeness, nearest=True), "pairs")
+    sets = written(_sets(texts, nodes, pairs, shingle), "sets")
+    links = written(alike_pairs(pairs, sets, likeness), "links")
+    roots = components(links, "a", "b")
+    now = spots.join(roots, spots["name"] == roots["node"], "left").select(*spots.columns, F.coalesce("root", "name").alias("root"))
+    apart = now.groupBy("key").agg(F.count("*").alias("w"), F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key", "w", F.lit(1).alias("open"))
+    pairs = written(_candidates(skew_join(now, apart, "key", "w", rows, "name", "inner"), likeness, nearest=False), "pairs")
+    roots = _joined(roots, alike_pairs(pairs, sets, likeness))
+    return named(marked, nodes.select("name", "low", "w"), roots, "name", n, total)
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links between the components that ``roots`` has; nodes that it lacks are their own."""
+    for end in ("a", "b"):
+        links = links.join(roots, links[end] == roots["node"], "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
+    again = components(links, "a", "b").select(F.col("node").alias("was"), F.col("root").alias("now"))
+    moved = roots.join(again, roots["root"] == again["was"], "left").select("node", F.coalesce("now", "root").alias("root"))
+    return moved.unionByName(again.join(roots, again["was"] == roots["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root")))

@@ -4,9 +4,6 @@ Fingerprints are sorted by Gray rank, so that neighbours differ in few bits. Six
 leaf, sixteen nodes in a row an upper node; a node keeps the bits that all below it share (a mask and
 a pattern). A search goes down from the root: the differences inside the mask bound the distance to
 everything below, so a node that already differs in more bits than the radius is dropped whole.
-
-Few differing bits find near-copies, but do not measure how many shingles two texts share. Where that
-counts, each fingerprint carries a sketch of its shingles, and only links whose sketches are alike hold.
 """
 
 from __future__ import annotations
@@ -16,15 +13,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import doc_frame, skew_join, slices, written
 from plumbline.llm.components import components
 
 BITS, FAN = 64, 16
-#: Bins of a sketch, four bits each, and the words that hold them.
-BINS, SKETCH = 64, ("s0", "s1", "s2", "s3")
+#: Of radius + AGREE bit blocks of two fingerprints within the radius, at least AGREE are equal.
+AGREE = 2
 #: The most fingerprints of a key that one task holds at once is twice this; a larger key is split into pairs of parts.
 PART = 4096
 #: Pairs of (query, node) that a search holds at once.
@@ -46,61 +43,34 @@ def shingle_hashes(text: str, shingle: int, seed: int = 42) -> list[int]:
     return [h(line[s:e], seed) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprints(texts: list[str], shingle: int = 4, seed: int = 42, sketch: np.ndarray | None = None) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each text: words are runs without ASCII white space, A-Z lower-cased; bit set if in over half of the shingles' XXH64.
+def majority(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` codes, the bits that are set in over half of them; none for an empty run."""
+    out, full = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+    if len(full):
+        bits = np.unpackbits(codes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, np.r_[0, np.cumsum(counts[full])[:-1]], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
-    ``sketch``, zeros of shape (texts, len(SKETCH)), is filled if given: the top six bits of a hash
-    choose its bin, and a bin holds 1 to 15 by its smallest hash, 0 if it has none.
-    """
+
+def fingerprints(texts: list[str], shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each text: words are runs without ASCII white space, A-Z lower-cased; bit set if in over half of the shingles' XXH64."""
     out = np.zeros(len(texts), np.uint64)
     for at, to in slices(texts, 1 << 20):
-        hashes: list[int] = []
-        counts = np.zeros(to - at, np.int64)
-        for k in range(at, to):
-            own = shingle_hashes(texts[k], shingle, seed)
-            hashes.extend(own)
-            counts[k - at] = len(own)
-        full = np.flatnonzero(counts)
-        if not len(full):
-            continue
-        codes = np.array(hashes, "<u8")
-        bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[at + full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        if sketch is not None:
-            sketch[at:to] = _sketched(codes, np.repeat(np.arange(to - at), counts), to - at)
+        own = [shingle_hashes(t, shingle, seed) for t in texts[at:to]]
+        out[at:to] = majority(np.array([h for x in own for h in x], np.uint64), np.fromiter(map(len, own), np.int64, to - at))
     return out
 
 
-def _sketched(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The sketches of n texts from the hashes of their shingles."""
-    low = np.full(n * BINS, np.uint64(2**64 - 1))
-    np.minimum.at(low, owner * BINS + (codes >> np.uint64(58)).astype(np.int64), codes & np.uint64((1 << 58) - 1))
-    value = np.where(low == np.uint64(2**64 - 1), np.uint64(0), 1 + low % np.uint64(15)).reshape(n, len(SKETCH), 16)
-    return np.bitwise_or.reduce(value << (4 * np.arange(16, dtype=np.uint64)), axis=2)
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of shingles that two texts have in common, from columns of sketches: 1 if neither has any."""
-    filled = lambda x: np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)).sum(axis=0, dtype=np.int64)
-    both = filled(a | b)
-    same = np.where(both > 0, 1 - filled(a ^ b) / np.maximum(both, 1), 1.0)
-    return (same - 1 / 15) / (1 - 1 / 15)  # one bin in 15 agrees by chance
-
-
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, sketches: bool = False) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long; with ``sketches`` also the words of SKETCH. Null and empty texts have zeros."""
-    names = SKETCH if sketches else ()
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(id, fp): the fingerprint as a signed long. Null and empty texts have zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sketch = np.zeros((b.num_rows, len(SKETCH)), np.uint64) if names else None
-            fp = fingerprints(b.column(1).to_pylist(), shingle, seed, sketch)
-            more = [pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], ["id", "fp", *names])
+            fp = fingerprints(b.column(1).to_pylist(), shingle, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return doc_frame(docs, id_col, text_col).mapInArrow(run, "id long, fp long" + "".join(f", {c} long" for c in names))
+    return doc_frame(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -114,8 +84,8 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """The hierarchical index over many groups at once. fps sorted by (group, Gray rank); group numbers ascend."""
 
-    def __init__(self, fps: np.ndarray, group: np.ndarray, sketch: np.ndarray | None = None):
-        self.fps, self.group, self.sketch = fps, group, sketch
+    def __init__(self, fps: np.ndarray, group: np.ndarray):
+        self.fps, self.group = fps, group
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # first child, last child + 1, mask, pattern
         lo = hi = fps
         owner = group
@@ -130,8 +100,8 @@ class GrayIndex:
                 break
         self.root = np.searchsorted(owner, group)
 
-    def links(self, radius: int, likeness: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (i < j) in the same group within ``radius`` bits, and of that likeness if there are sketches, a slice of queries at a time."""
+    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places (i < j) in the same group within ``radius`` bits, a slice of queries at a time."""
         sizes = np.bincount(np.unique(self.group, return_inverse=True)[1])
         width = np.cumsum(np.repeat(sizes, sizes))
         start = 0
@@ -146,11 +116,7 @@ class GrayIndex:
                 n = last[node] - first[node]
                 q, node = np.repeat(q, n), np.repeat(first[node] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             near = (node > q) & (np.bitwise_count(self.fps[q] ^ self.fps[node]) <= radius)
-            q, node = q[near], node[near]
-            if self.sketch is not None:
-                near = alike(self.sketch[:, q], self.sketch[:, node]) >= likeness
-                q, node = q[near], node[near]
-            yield q, node
+            yield q[near], node[near]
             start = stop
 
 
@@ -170,98 +136,103 @@ def spanning(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def _keys(n: int, radius: int, size: int = PART // 8) -> list[list[tuple[int, int]]]:
-    """Bit ranges to agree on. Of radius + e blocks, at least e agree between two fingerprints within the radius; e grows with the number of fingerprints, so that keys stay at ``size`` fingerprints if these are spread evenly. Every choice is exact."""
-    e = next((e for e in (1, 2, 3) if n <= size << (BITS * e // (radius + e))), 4)
-    edge = [BITS * k // (radius + e) for k in range(radius + e + 1)]
-    return [[(edge[k], edge[k + 1]) for k in c] for c in combinations(range(radius + e), e)]
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, group) in blocks of at least 8 * PART rows, if there are as many: batches of long columns, sorted by the first ``keys``, one row of the matrix for each column, groups never cut and numbered upwards."""
+    kept: list[np.ndarray] = []
+    held = 0
 
+    def told(rows: np.ndarray, upto: int | None):
+        change = (rows[:keys, 1:] != rows[:keys, :-1]).any(axis=0)
+        cut = rows.shape[1] if upto is None else (np.flatnonzero(change)[-1] + 1 if change.any() else 0)
+        return cut, np.cumsum(np.r_[False, change])[:cut]
 
-def near_edges(nodes: DataFrame, n: int, radius: int = 4, likeness: float | None = None) -> DataFrame:
-    """(a, b): links that connect the same fingerprints as all pairs within ``radius`` bits do. nodes: (fp), distinct; n: how many.
-
-    With ``likeness`` nodes also have the words of SKETCH, and pairs less alike than that do not count.
-    """
-    # a row with its sketch is long, and a wide radius makes many keys: fewer and larger ones then
-    names = () if likeness is None else SKETCH
-    keys = _keys(n, radius, PART if names else PART // 8)
-    masks = [sum(((1 << (hi - lo)) - 1) << lo for lo, hi in k) for k in keys]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = nodes.select("fp", *names, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "bits")).withColumn("key", F.xxhash64("block", "bits"))
-    large = dealt.groupBy("key").agg(F.count("*").alias("w")).where(F.col("w") > PART).withColumn("parts", F.ceil(F.col("w") / PART).cast("int"))
-    dealt = skew_join(dealt, large, "key", "w", n * len(keys), "fp").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    dealt = dealt.select("fp", *names, "block", "bits", "part", other.alias("other")).select("fp", "block", "bits", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("r"), *names)
+    for b in batches:
+        kept.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+        held += b.num_rows
+        if held < 8 * PART:
+            continue
+        rows = np.concatenate(kept, axis=1)
+        cut, group = told(rows, 0)
+        if cut:
+            yield rows[:, :cut], group
+        kept, held = [rows[:, cut:]], rows.shape[1] - cut
+    if held:
+        rows = np.concatenate(kept, axis=1)
+        yield rows, told(rows, None)[1]
+
+
+def in_parts(dealt: DataFrame, key: str, wide: Column, by: str) -> DataFrame:
+    """``dealt`` with the columns part, p and r: rows of a key with ``wide`` > PART rows are dealt to parts by ``by``, and every pair of parts (p, r) gets the rows of both, so that no task holds over twice PART at once and every two rows of a key meet where p is r or where their parts differ."""
+    parts = F.greatest(F.ceil(wide / PART), F.lit(1)).cast("int")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(by, F.lit(7)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.withColumns({"p": F.least("part", "other"), "r": F.greatest("part", "other")}).repartition(key, "p", "r").sortWithinPartitions(key, "p", "r")
+
+
+def masks_of(radius: int) -> list[int]:
+    """The bits that a key keeps, a choice of AGREE among radius + AGREE blocks each: two fingerprints within the radius share at least one key. The keys are the same at every size of table."""
+    n = radius + AGREE
+    edge = [BITS * k // n for k in range(n + 1)]
+    masks = [sum(((1 << (edge[k + 1] - edge[k])) - 1) << edge[k] for k in c) for c in combinations(range(n), AGREE)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near_edges(nodes: DataFrame, n: int, radius: int = 4) -> DataFrame:
+    """(a, b): links that connect the same fingerprints as all pairs within ``radius`` bits do. nodes: (fp), distinct; n: how many."""
+    masks = masks_of(radius)
+    dealt = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "bits"))
+    dealt = dealt.select("fp", F.xxhash64("block", "bits").alias("key"))
+    met = dealt.groupBy("key").agg(F.count("*").alias("w"), F.count("*").alias("wide")).where("w > 1")
+    dealt = in_parts(skew_join(dealt, met, "key", "w", n * len(masks), "fp", "inner"), "key", F.col("wide"), "fp").select("key", "p", "r", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-
-        def search(rows: np.ndarray):
-            fps, cut = rows[0].view(np.uint64), np.r_[False, (rows[1:5, 1:] != rows[1:5, :-1]).any(axis=0)]
-            group = np.cumsum(cut)
+        for rows, group in whole_groups(batches, 3):
+            fps = rows[3].view(np.uint64)
             order = np.lexsort((gray_rank(fps), group))
             fps, group = fps[order], group[order]
-            sketch = rows[5:, order].view(np.uint64) if names else None
-            label = spanning(len(fps), GrayIndex(fps, group, sketch).links(radius, likeness or 0.0))
+            label = spanning(len(fps), GrayIndex(fps, group).links(radius))
             at = np.flatnonzero(label != np.arange(len(fps)))
-            return pa.RecordBatch.from_arrays([pa.array(fps[label[at]].view(np.int64)), pa.array(fps[at].view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps[label[at]].view(np.int64)), pa.array(fps[at].view(np.int64))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
-        held = 0
-        for b in batches:
-            kept.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
-            held += b.num_rows
-            if held < 8 * PART:
-                continue
-            rows = np.concatenate(kept, axis=1)
-            change = np.flatnonzero((rows[1:5, 1:] != rows[1:5, :-1]).any(axis=0))
-            if not len(change):
-                kept = [rows]
-                continue
-            yield search(rows[:, : change[-1] + 1])
-            kept = [rows[:, change[-1] + 1 :]]
-            held = kept[0].shape[1]
-        if held:
-            yield search(np.concatenate(kept, axis=1))
-
-    # A task key of one part holds up to PART fingerprints, one of two parts twice that.
-    return dealt.repartition("block", "bits", "p", "r").sortWithinPartitions("block", "bits", "p", "r").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, likeness: float | None = None) -> DataFrame:
-    """One row per document: (id, fp, component), the smallest id of all that it reaches over links of ``radius`` bits or fewer.
 
-    With ``likeness`` a link between different fingerprints also needs that share of common shingles, by
-    sketches of BINS bins (of texts with equal fingerprints, one has its sketch stand for them).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row per document: (id, fp, component), the smallest id of all that it reaches over links of ``radius`` bits or fewer.
 
     Exact copies collapse to one fingerprint before any search, so a hot group of copies costs one
     entry. Null, empty and blank texts have fingerprint zero and are linked as any other. Repeated rows
     and null ids keep their rows; a null id never names a component unless nothing else is in it. An
     empty table gives an empty result; further columns are ignored.
     """
-    names = () if likeness is None else SKETCH
-    prints = written(with_fingerprints(docs, id_col, text_col, shingle, sketches=bool(names)), "prints")
-    one = [F.min(F.struct(*SKETCH)).alias("s")] if names else []
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("w"), *one), "nodes")
+    prints = written(with_fingerprints(docs, id_col, text_col, shingle), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("w")), "nodes")
     n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    roots = components(near_edges(nodes.select("fp", *[F.col(f"s.{c}") for c in names]), n, radius, likeness), "a", "b")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "w", F.coalesce("root", "fp").alias("root"))
+    roots = components(near_edges(nodes.select("fp"), n, radius), "a", "b")
+    return named(prints, nodes, roots, "fp", n, total)
+
+
+def named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str, n: int, total: int) -> DataFrame:
+    """(id, fp, component): each row's smallest id of all that its node reaches. rows: (id, node); nodes: (node, low, w), n of them for ``total`` rows."""
+    rooted = nodes.join(roots, nodes[node] == roots["node"], "left").select(F.col(node).alias("fp"), "low", "w", F.coalesce("root", F.col(node)).alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("members"))
-    named = skew_join(rooted.select("fp", "w", "root"), lowest, "root", "members", n, "fp", "inner")
-    return skew_join(prints.select("id", "fp"), named.select("fp", "w", "component"), "fp", "w", total, "id", "inner")
+    known = skew_join(rooted.select("fp", "w", "root"), lowest, "root", "members", n, "fp", "inner")
+    return skew_join(rows.select("id", F.col(node).alias("fp")), known.select("fp", "w", "component"), "fp", "w", total, "id", "inner")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, likeness: float | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near-duplicates: those with its smallest id, and of rows that repeat that id one.
 
     Rows without an id cannot stand for others and stay.
     """
-    return standing(docs, near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius, likeness), id_col, text_col)
+    return standing(docs, near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, radius), id_col, text_col)
 
 
 def standing(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with an id that names its component in ``found`` (one of those that repeat it), and those without an id."""
-    stay = found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("__n")).withColumnRenamed("id", "__id")
-    met = docs.join(stay, docs[id_col] == stay["__id"], "left").where(F.col("__n").isNotNull() | F.col(id_col).isNull())
+    stay = found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("n"))
+    # rows go as one column, so that their names cannot clash with others
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("key"))
+    met = rows.join(stay, rows["key"] == stay["id"], "left").where(F.col("n").isNotNull() | F.col("key").isNull())
     # only ids that repeat need their rows set in an order
-    again = met.where(F.col("__n") > 1).withColumn("__k", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col("__k") == 1).drop("__k")
-    return met.where(F.col("__n").isNull() | (F.col("__n") == 1)).unionByName(again).select(*docs.columns)
+    again = met.where(F.col("n") > 1).withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.col("row")[text_col]))).where("k = 1").drop("k")
+    return met.where(F.col("n").isNull() | (F.col("n") == 1)).unionByName(again).select("row.*")

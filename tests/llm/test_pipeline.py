@@ -9,7 +9,7 @@ from plumbline.llm import toxicity
 from plumbline.llm.queries import piece_model_path
 from test_linededup import brute as brute_lines
 from test_mixing import fill
-from test_simhash import brute as brute_groups
+from test_shared import brute as brute_groups
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,8 +44,14 @@ def test_lines_go(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    want = {low for _, _, low in brute_groups([(r["doc_id"], r["text"]) for r in stages[2]], 5, 10, 0.8)}
-    assert sorted(r["doc_id"] for r in stages[3]) == sorted(want)
+    """Groups over all pairs by their true share of distinct five-word shingles; of each the smallest id stays."""
+    rows = sorted((r["doc_id"], r["text"]) for r in stages[2])
+    group, _ = brute_groups(rows)
+    want = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        want.setdefault(g, i)
+    assert sorted(r["doc_id"] for r in stages[3]) == sorted(want.values())
+    assert len(want) < len(rows)
 
 
 def test_mix(stages):
