@@ -14,8 +14,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import doc_frame, slices
@@ -136,40 +137,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return doc_frame(docs, id_col, text_col).mapInArrow(run, "id long, fingerprint string")
 
 
+def _place() -> Column:
+    """A text that sorts as (id, MD5 of the text) does, null ids first."""
+    number = F.concat(F.lit("1"), F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(F.coalesce(number, F.lit("0")), F.md5("text"))
+
+
 def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows dealt into ascending ranges of ids, each sorted, and after each range's last row a copy of the first row of the next (after the last, of the first).
+    """Rows dealt into ascending ranges of places, each sorted, and after each range's last row a copy of the first row of the next (after the last, of the first).
 
-    (id, text, range, ahead): ahead is 1 for the copies. Ranges come from approximate quantiles of all
-    ids, so the driver sees as many ids as there are ranges. Equal ids are in one range, in the order
-    of their texts; null ids come first.
+    (id, text, range, ahead): ahead is 1 for the copies. The order is that of ids, of equal ids that of
+    their texts' MD5; null ids come first, so that they and equal ids are spread like others. Spark's
+    range partitioner finds the ranges from the places alone; the driver sees the first place of each,
+    49 characters, and the tasks look places up by bisection.
     """
-    base = doc_frame(docs, id_col, text_col)
-    parts = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = base.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 20000)).first()[0] or []
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    dealt = base.withColumn("range", F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("id")))))
-    found = dict(dealt.select("range", "id").groupBy("range").agg(F.min("id")).collect())
-    if not found:
-        return dealt.withColumn("ahead", F.lit(0))
-    no_id = base.where(F.col("id").isNull()).select(F.lit(1)).first() is not None
-    ranges = sorted(found)
-    first = {found[r]: ranges[k - 1] for k, r in enumerate(ranges) if found[r] is not None and not (no_id and k == 0)}
-    copies = base.where(F.col("id").isin(list(first)) if first else F.lit(False)).groupBy("id").agg(F.min("text").alias("text"))
-    if first:
-        copies = copies.withColumn("range", F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[F.col("id")])
-    else:
-        copies = copies.withColumn("range", F.lit(0))
-    if no_id:
-        copies = copies.unionAll(base.where(F.col("id").isNull()).groupBy("id").agg(F.min("text").alias("text")).withColumn("range", F.lit(ranges[-1])))
-    both = dealt.withColumn("ahead", F.lit(0)).unionByName(copies.withColumn("ahead", F.lit(1)))
-    return both.repartition("range").sortWithinPartitions("range", "ahead", F.col("id").asc_nulls_first(), "text")
+    base = doc_frame(docs, id_col, text_col).withColumn("place", _place())
+    spark = docs.sparkSession
+    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = base.select("place").repartitionByRange(parts, "place").groupBy(F.spark_partition_id().alias("k")).agg(F.min("place").alias("place"))
+    first = sorted(r.place for r in ranged.collect())
+    bounds = np.array(first or [""])
+
+    @F.pandas_udf("int")
+    def range_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, place.to_numpy(str), "right") - 1)
+
+    # one row for each range, a number that the table does not change
+    ends = spark.createDataFrame([(x, (k - 1) % len(first)) for k, x in enumerate(first)], "place string, range int")
+    copies = base.join(F.broadcast(ends), "place").groupBy("place", "range").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    both = base.withColumn("range", range_of("place")).withColumn("ahead", F.lit(0)).unionByName(copies.withColumn("ahead", F.lit(1)))
+    return both.repartition("range").sortWithinPartitions("range", "ahead", "place").select("id", "text", "range", "ahead")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, text length, edited text's SHA-256, both fingerprints, likeness to the edited text and to the next document).
 
     The edited text has its last quarter replaced by the beginning of the next document in the order of
-    ids (equal ids: of texts; null ids first; after the last comes the first). Whole texts are moved
+    ids (equal ids: of their texts' MD5; null ids first; after the last comes the first). Whole texts are moved
     once, to the range of their id; a task holds one batch of them. Null texts are empty. A table of
     one row is followed by itself; an empty one gives no rows; further columns are ignored.
     """

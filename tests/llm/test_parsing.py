@@ -2,18 +2,64 @@ import hashlib
 import random
 
 import numpy as np
-from plumbline.llm.parsing import KEEP, as_text, blocks, compared, edited, fingerprints, likeness, sketches
+from plumbline.llm.parsing import KEEP, as_text, blocks, compared, edited, fingerprints, likeness, sketches, with_following
+
+
+M = 2**64
+A, B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def mix(x):
+    x = (x ^ x >> 32) * B % M
+    return (x ^ x >> 29) * A % M
+
+
+def plain_level(row):
+    """One level, a symbol at a time: runs become one symbol, labels are tossed, local maxima begin blocks, a block is named."""
+    short = []
+    for s in row:
+        if short and short[-1][0] == s:
+            short[-1][1] += 1
+        else:
+            short.append([s, 1])
+    row = [mix((s + B * n) % M) if n > 1 else s for s, n in short]
+    label, width = [s % 2**32 for s in row], 32
+    for _ in range(4):
+        tossed = [label[0] & 1]
+        for before, x in zip(label, label[1:], strict=False):
+            k = next((k for k in range(width) if (before ^ x) >> k & 1), width)
+            tossed.append(2 * k + (x >> k & 1 if k < width else 0))
+        label, width = tossed, 8
+    starts = [0] + [i for i in range(2, len(row) - 1) if label[i - 1] < label[i] > label[i + 1]]
+    return [mix(sum(s * pow(A, k, M) for k, s in enumerate(row[a:b])) % M) for a, b in zip(starts, [*starts[1:], len(row)], strict=True)]
+
+
+def plain_sketch(text):
+    row, names, level = [ord(c) + 1 for c in text], set(), 0
+    while row:
+        row, level = plain_level(row), level + 1
+        if level >= 2 or len(row) == 1:
+            names |= {s >> 32 for s in row}
+        if len(row) == 1:
+            break
+    return sorted(names)[:KEEP]
 
 
 def brute(rows):
-    """rows: (id, text); what compared() gives, one document at a time, with sets."""
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    """rows: (id, text); what compared() gives, one document and one symbol at a time."""
+    place = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())
+    rows = sorted(((i, t or "") for i, t in rows), key=place)
+    known = {}
+
     def sketch(t):
-        return sorted(sketches([t])[1].tolist())
+        if t not in known:
+            known[t] = plain_sketch(t)
+        return known[t]
 
     def like(a, b):
         both = sorted({*a, *b})[:KEEP]
         return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
     out = []
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
@@ -37,6 +83,16 @@ def test_against_one_at_a_time(spark):
     assert sorted((str(r.id), *r[1:]) for r in got) == brute(data)
 
 
+def test_equal_and_missing_ids_are_spread(spark):
+    """Rows without an id and rows of one id are dealt to ranges as any others; each row has the right one after it."""
+    data = [(None, f"text {k}") for k in range(300)] + [(7, f"other {k % 250}") for k in range(300)] + [(k, "x") for k in range(20)]
+    got = with_following(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    own = [r for r in got if not r.ahead]
+    assert len(own) == len(data) and len({r.range for r in own if r.id is None}) > 2 and len({r.range for r in own if r.id == 7}) > 2
+    assert len(got) - len(own) == len({r.range for r in own})
+    assert sorted((str(r.id), *r[1:]) for r in compared(spark.createDataFrame(data, "doc_id long, text string")).collect()) == brute(data)
+
+
 def test_one_row_and_none(spark):
     one = compared(spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one[0].near_next == 1
