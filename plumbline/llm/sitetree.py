@@ -3,9 +3,11 @@
 The pages of a host are merged into one tree: elements with the same chain of tags, classes and ids
 are one style node. A node whose children look the same everywhere, and whose text is the same
 everywhere, matters little: its importance is the entropy of its presentation styles and of its
-contents, as a share of the largest possible. What is known of HTML beforehand enters as a factor:
-menus, forms, scripts and the like weigh nothing, an article's own branches are never cut for being
-repeated. Branches of low importance are removed from every page.
+contents, as a share of the largest possible. Branches of low importance are removed from every page,
+inside the article as well as outside. Pages whose articles begin alike count once for contents, so
+that copies of an article do not make it look like a notice. What is known of HTML beforehand weights
+the importance: menus, forms, scripts and the like weigh nothing, an article's branches weigh more
+than others, its headings are never cut, and what stands outside a page's article weighs too little.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import skew_join, written
 
-#: Share of the content entropy in a node's importance, the importance below which a branch goes, and the fewest occurrences that tell.
-GAMMA, LOW, SEEN = 0.9, 0.3, 4
+#: Share of the content entropy in a node's importance, the importance below which a branch goes, the fewest occurrences that tell, and what an article's branches weigh.
+GAMMA, LOW, SEEN, INSIDE = 0.9, 0.3, 4, 3.0
 #: Rows of counts that a task holds before it sends them on.
 HELD = 50_000
 
@@ -31,6 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp".split())
 NOTHING = frozenset("head script style noscript template nav footer aside form button select textarea input label iframe object svg canvas audio video map menu dialog title".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments comment-list cookie cookies copyright disqus footer masthead menu nav navbar navigation newsletter notice notices pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split())
@@ -88,10 +91,12 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
 class Walk:
     """One pass over a page. Elements open and close as HTML has it, whatever is missing; ``opened`` and ``closed`` are told, ``text`` gets what stands in none of the skipped branches."""
 
-    def __init__(self, page: str, low: frozenset[int]):
+    def __init__(self, page: str, low: frozenset[int] = frozenset(), lowest: frozenset[int] = frozenset()):
+        """low: the style nodes that are cut outside articles; lowest: those that are cut inside them too."""
         from xxhash import xxh64_intdigest
 
-        self.hash, self.low, self.page = xxh64_intdigest, low, page
+        self.hash, self.low, self.lowest, self.page = xxh64_intdigest, low, lowest, page
+        self.cut = 0  # branches that the tree, not HTML, has removed
         self.stack: list[list] = []  # tag, path, skipped, in an article, styles of children, contents
         self.open: Counter = Counter()
         self.counts: Counter = Counter()
@@ -146,9 +151,12 @@ class Walk:
                 up = self.stack[-1] if self.stack else None
                 path = self.hash(key, seed=up[1] if up else 0)
                 inside = what in MAIN or bool(up and up[3])
-                self.has_main |= what in MAIN and not (up and up[2])
                 # a header in an article heads the article; elsewhere it heads the site
-                skipped = bool(up and up[2]) or what in NOTHING or named or (what == "header" and not inside) or (path in self.low and not inside)
+                skipped = bool(up and up[2]) or what in NOTHING or named or (what == "header" and not inside)
+                if not skipped and path in (self.lowest if inside else self.low) and what not in HEADINGS:
+                    skipped = True
+                    self.cut += 1
+                self.has_main |= what in MAIN and not skipped
                 if up and what not in INLINE and (not up[4] or up[4][-1] != key):
                     up[4].append(key)
                 self.stack.append([what, path, skipped, inside, [], []])
@@ -172,59 +180,81 @@ class Walk:
         while len(self.stack) > k:
             self.close()
 
-    def text(self) -> str:
+    def lines(self) -> list[str]:
         """Blocks in page order; if the page has an article, what stands outside it has low importance."""
         lines = (" ".join("".join(b).split()) for inside, b in self.blocks if inside or not self.has_main)
-        return "\n".join(x for x in lines if x)
+        return [x for x in lines if x]
+
+    def text(self) -> str:
+        return "\n".join(self.lines())
+
+    def kin(self) -> int:
+        """What pages with copies of one article have in common: the article's first line; without an article, all text."""
+        found = self.lines()
+        return self.hash("\n".join(found[:1] if self.has_main else found))
 
 
 def style_tree(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(host, path, seen, importance): the style nodes of each host. pages: (host, html)."""
+    """(host, path, seen, importance): the style nodes of each host. pages: (host, html).
+
+    A style counts as often as it occurs; a content counts as often as it does in one page of those
+    whose articles begin alike. Nodes that occur once are of importance 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def send() -> pa.RecordBatch:
             keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), *[pa.array([(k[c] + 2**63) % 2**64 - 2**63 for k in keys], pa.int64()) for c in (1, 2, 3)], pa.array(list(held.values()), pa.int64())], ["host", "path", "kind", "value", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), *[pa.array([(k[c] + 2**63) % 2**64 - 2**63 for k in keys], pa.int64()) for c in (1, 2, 3, 4)], pa.array(list(held.values()), pa.int64())], ["host", "path", "kind", "value", "kin", "n"])
             held.clear()
             return out
 
         for b in batches:
             for at, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for (path, kind, value), n in Walk(page, frozenset()).run().counts.items():
-                    held[at, path, kind, value] += n
+                walk = Walk(page).run()
+                kin = walk.kin()
+                for (path, kind, value), n in walk.counts.items():
+                    if kind:
+                        held[at, path, kind, value, kin] = max(n, held[at, path, kind, value, kin])
+                    else:
+                        held[at, path, kind, value, 0] += n
                 if len(held) >= HELD:
                     yield send()
         if held:
             yield send()
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, path long, kind long, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    counts = pages.select("host", "html").mapInArrow(run, "host string, path long, kind long, value long, kin long, n long")
+    counts = counts.groupBy("host", "path", "kind", "value", "kin").agg(F.when(F.col("kind") == 1, F.max("n")).otherwise(F.sum("n")).alias("n"))
+    counts = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     m, spread = F.sum("n"), F.sum(F.col("n") * F.ln("n"))
     each = counts.groupBy("host", "path", "kind").agg(m.alias("m"), F.when(m > 1, (F.ln(m) - spread / m) / F.ln(m)).otherwise(1.0).alias("e"))
     one = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
-    tree = each.groupBy("host", "path").agg(one(0, "m").alias("seen"), one(0, "e").alias("style"), one(1, "e").alias("content"))
+    tree = each.groupBy("host", "path").agg(F.coalesce(one(1, "m"), one(0, "m")).alias("seen"), one(0, "e").alias("style"), one(1, "e").alias("content"))
     return tree.select("host", "path", "seen", F.coalesce((1 - gamma) * F.col("style") + gamma * F.col("content"), F.col("style")).alias("importance"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) per row: the main text, one block a line; '' if there is none.
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", use_tree: bool = True) -> DataFrame:
+    """(id, url, text, cut) per row: the main text, one block a line, '' if there is none, and how many branches the tree removed.
 
     Null html is empty, a null or odd url is of the host ''. Counts are summed before they are
     shuffled, so a hot host costs one row for each node and content; pages meet their host's list of
     low branches by ``skew_join``. Repeated rows and ids stay, a page of any length is read whole, an
-    empty table gives no rows, further columns are ignored.
+    empty table gives no rows, further columns are ignored. Without ``use_tree`` HTML's weights decide alone.
     """
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host(F.col(url_col)).alias("host"))
-    low = style_tree(base).where((F.col("seen") >= SEEN) & (F.col("importance") < LOW)).groupBy("host").agg(F.collect_list("path").alias("low"))
+    tree = style_tree(base) if use_tree else style_tree(base.where(F.lit(False)))
+    weak = lambda weight: F.collect_list(F.when(F.col("importance") * weight < LOW, F.col("path")))
+    low = tree.where((F.col("seen") >= SEEN) & (F.col("importance") < LOW)).groupBy("host").agg(weak(1.0).alias("low"), weak(INSIDE).alias("lowest"))
     sizes = base.groupBy("host").agg(F.count("*").alias("w"))
     low = written(low.join(sizes, "host"), "style-tree")
     met = skew_join(base, low, "host", "w", sizes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0], "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Walk(page, frozenset(x % 2**64 for x in gone or ())).run().text() for page, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+            gone = ([frozenset(x % 2**64 for x in paths or ()) for paths in b.column(c).to_pylist()] for c in (3, 4))
+            walks = [Walk(page, *cut).run() for page, *cut in zip(b.column(2).to_pylist(), *gone, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w.text() for w in walks], pa.string()), pa.array([w.cut for w in walks], pa.int64())], ["id", "url", "text", "cut"])
 
     kind = dict(base.dtypes)
-    return met.select("id", "url", "html", "low").mapInArrow(run, f"id {kind['id']}, url {kind['url']}, text string")
+    return met.select("id", "url", "html", "low", "lowest").mapInArrow(run, f"id {kind['id']}, url {kind['url']}, text string, cut long")

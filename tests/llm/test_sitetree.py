@@ -1,13 +1,16 @@
 import html
+import math
 import re
+from collections import Counter
 
 import pytest
-from plumbline.llm.sitetree import Walk, extract
+from plumbline.llm.sitetree import Walk, extract, style_tree
+from xxhash import xxh64_intdigest
 
 
 @pytest.mark.parametrize(("page", "text"), [("<p>a<b>b<p>c</b>d", "ab\ncd"), ("<ul><li>x<li>y<ul><li>z</ul><li>w</ul>", "x\ny\nz\nw"), ("a < b & c &lt;d&gt; <!-- x", "a < b & c <d>"), ("<nav>m</nav><article><div class='comments'>no</div><header><h1>T</h1></header>ok<br>go</article>after", "T\nok go"), ("<script>var x='</p>'</script>hi", "hi"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<div class=\"ad\" x='>'>q</div>z", "z"), ('<p/>x<p title="unclosed>y</p>', "x\ny"), ("", ""), ("<textarea>abc", ""), ("<p>&copy;&nbsp; a \n b&#x41;</p>", "© a bA"), ("<b>" * 20000 + "deep", "deep"), ("<p>" * 20000 + "last", "last")])
 def test_pages(page, text):
-    assert Walk(page, frozenset()).run().text() == text
+    assert Walk(page).run().text() == text
 
 
 def test_given_pages(spark):
@@ -31,5 +34,46 @@ def test_repeated_branches_go(spark):
     assert by[100] == "All rights reserved by h" and by[101] == by[102] == "" and by[None] == "x" and len(by[103]) == 249999
 
 
+def path(*keys):
+    at = 0
+    for k in keys:
+        at = xxh64_intdigest(k, seed=at)
+    return at
+
+
+def test_importance_by_counting(spark):
+    """Entropies of a host's nodes, counted here by hand from what the pages were made of."""
+    notes = ["same", "same", "same", "same", "other", "third"]
+    pages = [f"<html><body><article><h1>Title {k}</h1><div class=note>{x}</div><p>body {k}</p>{'<p>more</p>' * (k % 2)}</article></body></html>" for k, x in enumerate(notes)]
+    df = spark.createDataFrame([("h", x) for x in pages + pages[:1] * 50], "host string, html string")
+    tree = {r.path % 2**64: r for r in style_tree(df).collect()}
+
+    def entropy(values):
+        n = Counter(values)
+        m = sum(n.values())
+        return -sum(c / m * math.log(c / m) for c in n.values()) / math.log(m)
+
+    top = ("html", "body", "article")
+    for keys, contents in (((*top, "div note"), notes), ((*top, "h1"), range(6)), ((*top, "p"), [*[f"b{k}" for k in range(6)], "more", "more", "more"])):
+        got = tree[path(*keys)]
+        assert got.seen == len(contents) and got.importance == pytest.approx(0.9 * entropy(contents))
+    assert tree[path(*top, "div note")].importance < tree[path(*top, "h1")].importance == pytest.approx(0.9)
+
+
+def test_the_tree_cuts_inside_articles(spark):
+    """A notice that stands in every article of a host goes though no name gives it away; copies of an article, headings and what differs stay; without the tree all of it stays."""
+    note = "<div class=x7><p>Read more of our series</p></div>"
+    rows = [(k, f"http://h/{k}", f"<body><div>Site line</div><article><h1>Title {k}</h1><h2>Overview</h2><p>Body {k}</p>{note}</article></body>") for k in range(12)]
+    rows += [(100 + k, f"http://h/c{k}", f"<body><article><h1>Copied</h1><section><p>The very same body</p></section></article><p>{k}</p></body>") for k in range(40)]
+    rows += [(200, "http://h/m", "<nav><main>menu</main></nav><p>a page without an article</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r for r in extract(df).collect()}
+    assert all(got[k].text == f"Title {k}\nOverview\nBody {k}" and got[k].cut > 0 for k in range(12))
+    assert all(got[100 + k].text == "Copied\nThe very same body" and got[100 + k].cut == 0 for k in range(40))
+    assert got[200].text == "a page without an article"
+    off = {r.id: r for r in extract(df, use_tree=False).collect()}
+    assert all(off[k].text.endswith("Read more of our series") and off[k].cut == 0 for k in range(12))
+
+
 def test_empty(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
