@@ -46,11 +46,11 @@ class Block:
         self.vecs, self.ids, self.pivots = vecs.astype(np.float64), ids, pivots
         self.norm = np.sqrt((self.vecs**2).sum(axis=1))
         order = self.orders(vecs)
-        depth = order.shape[1]
-        at = np.argsort(order.ravel(), kind="stable")
-        edge = np.searchsorted(order.ravel()[at], np.arange(len(pivots) + 1))
-        who, weight = (at // depth).astype(np.int32), (depth - at % depth).astype(np.int16)
-        self.file = [(who[a:b], weight[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+        self.depth = order.shape[1]
+        # a pivot's file has a byte for each member: what its place in the member's order is worth, 0 if it is not in it
+        self.file = np.zeros((len(pivots), len(vecs)), np.int8)
+        for place in range(self.depth):
+            self.file[order[:, place], np.arange(len(vecs))] = self.depth - place
         self.measured = max(LEAST, int(np.ceil(SHARE * len(vecs))))
 
     def orders(self, vecs: np.ndarray) -> np.ndarray:
@@ -61,10 +61,9 @@ class Block:
     def search(self, query: np.ndarray, order: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
         """The k nearest of those measured, ties to smaller ids; all that tie at either cut are taken in."""
         # An order without a pivot has it at place len(order). The footrule distance falls by twice the smaller weight for each pivot in both orders.
-        shared = np.zeros(len(self.vecs), np.int32)
-        for place, p in enumerate(order.tolist()):
-            who, weight = self.file[p]
-            shared[who] += np.minimum(weight, len(order) - place)
+        read = self.file[order]
+        np.minimum(read, np.arange(self.depth, self.depth - len(order), -1, dtype=np.int8)[:, None], out=read)
+        shared = read.sum(axis=0, dtype=np.int16)
         pick = np.arange(len(shared))
         if self.measured < len(shared):
             pick = np.flatnonzero(shared >= np.partition(shared, -self.measured)[-self.measured])
