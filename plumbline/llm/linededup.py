@@ -36,20 +36,25 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Texts with fewer lines than a window, null and empty texts stay as they are. Rows that repeat an
     id and a text are one document and are treated alike; rows with equal ids and different texts
     share what is removed by place. Rows without an id are never compared. Other columns stay, whatever
-    their names; an empty table stays empty.
+    their names, but for ones named lines_before or lines_removed, which are replaced; an empty table
+    stays empty. Passages that fill one or two lines only are no window and stay.
     """
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    later = repeated_windows(base, size)
-    gone = later.groupBy("id").agg(F.collect_set("pos").alias("__starts")).select(F.col("id").alias("__id"), "__starts")
-    lines = F.split(F.col(text_col), "\n")
-    out = docs.join(gone, docs[id_col] == gone["__id"], "left")
-    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda p: F.sequence(p, p + size - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    gone = repeated_windows(base, size).groupBy("id").agg(F.collect_set("pos").alias("starts"))
+    # rows go as one column, so that their names cannot clash with others
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"))
+    out = rows.join(gone, rows["key"] == gone["id"], "left")
     # a transform calls its function for each line: the lines are cut once, above it
-    out = out.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__starts").isNotNull(), kept))
-    rest = F.array_join(F.transform("__kept", lambda k: F.get("__lines", k)), "\n")
-    removed = F.when(F.col("__starts").isNotNull(), F.size("__lines") - F.size("__kept")).otherwise(0)
-    return out.select(*[c for c in docs.columns if c != text_col and c not in ("lines_before", "lines_removed")], F.when(F.col("__starts").isNotNull(), rest).otherwise(F.col(text_col)).alias(text_col), F.coalesce(F.size("__lines"), F.lit(0)).alias("lines_before"), removed.alias("lines_removed"))
+    out = out.withColumn("lines", F.split(F.col("row")[text_col], "\n"))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + size - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    out = out.withColumn("kept", F.when(F.col("starts").isNotNull(), kept))
+    rest = F.array_join(F.transform("kept", lambda k: F.get("lines", k)), "\n")
+    removed = F.when(F.col("starts").isNotNull(), F.size("lines") - F.size("kept")).otherwise(0)
+    text = F.when(F.col("starts").isNotNull(), rest).otherwise(F.col("row")[text_col])
+    out = out.select("row", F.struct(text.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("before"), removed.alias("removed")).alias("new"))
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, "lines_before", "lines_removed")]
+    return out.select(*others, F.col("new.text").alias(text_col), F.col("new.before").alias("lines_before"), F.col("new.removed").alias("lines_removed"))
 
 
 ORACLE = r"""

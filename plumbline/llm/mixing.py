@@ -95,9 +95,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], share: floa
 
 def taken(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` takes them. Rows that repeat an id are taken as often as the most taken of them."""
-    most = copies.groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies")).where(F.col("__copies") > 0)
-    met = docs.join(most, docs[id_col].eqNullSafe(most["__id"]))
-    return met.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    most = copies.groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    # rows go as one column, so that their names cannot clash with others
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"))
+    met = rows.join(most, rows["key"].eqNullSafe(most["id"]))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def oracle(domain_weight: str, lang_weight: str, source_weight: str, share: float, epochs: int, seed: int) -> str:

@@ -50,3 +50,14 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert remove_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named as the operator's own temporaries stay as they are."""
+    names = ["row", "key", "id", "starts", "lines", "kept", "pos", "hash", "__id", "__starts", "__lines", "__kept"]
+    text = "one line\ntwo line\nthree line\nown"
+    rows = [(k, text + str(k), *[f"{c}{k}" for c in names]) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = {r.doc_id: r for r in remove_repeated_lines(df).collect()}
+    assert all(got[k][c] == f"{c}{k}" for k in range(3) for c in names)
+    assert got[0].text == text + "0" and got[1].text == "own1" and got[2].lines_removed == 3

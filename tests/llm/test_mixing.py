@@ -74,3 +74,12 @@ def test_against_brute_force(spark, share, epochs, part):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, d string, lang string, source string, text string")
     assert mix(df, F.col("d"), weights(), 1.0, 2, 7).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named as the operator's own temporaries stay as they are, and an id that is taken twice comes twice."""
+    names = ["row", "key", "id", "copies", "col", "__id", "__copies", "__k"]
+    df = spark.createDataFrame([(k, *[f"{c}{k}" for c in names]) for k in range(3)], "doc_id long, " + ", ".join(f"{c} string" for c in names))
+    copies = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "id long, copies int")
+    got = sorted(taken(df, copies).collect())
+    assert got == sorted(tuple([k, *[f"{c}{k}" for c in names]]) for k in (0, 0, 2))
