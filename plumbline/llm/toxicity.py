@@ -19,8 +19,8 @@ from plumbline.llm.common import doc_frame, slices
 
 WINDOW, STRIDE = 32, 24
 WORD_BITS, CHAR_BITS, DIM, HIDDEN, ATTEND = 14, 13, 8, 8, 8
-#: The most labelled documents of either kind that training reads, and windows of one of them by label (drawn anew in each epoch).
-MAX_POSITIVE, MAX_NEGATIVE, MAX_WINDOWS = 800, 900, (20, 60)
+#: The most labelled documents of either kind that training reads, whole; and windows that a pass holds at once.
+MAX_POSITIVE, MAX_NEGATIVE, HELD = 800, 900, 4096
 _STRIP = ".,;:!?\"'()[]|*#$%&"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,8 +148,33 @@ class Network:
         np.add.at(d["char"], tri, np.repeat(dx[:, DIM:] / n[:, None], n, axis=0))
         return d
 
+    def slope(self, texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray] | None:
+        """The gradient of the mean loss of some whole texts, over all their windows, HELD at a time; none if they have no word."""
+        words, win, counts = windows(texts)
+        if not words:
+            return None
+        doc = np.repeat(np.arange(len(texts)), counts)
+        proj, got = self.inputs(words)
+        spans = [slice(k, k + HELD) for k in range(0, len(win), HELD)]
+        state = None
+        if len(spans) == 1:
+            logit, state = self.forward(proj, win, keep=True)
+        else:
+            logit = np.concatenate([self.forward(proj, win[s]) for s in spans])
+        first = np.cumsum(counts) - counts
+        top = np.maximum.reduceat(logit, first)
+        e = np.exp(logit - top[doc])
+        whole = np.add.reduceat(e, first)
+        error = (_sigmoid(top + np.log(whole)) - labels) / len(texts)
+        d_logit = (error[doc] * e / whole[doc]).astype(np.float32)
+        total: dict[str, np.ndarray] = {}
+        for s in spans:
+            d = self.backward(proj, got, win[s], state or self.forward(proj, win[s], keep=True)[1], d_logit[s])
+            total = {k: total[k] + v for k, v in d.items()} if total else d
+        return total
+
     def fit(self, texts: list[str], labels: np.ndarray, steps: int = 420, rate: float = 0.015, seed: int = 1) -> None:
-        """Adam on batches of 16 texts: the same number of steps whatever the sample's size, but 24 rounds at most."""
+        """Adam on batches of 16 whole texts: the same number of steps whatever the sample's size, but 24 rounds at most."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -159,20 +184,9 @@ class Network:
             order = r.permutation(len(texts))
             for lo in range(0, len(order), size):
                 pick = order[lo : lo + size]
-                words, win, counts = windows([texts[i] for i in pick])
-                doc = np.repeat(np.arange(len(pick)), counts)
-                some = np.concatenate([np.sort(r.permutation(c)[: MAX_WINDOWS[int(labels[i])]]) + b for i, c, b in zip(pick, counts, np.cumsum(counts) - counts, strict=True)])
-                win, doc = win[some], doc[some]
-                if not words:
+                d = self.slope([texts[i] for i in pick], labels[pick])
+                if d is None:
                     continue
-                proj, got = self.inputs(words)
-                logit, state = self.forward(proj, win, keep=True)
-                first = np.flatnonzero(np.diff(doc, prepend=-1))
-                top = np.maximum.reduceat(logit, first)
-                e = np.exp(logit - top[doc])
-                whole = np.add.reduceat(e, first)
-                error = (_sigmoid(top + np.log(whole)) - labels[pick]) / len(pick)
-                d = self.backward(proj, got, win, state, (error[doc] * e / whole[doc]).astype(np.float32))
                 step += 1
                 pace = rate * (1 - 0.9 * step / total)
                 for k, v in d.items():
