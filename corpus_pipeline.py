@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm import linededup, mixing, shared, simhash, toxicity
-from plumbline.llm.common import documents, written
+from plumbline.llm.common import documents, forget, scratch, written
 from plumbline.llm.pieces import encode_decode
 from plumbline.llm.queries import _held_out, mixed, piece_model_path
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id: they are linked by pairs that share 0.8 of their distinct five-word shingles, counted exactly."""
+    """One document of each group of near-duplicates stays, that with the smallest id: candidates come from the Gray-order index of SimHash fingerprints, and are linked if they share 0.8 of their distinct five-word shingles, counted exactly."""
     return simhash.standing(docs, shared.near_duplicates(docs.where(F.col("doc_id").isNotNull()), shingle=5, likeness=0.8))
 
 
@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages, each on what the one before it kept; a stage's own tables and its input go when its result is written."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            result = made.pop()
+        forget(spark, *before)
+        before = [result]
     return docs
