@@ -69,15 +69,21 @@ def s07_annotated_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.trace_json(spark, path, lines=True)["points"].select("id", "ord", "x")
 
 
-@query("SELECT 1::BIGINT AS a, 2::BIGINT AS b, count(*) AS n FROM orders UNION ALL SELECT 2, 3, count(*) FROM orders")
+@query("SELECT o_orderkey % 4 AS mesh, 1::BIGINT AS a, 2::BIGINT AS b, 1::BIGINT AS ta, NULL::BIGINT AS tb, count(*) AS n, round(sum(o_totalprice), 2) AS z FROM orders GROUP BY ALL UNION ALL SELECT o_orderkey % 4, 2, 3, NULL, 2, count(*), round(sum(o_totalprice), 2) FROM orders GROUP BY ALL")
 def s09_polygon_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a quad in mesh text, its corners counted back from the face; the fans' corner offsets."""
+    """Every order as a quad of one of four meshes, its corners and their texture vertices counted back from the face; the fans' offsets, and the heights of the first corners that they name."""
     path = _scratch(spark)
     z = F.col("o_totalprice").cast("string")
     v = [F.concat_ws(" ", F.lit("v"), F.lit(x), F.lit(y), z) for x, y in (("0", "0"), ("1", "0"), ("1", "1"), ("0", "1"))]
-    table(spark, sf_dir, "orders").select(F.concat_ws("\n", *v, F.lit("f -4 -3 -2 -1")).alias("value")).write.text(path)
-    t = files.polygon_mesh(spark, path)["triangles"]
-    return t.groupBy((F.col("v1") - F.col("v0")).alias("a"), (F.col("v2") - F.col("v0")).alias("b")).agg(F.count("*").alias("n"))
+    vt = [F.concat_ws(" ", F.lit("vt"), F.lit(x), F.lit(y)) for x, y in (("0", "0"), ("1", "0"), ("0", "1"))]
+    orders = table(spark, sf_dir, "orders")
+    text = orders.select((F.col("o_orderkey") % 4).alias("mesh"), F.concat_ws("\n", *v, *vt, F.lit("f -4/-3 -3/-2 -2 -1/-1")).alias("value"))
+    text.write.partitionBy("mesh").text(path)
+    m = files.polygon_mesh(spark, path)
+    of = F.regexp_extract("mesh", "mesh=([0-9]+)", 1).cast("long")
+    t = m["triangles"].join(m["vertices"].select("mesh", F.col("vid").alias("v0"), "z"), ["mesh", "v0"])
+    offset = [(F.col(c) - F.col(b)).alias(n) for c, b, n in (("v1", "v0", "a"), ("v2", "v0", "b"), ("t1", "t0", "ta"), ("t2", "t0", "tb"))]
+    return t.groupBy(of.alias("mesh"), *offset).agg(F.count("*").alias("n"), F.round(F.sum("z"), 2).alias("z"))
 
 
 @query("SELECT l_suppkey::VARCHAR AS root, l_returnflag AS run, round(avg(l_quantity), 6) AS score, count(DISTINCT l_orderkey) AS decoded FROM lineitem GROUP BY ALL")
@@ -112,12 +118,17 @@ def j11_point_to_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a77_patch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid share, components of the valid part, edge lengths, support."""
+    """Valid share, components of the valid part, holes (pieces of the rest, corners joined, that do not reach the border), edge lengths, support; tested against loops."""
     g = grid(spark, sf_dir)
     e = op.grid_edges(g).groupBy("surface").agg(F.percentile("length", F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
     c = graphs._grid_components(g.where("valid").select("surface", "row", "col")).groupBy("surface").agg(F.count_distinct("label").alias("components"))
-    s = g.groupBy("surface").agg(F.avg(F.col("valid").cast("double")).alias("valid"), F.avg("p").alias("support"), F.avg((F.col("p") < 0.1).cast("double")).alias("low_support"))
-    return s.join(c, "surface").join(e, "surface").select("surface", "valid", "components", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"), "support", "low_support")
+    own = lambda x: F.when(F.col("valid"), x)
+    s = g.groupBy("surface").agg(F.avg(F.col("valid").cast("double")).alias("valid"), F.avg(own(F.col("p"))).alias("support"), F.avg(own((F.col("p") < 0.1).cast("double"))).alias("low_support"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    rest = graphs._grid_components(g.where(~F.col("valid")).select("surface", "row", "col"), diagonal=True).join(s.select("surface", "r0", "r1", "c0", "c1"), "surface")
+    edge = F.col("row").isin(F.col("r0"), F.col("r1")) | F.col("col").isin(F.col("c0"), F.col("c1"))
+    h = rest.groupBy("surface", "label").agg(F.bool_or(edge).alias("open")).groupBy("surface").agg(F.count_if(~F.col("open")).alias("holes"))
+    s = s.join(h, "surface", "left").withColumn("holes", F.coalesce("holes", F.lit(0)))
+    return s.join(c, "surface", "left").join(e, "surface", "left").select("surface", "valid", F.coalesce("components", F.lit(0)).alias("components"), "holes", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"), "support", "low_support")
 
 
 @query(f"""WITH {surfaces._QUADS}, {surfaces._EDGES[len(GRID) + 2:]}, c AS (SELECT surface, count(*) AS cells, count(*) FILTER (valid) AS valid FROM grid GROUP BY surface), e AS (SELECT surface, count(*) AS edges, round(median(length), 6) AS spacing FROM ge GROUP BY surface), q AS (SELECT surface, count(*) AS quads, round(median(s1 / nullif(s2, 0)), 4) AS anisotropy FROM quads GROUP BY surface)

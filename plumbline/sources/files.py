@@ -69,20 +69,35 @@ def trace_json(spark: SparkSession, path: str, lines: bool = False) -> dict[str,
 
 
 def polygon_mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """vertices (vid, x, y, z) and triangles (fid, v0, v1, v2) of a text mesh; polygons are fanned, negative numbers count back from the line.
+    """Text meshes, one a file: vertices (mesh, vid, x, y, z), uvs (mesh, tid, u, v), triangles (mesh, line, k, v0, v1, v2, t0, t1, t2) and bad lines (mesh, line, value, reason).
 
-    Lines are numbered by partition offsets: one pass counts each partition's lines and vertices, a
-    bounded table, and nothing is sorted in one task.
+    Polygons of any number of corners are fanned, negative numbers count back from the line, corners
+    without a texture vertex have NULL. Lines are numbered within their file by its blocks: one pass
+    counts each block's lines, vertices and texture vertices, and nothing is sorted in one task.
     """
-    line = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.trim("value").alias("value"))
-    cut = line.select("id", F.split("value", r"\s+").alias("f")).where(F.col("f")[0].isin("v", "f")).withColumn("part", F.shiftright("id", 33)).withColumn("isv", (F.col("f")[0] == "v").cast("long"))
-    base = cut.groupBy("part").agg(F.sum("isv").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    cut = cut.join(base, "part").withColumn("seen", F.col("base") + F.sum("isv").over(Window.partitionBy("part").orderBy("id")))
-    vertices = cut.where("isv = 1").select(F.col("seen").alias("vid"), *[F.col("f")[k + 1].cast("double").alias(a) for k, a in enumerate("xyz")])
-    number = F.transform(F.slice("f", 2, 10_000), lambda t: F.split(t, "/")[0].cast("long"))
-    face = cut.where("isv = 0").select("id", F.transform(number, lambda i: F.when(i < 0, F.col("seen") + 1 + i).otherwise(i)).alias("v"))
-    tri = face.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("v") - 2), lambda i: F.struct(F.col("v")[0].alias("v0"), F.get("v", i).alias("v1"), F.get("v", i + 1).alias("v2")))).alias("k", "t"))
-    return {"vertices": vertices, "triangles": tri.select(F.col("id").alias("line"), "k", "t.*")}
+    block = ["mesh", "block"]
+    row = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("mesh"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("value"))
+    row = row.withColumn("f", F.split("value", r"\s+")).withColumn("tag", F.col("f")[0])
+    is_ = {"v": (F.col("tag") == "v").cast("long"), "t": (F.col("tag") == "vt").cast("long"), "l": F.lit(1).cast("long")}
+    before = Window.partitionBy("mesh").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = row.groupBy(*block).agg(*[F.sum(c).alias(n) for n, c in is_.items()]).select(*block, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"base_{n}") for n in is_])
+    upto = Window.partitionBy(*block).orderBy("id")
+    cut = row.join(base, block).select("mesh", "value", "f", "tag", *[(F.col(f"base_{n}") + F.sum(c).over(upto)).alias(f"seen_{n}") for n, c in is_.items()]).withColumnRenamed("seen_l", "line")
+    number = lambda k: F.get("f", F.lit(k)).try_cast("double")
+    vertices = cut.where("tag = 'v'").select("mesh", "line", "value", F.col("seen_v").alias("vid"), *[number(k + 1).alias(a) for k, a in enumerate("xyz")])
+    uvs = cut.where("tag = 'vt'").select("mesh", "line", "value", F.col("seen_t").alias("tid"), number(1).alias("u"), number(2).alias("v"))
+    absolute = lambda i, seen: F.when(i < 0, F.col(seen) + 1 + i).otherwise(i)
+    part = lambda t, k: F.get(F.split(t, "/"), F.lit(k)).try_cast("long")
+    corner = F.transform(F.expr("slice(f, 2, greatest(size(f) - 1, 0))"), lambda t: F.struct(absolute(part(t, 0), "seen_v").alias("v"), absolute(part(t, 1), "seen_t").alias("t")))
+    face = cut.where("tag = 'f'").select("mesh", "line", "value", corner.alias("c"))
+    good = (F.size("c") >= 3) & F.forall("c", lambda x: x["v"].isNotNull() & (x["v"] > 0))
+    fan = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.array(F.get("c", F.lit(0)), F.get("c", i), F.get("c", i + 1)))
+    tri = face.where(good).select("mesh", "line", F.posexplode(fan).alias("k", "t"))
+    bad = lambda df, why, ok: df.where(~F.coalesce(ok, F.lit(False))).select("mesh", "line", "value", F.lit(why).alias("reason"))
+    xyz, uv = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), F.col("u").isNotNull() & F.col("v").isNotNull()
+    wrong = bad(vertices, "vertex", xyz).unionByName(bad(uvs, "texture vertex", uv)).unionByName(bad(face, "face", good))
+    ends = [F.col("t")[k][a].alias(f"{a}{k}") for a in "vt" for k in range(3)]
+    return {"vertices": vertices.drop("line", "value"), "uvs": uvs.drop("line", "value"), "triangles": tri.select("mesh", "line", "k", *ends), "bad": wrong}
 
 
 def edge_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
