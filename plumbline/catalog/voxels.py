@@ -73,13 +73,16 @@ def a05_pooled_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(op.pooled_support(op.support_audit(voxels(spark, sf_dir), _K, "v", "ct")))
 
 
-@query("""WITH l AS (SELECT page_id % 4 AS level, url AS key, length(html) // 500 AS size FROM pages), c AS (SELECT level, size, count(*) AS n FROM l GROUP BY ALL),
-x AS (SELECT level, arg_min(size, (-n) * 1000000 + size) AS expected, sum(n)::BIGINT AS objects FROM c GROUP BY level),
-b AS (SELECT l.level, count(*) AS bad, min(key) AS first_bad FROM l JOIN x USING (level) WHERE size <> expected GROUP BY l.level)
-SELECT level, expected, objects, coalesce(bad, 0) AS bad, first_bad, CASE WHEN objects = 0 THEN 'unverified' WHEN coalesce(bad, 0) > 0 THEN 'mismatch' ELSE 'ok' END AS status FROM x LEFT JOIN b USING (level)""")
+@query("""WITH l AS (SELECT page_id % 4 AS level, page_id || '/' || url AS key, length(html) // 500 AS size FROM pages),
+x(level, expected) AS (VALUES (0::BIGINT, 2::BIGINT), (1, 4), (2, NULL), (3, 999), (5, 1)),
+b AS (SELECT l.level, l.key, row_number() OVER (PARTITION BY l.level ORDER BY l.key) AS k FROM l JOIN x USING (level) WHERE size <> expected),
+s AS (SELECT level, count(*) AS objects FROM l GROUP BY level), e AS (SELECT level, count(*) AS bad, string_agg(key, ',' ORDER BY k) FILTER (k <= 5) AS examples FROM b GROUP BY level)
+SELECT x.level, expected, coalesce(objects, 0) AS objects, coalesce(bad, 0) AS bad, examples, CASE WHEN expected IS NULL THEN 'not_applicable' WHEN coalesce(objects, 0) = 0 THEN 'unverified' WHEN coalesce(bad, 0) > 0 THEN 'mismatch' ELSE 'ok' END AS status FROM x LEFT JOIN s USING (level) LEFT JOIN e USING (level)""")
 def a06_size_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("level"), F.col("url").alias("key"), F.expr("length(html) div 500").alias("size"))
-    return op.size_census(listing, "level", "key", "size")
+    """Page sizes against declared ones: level 3 declares a size that none of its objects has, level 2 is compressed, level 5 has no object."""
+    listing = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("level"), F.concat_ws("/", F.col("page_id").cast("string"), "url").alias("key"), F.expr("length(html) div 500").alias("size"))
+    rows = [(0, [1, 2], 1, True), (1, [2, 2], 1, True), (2, [2, 2], 1, False), (3, [9, 111], 1, True), (5, [1], 1, True)]
+    return op.size_census(listing, spark.createDataFrame(rows, "level long, chunks array<long>, itemsize int, plain boolean"), "level", "key", "size")
 
 
 @query(f"WITH {VOXELS}, h AS (SELECT volume, ct, count(*) AS n FROM voxels GROUP BY ALL) SELECT volume, count(*) AS values, sum(CASE WHEN ct <> 0 THEN n ELSE 0 END)::BIGINT AS nonzero, CASE WHEN sum(CASE WHEN ct <> 0 THEN n ELSE 0 END) = 0 THEN 'unverified' WHEN count(*) <= 2 THEN 'binary' ELSE 'graded' END AS kind FROM h GROUP BY volume")

@@ -51,7 +51,10 @@ def leaderboard(scores: DataFrame, key: str, score: str = "score") -> DataFrame:
     s = F.col(score)
     tier = F.when(s >= 70, "S").when(s >= 60, "A").when(s >= 45, "B").otherwise("C")
     edge = F.when(s == 80, 75).when((s >= 25) & (s < 80), (F.floor(s / 5) * 5).cast("int"))
-    return scores.select(key, score, F.row_number().over(Window.orderBy(F.desc(score), key)).alias("rank"), tier.alias("tier"), edge.alias("bin"))
+    from plumbline.operators.sampling import global_rank
+
+    ranked = global_rank(scores.select(key, score, (-s).alias("__down")), ["__down", key], "rank")
+    return ranked.select(key, score, F.col("rank").cast("int").alias("rank"), tier.alias("tier"), edge.alias("bin"))
 
 
 def status_counts(df: DataFrame, keys: list[str], status: str, names: list[str]) -> DataFrame:
@@ -79,14 +82,26 @@ def pooled_support(audit: DataFrame) -> DataFrame:
     return audit.agg(F.sum("positives").alias("positives"), F.sum("phantom").alias("phantom"), F.bool_and(F.col("voxels") > 0).alias("complete")).withColumn("support", 1 - ratio(F.col("phantom"), F.col("positives")))
 
 
-def size_census(listing: DataFrame, level: str, key: str, size: str) -> DataFrame:
-    """Objects by level against the level's most frequent size (ties: the smaller): ok, mismatch or unverified, with five examples."""
-    counts = listing.groupBy(level, size).agg(F.count("*").alias("n"))
-    expected = counts.groupBy(level).agg(F.min_by(size, F.struct(-F.col("n"), F.col(size))).alias("expected"), F.sum("n").alias("objects"))
-    bad = listing.join(F.broadcast(expected), level).where(F.col(size) != F.col("expected"))
-    bad = bad.groupBy(level).agg(F.count("*").alias("bad"), F.min(key).alias("first_bad"))
-    out = expected.join(bad, level, "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
-    return out.withColumn("status", F.when(F.col("objects") == 0, "unverified").when(F.col("bad") > 0, "mismatch").otherwise("ok"))
+def size_census(listing: DataFrame, declared: DataFrame, level: str, key: str, size: str) -> DataFrame:
+    """Objects by level against what the level declares: ok, mismatch, unverified (no object) or not_applicable (compressed, filtered or of unknown type), with the first five that differ.
+
+    declared: level, chunks (array), itemsize (NULL: unknown), plain (false: compressed or filtered).
+    Names that begin with a dot are no chunks. A level that is listed but not declared is unverified.
+    """
+    product = F.aggregate("chunks", F.lit(1).cast("long"), lambda a, x: a * x)
+    known = declared.select(level, F.when(F.col("plain") & F.col("itemsize").isNotNull(), product * F.col("itemsize")).alias("expected"), F.lit(True).alias("declared"))
+    chunks = listing.where(~F.substring_index(key, "/", -1).startswith("."))
+    counts = chunks.groupBy(level, size).agg(F.count("*").alias("n"))
+    odd = counts.join(known, level).where(F.col(size) != F.col("expected")).select(level, size)
+    # of each level and size the first five names, then of each level
+    first = F.row_number().over(Window.partitionBy(level, size).orderBy(key))
+    some = chunks.join(odd, [level, size]).withColumn("__k", first).where(F.col("__k") <= 5)
+    five = some.groupBy(level).agg(F.slice(F.array_sort(F.collect_list(key)), 1, 5).alias("examples"))
+    sums = counts.groupBy(level).agg(F.sum("n").alias("objects"))
+    out = known.join(sums, level, "full").join(counts.join(odd, [level, size]).groupBy(level).agg(F.sum("n").alias("bad")), level, "left").join(five, level, "left")
+    out = out.withColumns({"objects": F.coalesce("objects", F.lit(0)), "bad": F.coalesce("bad", F.lit(0))})
+    status = F.when(F.col("declared").isNull(), "unverified").when(F.col("expected").isNull(), "not_applicable").when(F.col("objects") == 0, "unverified").when(F.col("bad") > 0, "mismatch").otherwise("ok")
+    return out.select(level, "expected", "objects", "bad", F.array_join("examples", ",").alias("examples"), status.alias("status"))
 
 
 def value_census(vox: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -107,12 +122,24 @@ def otsu(vox: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def support_distance(vox: DataFrame, keys: list[str], pred: str, ct: str, edges: list[float]) -> DataFrame:
-    """Distance of each phantom voxel to the nearest supported one of its chunk, in bins; -1 where there is none."""
+    """Distance of each phantom voxel to the nearest supported one of its chunk, in bins; -1 where there is none.
+
+    Squared distances are sums over the axes, so the minimum is taken axis by axis: along x within each
+    line that has support, then over y, then over z. A row holds one line of a chunk; the work is the
+    side of a chunk for each of its voxels, not all pairs of voxels.
+    """
     on = vox.where(F.col(pred) > 0)
     ghost = on.where(F.col(ct) == 0).select(*keys, *AXES)
-    firm = on.where(F.col(ct) != 0).select(*keys, *[F.col(a).alias(f"s{a}") for a in AXES])
-    d2 = sum((F.pow(F.col(a) - F.col(f"s{a}"), F.lit(2)) for a in AXES[1:]), F.pow(F.col("z") - F.col("sz"), F.lit(2)))
-    near = ghost.join(firm, keys, "left").groupBy(*keys, *AXES).agg(F.sqrt(F.min(d2)).alias("d"))
+    line = on.where(F.col(ct) != 0).groupBy(*keys, "z", "y").agg(F.collect_list("x").alias("at"))
+    wanted = {a: ghost.groupBy(*keys).agg(F.collect_set(a).alias("to")) for a in ("x", "y")}
+    square = lambda a, b: (a - b) * (a - b)
+    d = line.join(wanted["x"], keys).select(*keys, "z", "y", "at", F.explode("to").alias("x"))
+    d = d.select(*keys, "z", "x", F.struct("y", F.array_min(F.transform("at", lambda s: square(s, F.col("x")))).alias("d")).alias("s"))
+    nearest = lambda to: F.array_min(F.transform("at", lambda s: s["d"] + square(s["k"], F.col(to))))
+    d = d.groupBy(*keys, "z", "x").agg(F.collect_list(F.struct(F.col("s.y").alias("k"), F.col("s.d").alias("d"))).alias("at"))
+    d = d.join(wanted["y"], keys).select(*keys, "z", "x", "at", F.explode("to").alias("y")).select(*keys, "x", "y", F.struct(F.col("z").alias("k"), nearest("y").alias("d")).alias("s"))
+    d = d.groupBy(*keys, "x", "y").agg(F.collect_list("s").alias("at"))
+    near = ghost.join(d, [*keys, "x", "y"], "left").select(*keys, F.sqrt(nearest("z")).alias("d"))
     which = sum(((F.col("d") > e).cast("int") for e in edges[1:]), (F.col("d") > edges[0]).cast("int"))
     return near.withColumn("bin", F.coalesce(which, F.lit(-1))).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
@@ -140,6 +167,18 @@ def neighbour_classes(chunks: DataFrame, volume: str, has: str) -> DataFrame:
     return out.withColumn("class", F.when(F.col(has), "supported").when(F.col("near"), "halo").when(F.col("gap"), "unresolved").otherwise("beyond"))
 
 
+def halo(vox: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """What each chunk gets from its 26 neighbours (those that exist): keys, cz, cy, cx, the places z, y, x in it, from -1 to ``size``, and v. A voxel is sent once for each neighbour that it touches; nothing is joined but the list of chunks."""
+    out = vox
+    for a in AXES:
+        ways = F.array_compact(F.array(F.lit(0), F.when(F.col(a) == 0, -1), F.when(F.col(a) == size - 1, 1)))
+        out = out.withColumn(f"d{a}", F.explode(ways))
+    out = out.where("dz <> 0 OR dy <> 0 OR dx <> 0")
+    sent = out.select(*keys, *[(F.col(f"c{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in AXES], *[(F.col(a) - size * F.col(f"d{a}")).alias(a) for a in AXES], "v")
+    place = [*keys, *[f"c{a}" for a in AXES]]
+    return sent.join(vox.select(*place).distinct(), place, "left_semi")
+
+
 def trilinear(points: DataFrame, vox: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """Value at fractional px, py, pz between eight corners; NULL if a corner is missing. points: keys, pid, pz, py, px."""
     corner = points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
