@@ -113,8 +113,8 @@ def g12_phase_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases unwrapped along the rows of each surface: net phase and steps too wide to trust."""
     from pyspark.sql import Window
 
-    phase = (F.col("z") * 0.01) % 1
-    d = grid(spark, sf_dir).select("surface", "row", (phase - F.lag(phase).over(Window.partitionBy("surface", "row").orderBy("col"))).alias("d"))
+    phase, w = (F.col("z") * 0.01) % 1, Window.partitionBy("surface", "row").orderBy("col")
+    d = grid(spark, sf_dir).select("surface", "row", F.when(F.lag("col").over(w) == F.col("col") - 1, phase - F.lag(phase).over(w)).alias("d"))
     w = F.col("d") - F.round("d")
     return _rounded(d.groupBy("surface", "row").agg(F.round(F.sum(w), 4).alias("net"), F.count_if(F.abs(w) > 0.25).alias("wide")))
 
@@ -130,9 +130,9 @@ def a62_degree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.agg(F.first("n").alias("n"), at(0.5).alias("q50"), at(0.9).alias("q90"))
 
 
-def _grid_components(cells: DataFrame) -> DataFrame:
+def _grid_components(cells: DataFrame, diagonal: bool = False) -> DataFrame:
     """Cells with their component: rows collapse into runs, runs that touch downwards are edges."""
-    touch, runs = surfaces.cell_edges(cells, ["surface"], 100)
+    touch, runs = surfaces.cell_edges(cells, ["surface"], 100, diagonal)
     named = op.components(touch, "run", "under")
     return runs.join(named, runs["run"] == named["node"], "left").select("surface", "row", "col", F.coalesce("component", "run").alias("label"))
 
@@ -143,21 +143,38 @@ def a76_region_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid_components(grid(spark, sf_dir).where("p >= 0.75").select("surface", "row", "col")).groupBy("surface", "label").agg(F.count("*").alias("area"))
 
 
+@query()
+def a48_betti_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces (b0, corners joined) and holes (b1 = b0 - V + E - F) of the cells at or above each threshold; tested against flood filling."""
+    g = grid(spark, sf_dir)
+    chi = surfaces.euler(g, ["surface"], "p", [0.3, 0.6, 0.9])
+    out = None
+    for t in (0.3, 0.6, 0.9):
+        n = _grid_components(g.where(F.col("p") >= t).select("surface", "row", "col"), diagonal=True).groupBy("surface").agg(F.count_distinct("label").alias("b0")).withColumn("t", F.lit(t))
+        out = n if out is None else out.unionByName(n)
+    return chi.join(out, ["surface", "t"]).select("surface", "t", "euler", "b0", (F.col("b0") - F.col("euler")).alias("b1"))
+
+
 @query()
 def a49_threshold_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area of the component that holds each surface's peak, threshold by threshold, and its retention."""
+    """For the peak of each component at the highest threshold: area and centre of the component that holds it, threshold by threshold downwards, growth and drift against the threshold above, and whether a stronger peak has taken it over; tested against flood filling."""
     from pyspark.sql import Window
 
     g = grid(spark, sf_dir)
-    peak = g.groupBy("surface").agg(F.max_by(F.struct("row", "col"), F.struct("p", -F.col("row"), -F.col("col"))).alias("k")).select("surface", "k.row", "k.col")
-    out = None
-    for t in (0.55, 0.65, 0.75):
-        c = _grid_components(g.where(F.col("p") >= t).select("surface", "row", "col"))
-        own = c.join(peak, ["surface", "row", "col"]).select("surface", "label")
-        part = c.join(own, ["surface", "label"]).groupBy("surface").agg(F.count("*").alias("area"), F.avg("row").alias("cy"), F.avg("col").alias("cx")).withColumn("t", F.lit(t))
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("surface").orderBy("t")
-    return out.withColumn("retained", F.col("area") / F.lag("area").over(w)).withColumn("drift", F.sqrt(F.pow(F.col("cy") - F.lag("cy").over(w), 2) + F.pow(F.col("cx") - F.lag("cx").over(w), 2)))
+    out = peaks = None
+    for t in (0.75, 0.65, 0.55):
+        cells = op.settled(_grid_components(g.where(F.col("p") >= t).select("surface", "row", "col")).join(g.select("surface", "row", "col", "p"), ["surface", "row", "col"]))
+        top = F.max_by(F.struct("row", "col"), F.struct("p", -F.col("row"), -F.col("col")))
+        parts = cells.groupBy("surface", "label").agg(F.count("*").alias("area"), F.avg("row").alias("cy"), F.avg("col").alias("cx"), top.alias("own"))
+        if peaks is None:
+            peaks = op.settled(parts.select("surface", F.col("own.row").alias("row"), F.col("own.col").alias("col")))
+        held = cells.join(peaks, ["surface", "row", "col"]).join(parts, ["surface", "label"])
+        taken = (F.col("own.row") != F.col("row")) | (F.col("own.col") != F.col("col"))
+        held = held.select("surface", "row", "col", F.lit(t).alias("t"), "area", "cy", "cx", taken.alias("taken_over"))
+        out = held if out is None else out.unionByName(held)
+    w = Window.partitionBy("surface", "row", "col").orderBy(F.desc("t"))
+    drift = F.sqrt(F.pow(F.col("cy") - F.lag("cy").over(w), 2) + F.pow(F.col("cx") - F.lag("cx").over(w), 2))
+    return out.withColumns({"growth": F.col("area") / F.lag("area").over(w), "drift": drift})
 
 
 @query("WITH c AS (SELECT o_custkey % 40 AS label, o_orderpriority AS side FROM orders), n AS (SELECT label, count(*) FILTER (side = '1-URGENT') AS a, count(*) FILTER (side = '2-HIGH') AS b, count(*) AS seeds FROM c GROUP BY label), e AS (SELECT *, a >= 60 AND b >= 60 AND seeds >= 0.027 * sum(seeds) OVER () AS eligible FROM n) SELECT label, a AS \"1-URGENT\", b AS \"2-HIGH\", seeds, eligible, eligible AND count(*) FILTER (eligible) OVER () = 1 AS chosen FROM e")

@@ -20,15 +20,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges (u, v) there are, and whether they are stars: no node points to two, and none that is pointed to points on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    each = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    n, most = each.agg(F.coalesce(F.sum("out"), F.lit(0)), F.coalesce(F.max(F.col("out") + F.col("into")), F.lit(0))).first()
+    return int(n), most <= 1
 
 
-def _with_lowest(pairs: DataFrame, keep_own: bool) -> DataFrame:
-    """pairs (u, v) with m, the smallest v of each u (or u itself). Hubs stand out: nodes with more than 1/512 of the pairs, 512 at most, are broadcast, and their pairs are dealt out for the join of the others."""
+def _with_lowest(pairs: DataFrame, keep_own: bool, most: int) -> DataFrame:
+    """pairs (u, v), ``most`` at most, with m, the smallest v of each u (or u itself). Hubs stand out: nodes with more than ``most`` / 512 of the pairs, so at most 512, are broadcast, and their pairs are dealt out for the join of the others."""
     least = F.least(F.min("v"), F.col("u")) if keep_own else F.min("v")
     low = pairs.groupBy("u").agg(least.alias("m"), F.count("*").alias("w"))
-    cut = pairs.count() // 512
+    cut = most // 512
     heavy = low.where(F.col("w") > cut).select(F.col("u").alias("hu"), F.col("m").alias("hm"))
     light = low.where(F.col("w") <= cut).select(F.col("u").alias("lu"), F.col("m").alias("lm"), F.lit(0).alias("ls"))
     met = pairs.join(F.broadcast(heavy), pairs["u"] == heavy["hu"], "left")
@@ -40,19 +44,26 @@ def _with_lowest(pairs: DataFrame, keep_own: bool) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches, by large-star and small-star rounds."""
     now = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = _mark(now)
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = settled(_with_lowest(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        met = _with_lowest(large, False)
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = settled(small)
-        after = _mark(now)
-        if after == mark:
+        n, stars = _stars(now)
+        if stars:
             roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        mark = after
-    raise RuntimeError(f"no fixpoint in {rounds} rounds")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = settled(_with_lowest(both, True, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        met = _with_lowest(large, False, 2 * n)
+        now = settled(met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+    raise RuntimeError(f"no stars in {rounds} rounds")
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """One table of parts that are each written once; a part in 64 is written again so that plans stay short."""
+    while len(parts) > 64:
+        parts = [settled(united(parts[k : k + 64])) for k in range(0, len(parts), 64)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bfs_forest(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -61,14 +72,16 @@ def bfs_forest(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     both = settled(edges.select("eid", F.col("i").alias("s"), F.col("j").alias("t"), "d").unionByName(edges.select("eid", F.col("j").alias("s"), F.col("i").alias("t"), (-F.col("d")).alias("d"))))
     kind = dict(edges.dtypes)
     tree = settled(comp.select(F.col("component").alias("node"), F.lit(None).cast(kind["i"]).alias("parent"), F.lit(None).cast(kind["eid"]).alias("eid"), F.lit(0).alias("level"), F.col("component").alias("root"), F.lit(0).cast("long").alias("pot")).distinct())
-    front = tree
+    fronts, before, front = [tree], None, tree
     for level in range(1, rounds):
         step = front.join(both, front["node"] == both["s"]).select(F.col("t").alias("node"), F.col("s").alias("parent"), both["eid"], F.lit(level).alias("level"), "root", (F.col("pot") + F.col("d")).cast("long").alias("pot"))
-        step = step.groupBy("node").agg(F.min_by(F.struct("parent", "eid", "level", "root", "pot"), F.struct("eid", "parent")).alias("x")).select("node", "x.*").join(tree.select("node"), "node", "left_anti")
-        front = settled(step)
+        step = step.groupBy("node").agg(F.min_by(F.struct("parent", "eid", "level", "root", "pot"), F.struct("eid", "parent")).alias("x")).select("node", "x.*")
+        # a neighbour of a level is of it or of the levels beside it
+        known = front.select("node") if before is None else front.select("node").unionByName(before.select("node"))
+        before, front = front, settled(step.join(known, "node", "left_anti"))
         if front.isEmpty():
-            return tree
-        tree = settled(tree.unionByName(front))
+            return united(fronts)
+        fronts.append(front)
     raise RuntimeError(f"deeper than {rounds} levels")
 
 
@@ -80,13 +93,14 @@ def bridges(edges: DataFrame) -> DataFrame:
     own = mark.groupBy("node").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
     state = settled(tree.join(own, "node", "left").select("node", "parent", "eid", "level", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")))
     deep = tree.agg(F.max("level")).first()[0] or 0
-    out = state.limit(0)
+    levels, up = [], None
     for level in range(deep, 0, -1):
         here = state.where(F.col("level") == level)
-        out = settled(out.unionByName(here))
-        up = here.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("a").alias("ua"), F.bit_xor("b").alias("ub"))
-        rest = state.where(F.col("level") < level).join(up, "node", "left")
-        state = settled(rest.select("node", "parent", "eid", "level", F.col("a").bitwiseXOR(F.coalesce("ua", F.lit(0))).alias("a"), F.col("b").bitwiseXOR(F.coalesce("ub", F.lit(0))).alias("b")))
+        if up is not None:
+            here = here.join(up, "node", "left").select("node", "parent", "eid", "level", F.col("a").bitwiseXOR(F.coalesce("ua", F.lit(0))).alias("a"), F.col("b").bitwiseXOR(F.coalesce("ub", F.lit(0))).alias("b"))
+        levels.append(settled(here))
+        up = levels[-1].groupBy(F.col("parent").alias("node")).agg(F.bit_xor("a").alias("ua"), F.bit_xor("b").alias("ub"))
+    out = united(levels) if levels else state.limit(0)
     return edges.join(out.where("a = 0 AND b = 0").select("eid"), "eid", "left_semi")
 
 
@@ -140,17 +154,18 @@ def walk_counts(edges: DataFrame, length: int) -> DataFrame:
 def closure(parents: DataFrame, child: str, parent: str, rounds: int = 1000) -> DataFrame:
     """(node, ancestor, depth): all ancestors, nearest depth; a node that reaches itself is a cycle and refused."""
     step = parents.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
-    seen = settled(step.withColumn("depth", F.lit(1)))
-    front = seen
+    front = settled(step.withColumn("depth", F.lit(1)))
+    fronts = [front]
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
     for depth in range(2, rounds):
         nxt = front.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = settled(nxt.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        front = settled(nxt.join(united(fronts).select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
         if front.isEmpty():
+            seen = united(fronts)
             if not seen.where("node = ancestor").isEmpty():
                 raise ValueError("the lineage has a cycle")
             return seen
-        seen = settled(seen.unionByName(front))
+        fronts.append(front)
     raise RuntimeError(f"deeper than {rounds}")
 
 
