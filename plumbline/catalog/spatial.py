@@ -21,9 +21,9 @@ def j05_radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(op.within_radius(points(spark, sf_dir), "frame", "id", ["x", "y", "z"], 4.0))
 
 
-@query(f"WITH {BOXES}, {POINTS} SELECT points.id AS point, boxes.id AS box FROM points JOIN boxes ON x >= x0 - 0.5 AND x <= x1 + 0.5 AND y >= y0 - 0.5 AND y <= y1 + 0.5 WHERE volume = 'ECONOMY'")
+@query(f"WITH {BOXES}, {POINTS} SELECT points.id AS point, boxes.id AS box FROM points JOIN boxes ON x >= x0 - 0.5 AND x <= x1 + 0.5 AND y >= y0 - 0.5 AND y <= y1 + 0.5")
 def j06_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where("volume = 'ECONOMY'").withColumnRenamed("id", "box")
+    b = boxes(spark, sf_dir).withColumnRenamed("id", "box")
     p = points(spark, sf_dir).select(F.col("id").alias("point"), "x", "y")
     return op.points_in_boxes(p, b, ["x", "y"], "point", "box", 0.5, 5.0)
 
@@ -185,12 +185,18 @@ def a15_axial_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.axial_coverage(m, ["frame"], "z", 0.0, 1000.0, 10)
 
 
-@query(f"""WITH {_NEAR}, m AS (SELECT t.frame, t.id, min(sqrt((q.x - t.x) ^ 2 + (q.y - t.y) ^ 2)) AS d FROM t LEFT JOIN q ON q.frame = t.frame AND abs(q.x - t.x) <= 5 AND abs(q.y - t.y) <= 5 GROUP BY ALL),
-a AS (SELECT frame, avg(coalesce(d <= 2, false)::INTEGER) AS recall FROM n GROUP BY frame), b AS (SELECT frame, avg(coalesce(d <= 2, false)::INTEGER) AS precision FROM m GROUP BY frame)
-SELECT frame, round(recall, 6) AS recall, round(precision, 6) AS precision, round(least(recall, precision), 6) AS worst FROM a JOIN b USING (frame)""")
+def _way(source: str, name: str, share: str) -> str:
+    q = ", ".join(f"round(quantile_cont(d, {p}), 6) AS {name}_{c}" for p, c in ((0.5, "p50"), (0.95, "p95"), (1.0, "max")))
+    return f"SELECT frame, avg(coalesce(d <= 2, false)::INTEGER) AS {share}, {q}, count(*) FILTER (d IS NULL) AS {name}_beyond FROM {source} GROUP BY frame"
+
+
+@query(f"""WITH {_NEAR}, m AS (SELECT t.frame, t.id, min(sqrt((q.x - t.x) ^ 2 + (q.y - t.y) ^ 2)) AS d FROM t LEFT JOIN q ON q.frame = t.frame AND (q.x - t.x) ^ 2 + (q.y - t.y) ^ 2 <= 25 AND abs(q.x - t.x) <= 5 AND abs(q.y - t.y) <= 5 GROUP BY ALL),
+a AS ({_way("n", "truth", "recall")}), b AS ({_way("m", "found", "precision")}), k AS (SELECT n.frame, w, avg(coalesce(d <= 2, false)::INTEGER) AS covered FROM n JOIN q USING (id) GROUP BY ALL), z AS (SELECT frame, round(avg((covered > 0)::INTEGER), 6) AS component_recall, round(min(covered), 6) AS worst_component FROM k GROUP BY frame)
+SELECT * REPLACE (round(recall, 6) AS recall, round(precision, 6) AS precision), round(least(recall, precision), 6) AS worst FROM a JOIN b USING (frame) JOIN z USING (frame)""")
 def a46_surface_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even points against odd ones; a truth component is a winding."""
     p = points(spark, sf_dir)
-    return _rounded(op.surface_recovery(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["frame"], ["x", "y"], 2.0, 5.0))
+    return _rounded(op.surface_recovery(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["frame"], ["x", "y"], 2.0, 5.0, "w"))
 
 
 @query("WITH n AS (SELECT s_suppkey, s_acctbal, n FROM supplier JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_suppkey = s_suppkey) SELECT s_suppkey, s_acctbal, n::DOUBLE AS n FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.s_acctbal >= a.s_acctbal AND b.n <= a.n AND (b.s_acctbal > a.s_acctbal OR b.n < a.n))")
@@ -218,12 +224,13 @@ def w13_group_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") - F.median("value").over(Window.partitionBy("user_id"))).alias("over")))
 
 
-@query(f"WITH {POINTS}, p AS (SELECT p.*, 4 * floor(id / 4) AS cx FROM points p), o AS (SELECT id, a.i AS i, b.j AS j FROM points, range(-1, 2) a(i), range(-1, 2) b(j) WHERE id % 10 = 0) SELECT o.id, o.i::INTEGER AS i, o.j::INTEGER AS j, round(x + 2 * o.i, 6) AS gx, round(y + 2 * o.j, 6) AS gy FROM o JOIN points USING (id)")
+@query(f"""WITH {POINTS}, o AS (SELECT id, 2 * i AS a, 2 * j AS b, 2 * k AS c, i, j, k, theta FROM points, range(-1, 2) r(i), range(-1, 2) s(j), range(-1, 2) t(k))
+SELECT o.id, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, round(x + cos(radians(o.theta)) * a - sin(radians(o.theta)) * b, 6) AS gx, round(y + sin(radians(o.theta)) * a + cos(radians(o.theta)) * b, 6) AS gy, round(z + c, 6) AS gz FROM o JOIN points USING (id)""")
 def p26_sampling_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 3 x 3 lattice of step 2 around every tenth point (the centres of the plan)."""
-    side = F.sequence(F.lit(-1), F.lit(1))
-    p = points(spark, sf_dir).where("id % 10 = 0").withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
-    return _rounded(p.select("id", "i", "j", (F.col("x") + 2 * F.col("i")).alias("gx"), (F.col("y") + 2 * F.col("j")).alias("gy")))
+    """A 3 x 3 x 3 lattice of step 2 around every point, turned so that its first axis points outwards."""
+    p = points(spark, sf_dir).select("id", "x", "y", "z", F.radians("theta").alias("t"))
+    out, up, zero = F.array(F.cos("t"), F.sin("t"), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), F.array(-F.sin("t"), F.cos("t"), F.lit(0.0))
+    return _rounded(op.lattice(p, ["id"], ["x", "y", "z"], 3, 2.0, [out, zero, up]))
 
 
 @query(f"WITH {_STEPS} SELECT trace_id, ord // 9 AS span, count(*) FILTER (step > 0) AS steps, round(sum(step), 6) AS length, count(*) FILTER (step > 0) >= 4 AND count(*) >= 3 AS eligible FROM steps GROUP BY ALL")

@@ -10,13 +10,14 @@ from plumbline.catalog.fixtures import GRID, VOXELS, grid, table, trace, voxels
 from plumbline.catalog.registry import query
 from plumbline.catalog.voxels import _rounded
 from plumbline.operators import callables, surfaces
+from plumbline.operators import voxels as voxel_op
 from plumbline.sources import files
 from plumbline.streaming import trackers
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; on our own only where nothing is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder in the shared one that the session or its context names; one of our own only where neither does."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
 
 
@@ -183,27 +184,24 @@ def a51_mask_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("lift", F.round(F.col("inside") - F.col("outside"), 6))
 
 
-@query(f"WITH {VOXELS}, h AS (SELECT a.volume, a.chunk, count(*) AS halo, sum(b.v)::BIGINT AS total FROM (SELECT DISTINCT volume, chunk FROM voxels) a JOIN voxels b ON a.volume = b.volume AND abs(a.chunk - b.chunk) = 1 AND CASE WHEN b.chunk < a.chunk THEN b.z = 3 ELSE b.z = 0 END GROUP BY ALL) SELECT * FROM h")
+_CHUNKS = f"{VOXELS}, w AS (SELECT volume, chunk // 100 AS cz, (chunk // 10) % 10 AS cy, chunk % 10 AS cx, z, y, x, v FROM voxels)"
+_SENDS = " AND ".join(f"(d{a} = 0 OR d{a} = -1 AND {a} = 0 OR d{a} = 1 AND {a} = 3)" for a in "zyx")
+
+
+@query(f"""WITH {_CHUNKS}, s AS (SELECT volume, cz + dz AS cz, cy + dy AS cy, cx + dx AS cx, z - 4 * dz AS z, y - 4 * dy AS y, x - 4 * dx AS x, v FROM w, range(-1, 2) i(dz), range(-1, 2) j(dy), range(-1, 2) k(dx) WHERE (dz <> 0 OR dy <> 0 OR dx <> 0) AND {_SENDS})
+SELECT volume, cz, cy, cx, count(*) AS halo, sum(v)::BIGINT AS total, sum(v * (z + 7 * y + 49 * x))::BIGINT AS placed FROM s JOIN (SELECT DISTINCT volume, cz, cy, cx FROM w) USING (volume, cz, cy, cx) GROUP BY ALL""")
 def v01_halo_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk's border planes sent to the chunk before and after it of its volume."""
-    v = voxels(spark, sf_dir)
-    ids = v.select("volume", "chunk").distinct()
-    sent = v.where("z = 3").withColumn("chunk", F.col("chunk") + 1).unionByName(v.where("z = 0").withColumn("chunk", F.col("chunk") - 1))
-    return sent.join(ids, ["volume", "chunk"]).groupBy("volume", "chunk").agg(F.count("*").alias("halo"), F.sum("v").alias("total"))
+    """Each chunk's border voxels sent to its 26 neighbours of the same volume, with their places there."""
+    v = voxels(spark, sf_dir).select("volume", F.expr("chunk div 100").alias("cz"), F.expr("(chunk div 10) % 10").alias("cy"), (F.col("chunk") % 10).alias("cx"), "z", "y", "x", "v")
+    h = voxel_op.halo(v, ["volume"], 4)
+    return h.groupBy("volume", "cz", "cy", "cx").agg(F.count("*").alias("halo"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("z") + 7 * F.col("y") + 49 * F.col("x"))).alias("placed"))
 
 
 @query()
 def a70_axial_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two axes for each tile by weighted 2-means on doubled angles, 24 rounds for all tiles at once."""
-    t = surfaces.tile_orientation(grid(spark, sf_dir), "z", 5).select("surface", F.floor(F.col("tr") / 2).alias("tr"), F.floor(F.col("tc") / 2).alias("tc"), "angle", "energy").where("angle IS NOT NULL")
-    c = t.groupBy("surface", "tr", "tc").agg(F.min("angle").alias("a"), F.max("angle").alias("b"))
-    two = F.radians(2 * F.col("angle"))
-    for _ in range(4):
-        d = lambda c: F.least(F.pmod(F.col("angle") - F.col(c), F.lit(180.0)), 180 - F.pmod(F.col("angle") - F.col(c), F.lit(180.0)))
-        j = t.join(c, ["surface", "tr", "tc"]).withColumn("first", d("a") <= d("b"))
-        mean = lambda k: 0.5 * F.degrees(F.atan2(F.sum(F.when(F.col("first") == k, F.col("energy") * F.sin(two))), F.sum(F.when(F.col("first") == k, F.col("energy") * F.cos(two)))))
-        c = j.groupBy("surface", "tr", "tc").agg(F.coalesce(mean(True), F.first("a")).alias("a"), F.coalesce(mean(False), F.first("b")).alias("b"))
-    return c
+    """Two axes for each block of tiles and where they turn to the next block; tested against a loop."""
+    t = surfaces.tile_orientation(grid(spark, sf_dir), "z", 5).select("surface", F.floor(F.col("tr") / 2).alias("tr"), F.floor(F.col("tc") / 2).alias("tc"), F.col("tr").alias("r"), F.col("tc").alias("c"), "angle", "energy").where("angle IS NOT NULL AND energy > 0")
+    return surfaces.frame_turns(surfaces.two_axes(t, ["surface", "tr", "tc"], ["r", "c"], "angle", "energy"), 30.0)
 
 
 @query(f"WITH {VOXELS}, a AS (SELECT volume, chunk, v > 120 AS a, ct > 120 AS b, abs(v - ct) AS d FROM voxels), g AS (SELECT volume, chunk, count(*) FILTER (a AND b) / nullif(count(*) FILTER (a OR b), 0) AS iou, quantile_cont(d::DOUBLE, 0.95) AS p95 FROM a GROUP BY ALL) SELECT volume, chunk, round(iou, 6) AS iou, round(p95, 6) AS p95, CASE WHEN iou IS NULL THEN 'unverified' WHEN iou >= 0.8 THEN 'stable' ELSE 'sensitive' END AS status FROM g")
@@ -225,7 +223,7 @@ def v06_probe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a65_leave_one_domain_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L2 logistic regression with a quadratic term, one fit for each held-out language, its scores' FPR at 0.9 recall. Fits are few (a row for each language); their rows stay distributed."""
+    """L2 logistic regression with quadratic terms, one fit for each held-out language and arm (length alone, with the signs), its scores' FPR at 0.9 recall. Fits are few (two for each language); their rows stay distributed. Tested against Newton's method."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -233,13 +231,15 @@ def a65_leave_one_domain_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.operators.evaluation import fpr_at_recall
 
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", F.col("quality").cast("double").alias("label"), F.log1p("n_chars").alias("a"), (F.length(F.regexp_replace("text", "[^!*#$%&|]", "")) / F.greatest(F.lit(1), F.length("text"))).alias("b"))
-    x = PolynomialExpansion(degree=2, inputCol="raw", outputCol="features").transform(VectorAssembler(inputCols=["a", "b"], outputCol="raw").transform(d)).select("lang", "label", "features")
+    held = [r.lang for r in d.select("lang").distinct().orderBy("lang").collect()]
     out = None
-    for (held,) in d.select("lang").distinct().orderBy("lang").collect():
-        m = LogisticRegression(regParam=0.01, elasticNetParam=0.0, maxIter=20).fit(x.where(F.col("lang") != held))
-        s = m.transform(x.where(F.col("lang") == held)).select(F.lit(held).alias("held"), vector_to_array("probability")[1].alias("score"), (F.col("label") == 1).alias("y"))
-        f = fpr_at_recall(s, ["held"], "score", "y", 0.9)
-        out = f if out is None else out.unionByName(f)
+    for arm, inputs in (("length", ["a"]), ("length and signs", ["a", "b"])):
+        x = PolynomialExpansion(degree=2, inputCol="raw", outputCol="features").transform(VectorAssembler(inputCols=inputs, outputCol="raw").transform(d)).select("lang", "label", "features")
+        for lang in held:
+            m = LogisticRegression(regParam=0.01, elasticNetParam=0.0, maxIter=100, tol=1e-9).fit(x.where(F.col("lang") != lang))
+            s = m.transform(x.where(F.col("lang") == lang)).select(F.lit(arm).alias("arm"), F.lit(lang).alias("held"), vector_to_array("probability")[1].alias("score"), (F.col("label") == 1).alias("y"))
+            f = fpr_at_recall(s, ["arm", "held"], "score", "y", 0.9)
+            out = f if out is None else out.unionByName(f)
     return out
 
 

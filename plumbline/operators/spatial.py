@@ -90,19 +90,29 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], axes: list[
 
 
 def interpolated(points: DataFrame, controls: DataFrame, at: str, values: list[str]) -> DataFrame:
-    """Values of a control curve at ``at``, linear between controls and beyond the ends, which is marked. The curve's segments are few and broadcast after a check of their number."""
-    w = Window.orderBy(at)
-    nxt = F.lead(at).over(w)
-    seg = controls.select(F.col(at).alias("__z0"), nxt.alias("__z1"), *[F.col(v).alias(f"__{v}0") for v in values], *[F.lead(v).over(w).alias(f"__{v}1") for v in values], F.row_number().over(w).alias("__k"))
-    seg = seg.where(F.col("__z1").isNotNull())
-    first = F.min("__k").over(Window.partitionBy(F.lit(0))) == F.col("__k")
-    last = F.max("__k").over(Window.partitionBy(F.lit(0))) == F.col("__k")
-    seg = seg.withColumn("__lo", F.when(first, F.lit(float("-inf"))).otherwise(F.col("__z0"))).withColumn("__hi", F.when(last, F.lit(float("inf"))).otherwise(F.col("__z1")))
-    small = seg.limit(10_001).count() <= 10_000
-    got = points.join(F.broadcast(seg) if small else seg, (F.col(at) >= F.col("__lo")) & (F.col(at) < F.col("__hi")))
-    t = (F.col(at) - F.col("__z0")) / (F.col("__z1") - F.col("__z0"))
-    out = got.select(*points.columns, *[(F.col(f"__{v}0") + t * (F.col(f"__{v}1") - F.col(f"__{v}0"))).alias(f"c{v}") for v in values], ((t < 0) | (t > 1)).alias("extrapolated"))
-    return out
+    """Values of a control curve at ``at``, linear between controls and beyond the ends, which is marked; fewer than two controls give no rows.
+
+    Controls are ranked without gathering them and meet the next by rank. Segments and points meet in
+    equal bands, as many as there are segments, so that a segment stands in few of them in all; points
+    beyond the ends go to the first and last band.
+    """
+    from plumbline.operators.sampling import global_rank
+
+    ranked = global_rank(controls.select(at, *values), [at], "k")
+    low, high, n = ranked.agg(F.min(at), F.max(at), F.count("*")).first()
+    a = ranked.select("k", F.col(at).alias("z0"), *[F.col(v).alias(f"{v}0") for v in values])
+    b = ranked.select((F.col("k") - 1).alias("k"), F.col(at).alias("z1"), *[F.col(v).alias(f"{v}1") for v in values])
+    width = ((high - low) / max(1, n - 1) if n else 0) or 1.0
+    band = lambda x: F.floor((x - low) / width)
+    low = low if n else 0.0
+    inner = F.greatest(F.lit(0), F.least(F.lit(max(0, n - 2)), band(F.col(at)))).cast("long")
+    seg = a.join(b, "k").withColumn("lo", F.when(F.col("k") == 1, F.lit(float("-inf"))).otherwise(F.col("z0"))).withColumn("hi", F.when(F.col("k") == n - 1, F.lit(float("inf"))).otherwise(F.col("z1")))
+    clip = lambda x: F.greatest(F.lit(0), F.least(F.lit(max(0, n - 2)), band(x))).cast("long")
+    seg = seg.withColumn("band", F.explode(F.sequence(clip(F.col("z0")), clip(F.col("z1")))))
+    rows = points.select(F.struct("*").alias("row"), F.col(at).alias("z"), inner.alias("band"))
+    got = rows.join(seg, "band").where((F.col("z") >= F.col("lo")) & (F.col("z") < F.col("hi")))
+    t = (F.col("z") - F.col("z0")) / (F.col("z1") - F.col("z0"))
+    return got.select("row.*", *[(F.col(f"{v}0") + t * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(f"c{v}") for v in values], ((t < 0) | (t > 1)).alias("extrapolated"))
 
 
 def trace_steps(points: DataFrame, trace: str, order: str, axes: list[str], gap: float, turn: float) -> DataFrame:
@@ -150,7 +160,7 @@ def top_per_kind(df: DataFrame, kind: str, order: list[Column | str], k: int) ->
     return out.where(F.col("place") <= k).withColumn("emitted", F.least(F.lit(k), F.col("total")))
 
 
-def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str]) -> DataFrame:
+def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str], band: int = 2048) -> DataFrame:
     """Rows that no other row equals or beats everywhere and beats somewhere; rows with a NULL axis take no part. Skylines of parts first, so that only their members are compared with each other."""
     import pandas as pd
 
@@ -175,13 +185,29 @@ def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str]) ->
         if kept is not None:
             yield kept
 
-    local = signed.mapInPandas(skyline, signed.schema)
-    a, b = local.alias("a"), _renamed(local, "_b").alias("b")
-    beats = F.lit(True)
-    some = F.lit(False)
-    for c in u:
-        beats, some = beats & (F.col(f"{c}_b") >= F.col(f"a.{c}")), some | (F.col(f"{c}_b") > F.col(f"a.{c}"))
-    return a.join(b, beats & some, "left_anti").select(key, *axes)
+    from plumbline.operators.graphs import settled
+    from plumbline.operators.sampling import global_rank
+
+    # survivors meet in pairs of bands of their rank, so that a task holds two bands at most
+    local = settled(global_rank(signed.mapInPandas(skyline, signed.schema), ["u0", key], "__r"))
+    bands = -(-local.count() // band) or 1
+    own = F.floor((F.col("__r") - 1) / band).cast("int")
+    dealt = local.select("__r", *u, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("other"))
+    dealt = dealt.select("__r", *u, "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def beaten(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["own"] == pdf[c].iloc[0]] for c in "pq")
+        out = []
+        for x, y in ((a, b),) if pdf["p"].iloc[0] == pdf["q"].iloc[0] else ((a, b), (b, a)):
+            v, w = x[u].to_numpy(), y[u].to_numpy()
+            for k in range(0, len(v), 256):
+                at = v[k : k + 256, None]
+                hit = ((w >= at).all(axis=2) & (w > at).any(axis=2)).any(axis=1)
+                out.append(x["__r"].iloc[k : k + 256][hit])
+        return pd.DataFrame({"__r": pd.concat(out)})
+
+    lost = dealt.groupBy("p", "q").applyInPandas(beaten, "__r long").distinct()
+    return local.join(lost, "__r", "left_anti").select(key, *axes)
 
 
 def band_holdout(df: DataFrame, value: str, key: str, bands: int) -> DataFrame:
@@ -219,11 +245,29 @@ def pitch(cells: DataFrame) -> DataFrame:
     return cells.withColumn("pitch", F.col("r") - F.lag("r").over(w)).withColumn("step", F.col("w") - F.lag("w").over(w)).withColumn("in_order", F.col("step") > 0)
 
 
-def surface_recovery(truth: DataFrame, found: DataFrame, keys: list[str], axes: list[str], tolerance: float, reach: float) -> DataFrame:
-    """Share of each side within ``tolerance`` of the other, and the smaller share."""
-    def one(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        t = b.withColumnRenamed("id", "other")
-        return nearest(a, t, keys, axes, "id", "other", reach, reach).groupBy(*keys).agg(F.avg(F.coalesce(F.col("d") <= tolerance, F.lit(False)).cast("double")).alias(name))
+def surface_recovery(truth: DataFrame, found: DataFrame, keys: list[str], axes: list[str], tolerance: float, reach: float, component: str) -> DataFrame:
+    """Share of each side within ``tolerance`` of the other (recall, precision) and the smaller share; p50, p95 and maximum of the distances within ``reach`` and how many have none, each way; the share of truth's components that are met at all, and the least share of one."""
+    def distances(a: DataFrame, b: DataFrame) -> DataFrame:
+        return nearest(a, b.withColumnRenamed("id", "other"), keys, axes, "id", "other", reach, reach).withColumn("near", F.coalesce(F.col("d") <= tolerance, F.lit(False)).cast("double"))
+
+    def summed(d: DataFrame, share: str, name: str) -> DataFrame:
+        q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.95), F.lit(1.0)))
+        out = d.groupBy(*keys).agg(F.avg("near").alias(share), q.alias("q"), F.count_if(F.col("d").isNull()).alias(f"{name}_beyond"))
+        return out.select(*keys, share, *[F.col("q")[k].alias(f"{name}_{c}") for k, c in enumerate(("p50", "p95", "max"))], f"{name}_beyond")
 
-    both = one(truth, found, "recall").join(one(found, truth, "precision"), keys, "full")
+    there = distances(truth, found)
+    parts = there.join(truth.select(*keys, "id", component), [*keys, "id"]).groupBy(*keys, component).agg(F.avg("near").alias("covered"))
+    parts = parts.groupBy(*keys).agg(F.avg((F.col("covered") > 0).cast("double")).alias("component_recall"), F.min("covered").alias("worst_component"))
+    both = summed(there, "recall", "truth").join(summed(distances(found, truth), "precision", "found"), keys, "full").join(parts, keys, "left")
     return both.withColumn("worst", F.least(F.coalesce("recall", F.lit(0.0)), F.coalesce("precision", F.lit(0.0))))
+
+
+def lattice(centres: DataFrame, keys: list[str], axes: list[str], n: int, step: float, basis: list[Column] | None = None) -> DataFrame:
+    """n x n x n points of a step around each centre: keys, i, j, k from -(n // 2), and gx, gy, gz. ``basis``: three directions as arrays, else the axes; two of them in a tangent plane and the normal give a tangent lattice."""
+    side = F.sequence(F.lit(-(n // 2)), F.lit(n - 1 - n // 2))
+    out = centres
+    for c in "ijk":
+        out = out.withColumn(c, F.explode(side))
+    unit = basis or [F.array(*[F.lit(float(a == b)) for b in range(3)]) for a in range(3)]
+    moved = [F.col(a) + sum((step * F.col(c) * u[m] for c, u in zip("jk", unit[1:], strict=True)), step * F.col("i") * unit[0][m]) for m, a in enumerate(axes)]
+    return out.select(*keys, "i", "j", "k", *[x.alias(f"g{a}") for x, a in zip(moved, axes, strict=True)])

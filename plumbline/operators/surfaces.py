@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import clamp, cross, dot, norm, ratio
+from plumbline.functions.numeric import angle_distance, clamp, cross, dot, norm, ratio
 
 AXES = ("x", "y", "z")
 
@@ -97,11 +97,13 @@ def euler(cells: DataFrame, keys: list[str], value: str, thresholds: list[float]
     return f.join(v, by).join(e, by).withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
 
 
-def cell_edges(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """4-neighbour edges between cells as node numbers (row * width + col): rows are collapsed first, each cell pointing to its run's first, then runs touch downwards."""
+def cell_edges(cells: DataFrame, keys: list[str], width: int, diagonal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """4-neighbour edges (8 with ``diagonal``) between cells as node numbers (row * width + col): rows are collapsed first, each cell pointing to its run's first, then runs touch downwards."""
     runs = cells.withColumn("__g", F.col("col") - F.row_number().over(Window.partitionBy(*keys, "row").orderBy("col")))
     runs = runs.withColumn("run", F.col("row") * width + F.min("col").over(Window.partitionBy(*keys, "row", "__g")))
     below = runs.select(*keys, (F.col("row") - 1).alias("row"), "col", F.col("run").alias("under"))
+    if diagonal:
+        below = below.withColumn("col", F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)))
     return runs.select(*keys, "row", "col", "run").join(below, [*keys, "row", "col"]).select(*keys, "run", "under").distinct(), runs.select(*keys, "row", "col", "run")
 
 
@@ -124,7 +126,9 @@ def overlap_matrix(cells: DataFrame, keys: list[str], a: str, b: str) -> DataFra
 def tile_orientation(grid: DataFrame, value: str, tile: int) -> DataFrame:
     """Structure tensor by central differences, averaged over tiles: angle in degrees, coherence, energy."""
     wr, wc = Window.partitionBy("surface", "row").orderBy("col"), Window.partitionBy("surface", "col").orderBy("row")
-    g = grid.select("surface", "row", "col", ((F.lead(value).over(wr) - F.lag(value).over(wr)) / 2).alias("gx"), ((F.lead(value).over(wc) - F.lag(value).over(wc)) / 2).alias("gy")).dropna()
+    # a hole in the grid gives no derivative across it
+    central = lambda w, at: F.when((F.lead(at).over(w) == F.col(at) + 1) & (F.lag(at).over(w) == F.col(at) - 1), (F.lead(value).over(w) - F.lag(value).over(w)) / 2)
+    g = grid.select("surface", "row", "col", central(wr, "col").alias("gx"), central(wc, "row").alias("gy")).dropna()
     t = lambda c: F.floor(F.col(c) / tile).cast("int")
     j = g.groupBy("surface", t("row").alias("tr"), t("col").alias("tc")).agg(F.avg(F.col("gx") * F.col("gx")).alias("jxx"), F.avg(F.col("gy") * F.col("gy")).alias("jyy"), F.avg(F.col("gx") * F.col("gy")).alias("jxy"))
     d = F.sqrt(F.pow(F.col("jxx") - F.col("jyy"), 2) + 4 * F.col("jxy") * F.col("jxy"))
@@ -158,3 +162,53 @@ def point_to_mesh(points: DataFrame, corners: DataFrame, key: str, cell: float)
     d = triangle_distance(_p(), *[[F.col(k + a) for a in AXES] for k in "abc"])
     best = p.join(t, ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= cell).groupBy(key).agg(F.min(F.struct(F.round("d", 9).alias("d"), "fid")).alias("b"))
     return points.select(key).join(best, key, "left").select(key, F.col("b.fid").alias("fid"), F.col("b.d").alias("d"))
+
+
+def two_axes(rows: DataFrame, keys: list[str], order: list[str], angle: str, weight: str, rounds: int = 24) -> DataFrame:
+    """(keys, a, b, wa, wb): two axes of each group by weighted 2-means on axial angles, a < b, and the weight of each.
+
+    Seeds are the heaviest row and that with the greatest distance times weight to it (ties: first by
+    ``order``). A group ends when its axes stand still, ``rounds`` at most. Groups that have not two
+    different directions, or lose a cluster, abstain with NULL axes.
+    """
+    from plumbline.operators.graphs import settled
+
+    r = rows.select(*keys, *order, F.pmod(F.col(angle), F.lit(180.0)).alias("t"), F.col(weight).alias("w"))
+    first = Window.partitionBy(*keys).orderBy(F.desc("w"), *order)
+    r = r.withColumn("a", F.first("t").over(first)).withColumn("s", angle_distance(F.col("t"), F.col("a"), 180.0))
+    far = r.groupBy(*keys).agg(F.first("a").alias("a"), F.max_by("t", F.struct(F.col("s") * F.col("w"), *[-F.col(c) for c in order])).alias("b"), F.max("s").alias("apart"))
+    now = settled(far.select(*keys, F.when(F.col("apart") > 0, F.col("a")).alias("a"), F.when(F.col("apart") > 0, F.col("b")).alias("b"), (F.col("apart") <= 0).alias("still")))
+    r = settled(r.select(*keys, "t", "w"))
+    two, near = F.radians(2 * F.col("t")), lambda c: angle_distance(F.col("t"), F.col(c), 180.0)
+
+    def mean(own: Column) -> Column:
+        x, y = F.sum(F.when(own, F.col("w") * F.cos(two))), F.sum(F.when(own, F.col("w") * F.sin(two)))
+        return F.when(F.sqrt(x * x + y * y) > 1e-15, F.pmod(F.degrees(F.atan2(y, x)) / 2, F.lit(180.0)))
+
+    for _ in range(rounds):
+        live = r.join(now.where(~F.col("still")), keys)
+        own = near("a") <= near("b")
+        new = live.groupBy(*keys).agg(mean(own).alias("na"), mean(~own).alias("nb"), F.first("a").alias("a"), F.first("b").alias("b"))
+        lost = F.col("na").isNull() | F.col("nb").isNull()
+        moved = F.greatest(angle_distance(F.col("a"), F.col("na"), 180.0), angle_distance(F.col("b"), F.col("nb"), 180.0))
+        new = new.select(*keys, F.when(~lost, F.col("na")).alias("a"), F.when(~lost, F.col("nb")).alias("b"), (lost | (moved < 1e-7)).alias("still"))
+        now = settled(now.where("still").unionByName(new))
+        if now.where(~F.col("still")).isEmpty():
+            break
+    own = near("a") <= near("b")
+    shares = r.join(now, keys).groupBy(*keys).agg(F.first("a").alias("x"), F.first("b").alias("y"), F.sum(F.when(own, F.col("w"))).alias("wx"), F.sum(F.when(~own, F.col("w"))).alias("wy"))
+    swap = F.col("x") > F.col("y")
+    pick = lambda p, q, c: F.when(F.col("x").isNotNull(), F.when(swap, F.col(q)).otherwise(F.col(p))).alias(c)
+    return shares.select(*keys, pick("x", "y", "a"), pick("y", "x", "b"), pick("wx", "wy", "wa"), pick("wy", "wx", "wb"))
+
+
+def frame_turns(axes: DataFrame, limit: float) -> DataFrame:
+    """``axes`` (surface, tr, tc, a, b, ...) with the turn to the next tile to the right and downwards, the better of the two ways to pair their axes, and whether one is over ``limit``; NULL where a tile is missing or abstains."""
+    for name, fixed, moving in (("right", "tr", "tc"), ("down", "tc", "tr")):
+        w = Window.partitionBy("surface", fixed).orderBy(moving)
+        na, nb = F.lead("a").over(w), F.lead("b").over(w)
+        d = lambda x, y: angle_distance(x, y, 180.0)
+        turn = F.least(F.greatest(d(F.col("a"), na), d(F.col("b"), nb)), F.greatest(d(F.col("a"), nb), d(F.col("b"), na)))
+        axes = axes.withColumn(f"turn_{name}", F.when(na.isNotNull() & F.col("a").isNotNull() & (F.lead(moving).over(w) == F.col(moving) + 1), turn))
+    worst = F.greatest("turn_right", "turn_down")
+    return axes.withColumn("discontinuity", worst > limit)
