@@ -4,8 +4,9 @@ Candidates come from the Gray-order index of ``simhash``: a text's fingerprint i
 shingles, and texts meet under keys of ROWS minima of its hashes each, BANDS keys a text whatever the
 table's size. Two sets that share 0.8 have a key in common with probability 1 - (1 - 0.8^3)^6 = 0.987,
 and are within RADIUS bits but for a few in a thousand; alike sets more surely. Under a key the index
-drops whole groups of fingerprints beyond the radius. Every candidate that is not connected yet is then
-decided by its two whole sets, joined in Spark: no link is made by an estimate.
+drops whole groups of fingerprints beyond the radius. First each text is held against its nearest under
+each key, the two whole sets joined in Spark; where texts under a key are still apart, their sets meet
+under it and every candidate is decided there. No link is made or refused by an estimate.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from plumbline.llm.simhash import GrayIndex, gray_rank, in_parts, majority, name
 
 #: Keys of a text, minima in a key, and the differing bits up to which texts under a key are candidates.
 BANDS, ROWS, RADIUS = 6, 3, 20
+#: The most texts of a key whose sets a task holds at once is twice this; a larger key is split into pairs of parts.
+SETS = 512
 #: More bits than two fingerprints differ in.
 FAR = 99
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) << np.uint64(1) | np.uint64(1)
@@ -76,39 +79,112 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, spot long, name long, n long, fp long, keys array<long>")
 
 
-def _candidates(spots: DataFrame, likeness: float, nearest: bool) -> DataFrame:
-    """(a, b): pairs of names under a key, within RADIUS bits, of sizes that allow the likeness and with different roots.
+def _far(rows: np.ndarray, likeness: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of places cannot or need not be linked. rows, one for each column: p, r, part, n, root."""
+    p, r, part, n, root = rows
+    ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]) - 1e-6)
+    return ~(ok & ((p[i] == r[i]) | (part[i] != part[j])))  # two of one part meet where p is r
 
-    ``nearest``: only each text's nearest under a key. spots: (key, wide, name, n, fp, root).
-    """
-    dealt = in_parts(spots, "key", F.col("wide"), "name").select("key", "p", "r", "part", "name", "n", "fp", "root")
+
+def _nearest(spots: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): for each text under a key, the nearest of all and the nearest of those before it, within RADIUS bits. The latter connect whatever the index finds there. spots: (key, wide, name, n, fp)."""
+    dealt = in_parts(spots, "key", F.col("wide"), "name").select("key", "p", "r", "part", "n", "name", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in whole_groups(batches, 3):
             rows = rows[:, np.lexsort((gray_rank(rows[6].view(np.uint64)), group))]
-            (p, r, part, name, n), fps, root = rows[1:6], rows[6].view(np.uint64), rows[7]
-            best = np.full(rows.shape[1], FAR << 32, np.int64)
+            name, fps = rows[5], rows[6].view(np.uint64)
+            best = np.full((2, rows.shape[1]), FAR << 32, np.int64)
             for i, j in GrayIndex(fps, group).links(RADIUS):
-                ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]) - 1e-6)
-                ok &= (p[i] == r[i]) | (part[i] != part[j])  # two of one part meet where p is r
+                ok = ~_far(np.stack([*rows[1:5], name]), likeness, i, j)
                 i, j = i[ok], j[ok]
-                if nearest:
-                    apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) << 32
-                    np.minimum.at(best, j, apart | i)
-                    np.minimum.at(best, i, apart | j)
-                    continue
-                yield _pairs(name[i], name[j])
-            if nearest:
-                i = np.flatnonzero(best >> 32 < FAR)
-                yield _pairs(name[i], name[best[i] & 0xFFFFFFFF])
+                apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) << 32
+                np.minimum.at(best[0], j, apart | i)
+                np.minimum.at(best[1], j, apart | i)
+                np.minimum.at(best[1], i, apart | j)
+            far, to = best >> 32 < FAR, best & 0xFFFFFFFF
+            both = np.concatenate([np.stack((name[f], name[t[f]])) for f, t in zip(far, to, strict=True)], axis=1)
+            both = np.unique(np.sort(both, axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, four times as many as the largest has codes: codes set the bits that their last digits name."""
+    width = 64 << max(0, (max(map(len, sets)) * 4 - 1).bit_length() - 6)
+    bits = np.zeros((len(sets), width), bool)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits[owner, (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def _most(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound of what the sets of places i and j have in common: a bit that one lacks is a code that it lacks."""
+    out, step = np.empty(len(i), np.int64), max(1, (1 << 21) // maps.shape[1])
+    for k in range(0, len(i), step):
+        a, b, at = maps[i[k : k + step]], maps[j[k : k + step]], slice(k, k + step)
+        out[at] = np.minimum(n[i[at]] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[j[at]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return out
+
+
+def _links_under(fps: np.ndarray, rows: np.ndarray, sets: list[np.ndarray], likeness: float) -> Iterator[tuple[int, int]]:
+    """Pairs of places of one group that share enough and connect what all such pairs connect. rows as for ``_far``."""
+    n, maps = rows[3], _bitmaps(sets)
+    over = np.arange(len(sets))  # of each place, one that it is connected to
+
+    def top(x: int) -> int:
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    seen: dict[int, int] = {}
+    for place, root in enumerate(rows[4].tolist()):
+        over[place] = seen.setdefault(root, place)
+    for i, j in GrayIndex(fps, np.zeros(len(fps), np.int64)).links(RADIUS):
+        ok = ~_far(rows, likeness, i, j)
+        i, j = i[ok], j[ok]
+        least = likeness / (1 + likeness) * (n[i] + n[j]) - 1e-6
+        ok = _most(n, maps, i, j) >= least
+        i, j, least = i[ok], j[ok], least[ok]
+        order = np.argsort(np.bitwise_count(fps[i] ^ fps[j]), kind="stable")
+        for a, b, need in zip(i[order].tolist(), j[order].tolist(), least[order].tolist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y and len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= need:
+                over[y] = x
+                yield a, b
+
+
+def _rest(spots: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): links between texts under a key that are not connected yet, decided where their whole sets meet, so that no pair that is refused leaves its task. spots: (key, wide, name, n, fp, root)."""
+    dealt = in_parts(spots.join(sets, "name"), "key", F.col("wide"), "name", SETS).select("key", "p", "r", "part", "n", "root", "name", "fp", "codes")
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, list]] = []
+
+        def found() -> pa.RecordBatch:
+            rows, sets = np.concatenate([r for r, _ in kept], axis=1), [s for _, own in kept for s in own]
+            order = np.argsort(gray_rank(rows[7].view(np.uint64)), kind="stable")
+            rows, sets = rows[:, order], [sets[k] for k in order.tolist()]
+            at = list(_links_under(rows[7].view(np.uint64), rows[1:6], sets, likeness))
+            return pa.RecordBatch.from_arrays([pa.array([int(rows[6, x[k]]) for x in at], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:8]])
+            sets = [s.view(np.uint64) for s in b.column(8).to_numpy(zero_copy_only=False)]
+            edge = [0, *(np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                if lo == hi:
+                    continue
+                if kept and (kept[-1][0][:3, -1] != rows[:3, lo]).any():
+                    yield found()
+                    kept.clear()
+                kept.append((rows[:, lo:hi], sets[lo:hi]))
+        if kept:
+            yield found()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -141,8 +217,7 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
     """One row per document: (id, fp, component), the smallest id of all that it reaches over pairs that share ``likeness`` of their distinct shingles.
 
-    fp names the set of shingles; texts with equal sets are one node, however many. First each node is
-    held against its nearest under each key, then all candidates that are still apart. Null, empty and
+    fp names the set of shingles; texts with equal sets are one node, however many. Null, empty and
     blank texts have the empty set and are one group. Repeated rows and null ids keep their rows; a
     null id never names a component unless nothing else is in it. An empty table gives an empty result;
     further columns are ignored.
@@ -156,15 +231,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = spots.groupBy("key").agg(F.count("*").alias("w"), F.count("*").alias("wide")).where("w > 1")
     spots = written(skew_join(spots, met, "key", "w", keys, "name", "inner"), "spots")
     rows = spots.count()
-    pairs = written(_candidates(spots.withColumn("root", F.col("name")), likeness, nearest=True), "pairs")
+    pairs = written(_nearest(spots, likeness), "pairs")
     sets = written(_sets(texts, nodes, pairs, shingle), "sets")
-    links = written(alike_pairs(pairs, sets, likeness), "links")
-    roots = components(links, "a", "b")
+    roots = written(components(written(alike_pairs(pairs, sets, likeness), "links"), "a", "b"), "roots")
     now = spots.join(roots, spots["name"] == roots["node"], "left").select(*spots.columns, F.coalesce("root", "name").alias("root"))
     apart = now.groupBy("key").agg(F.count("*").alias("w"), F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key", "w", F.lit(1).alias("open"))
-    pairs = written(_candidates(skew_join(now, apart, "key", "w", rows, "name", "inner"), likeness, nearest=False), "pairs")
-    roots = _joined(roots, alike_pairs(pairs, sets, likeness))
-    return named(marked, nodes.select("name", "low", "w"), roots, "name", n, total)
+    links = written(_rest(skew_join(now, apart, "key", "w", rows, "name", "inner"), sets, likeness), "links")
+    return named(marked, nodes.select("name", "low", "w"), _joined(roots, links), "name", n, total)
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:

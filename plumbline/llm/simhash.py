@@ -161,9 +161,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
         yield rows, told(rows, None)[1]
 
 
-def in_parts(dealt: DataFrame, key: str, wide: Column, by: str) -> DataFrame:
-    """``dealt`` with the columns part, p and r: rows of a key with ``wide`` > PART rows are dealt to parts by ``by``, and every pair of parts (p, r) gets the rows of both, so that no task holds over twice PART at once and every two rows of a key meet where p is r or where their parts differ."""
-    parts = F.greatest(F.ceil(wide / PART), F.lit(1)).cast("int")
+def in_parts(dealt: DataFrame, key: str, wide: Column, by: str, size: int | None = None) -> DataFrame:
+    """``dealt`` with the columns part, p and r: rows of a key with ``wide`` > ``size`` rows (PART) are dealt to parts by ``by``, and every pair of parts (p, r) gets the rows of both, so that no task holds over twice that at once and every two rows of a key meet where p is r or where their parts differ."""
+    parts = F.greatest(F.ceil(wide / (size or PART)), F.lit(1)).cast("int")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(by, F.lit(7)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.withColumns({"p": F.least("part", "other"), "r": F.greatest("part", "other")}).repartition(key, "p", "r").sortWithinPartitions(key, "p", "r")
 

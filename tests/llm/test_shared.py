@@ -1,6 +1,7 @@
 import random
 
-from plumbline.llm import simhash
+import numpy as np
+from plumbline.llm import shared, simhash
 from plumbline.llm.shared import near_duplicates
 
 SCHEMA = "doc_id long, text string, component long, fp string"
@@ -66,9 +67,35 @@ def test_pairs_that_share(spark, monkeypatch):
     assert len(found) > 150 and sum(found) / len(found) >= 0.98
     assert got[6001] == 6000 and got[6003] == 6003 and got[7007] == 7006 and got[7002] == got[7003] == 7001
     monkeypatch.setattr(simhash, "PART", 16)
+    monkeypatch.setattr(shared, "SETS", 5)
     assert {r.id: r.component for r in near_duplicates(df).collect()} == got
 
 
+def test_refused_pairs_stay_in_their_task(spark):
+    """A large group of near-copies that hang together by chains: every link is found, and no more rows leave the tasks than there are texts under keys."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = [base]
+    while len(texts) < 250:
+        own = list(texts[rng.randrange(len(texts))])
+        for _ in range(2):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        texts.append(own)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.id: r.component for r in near_duplicates(spark.createDataFrame([(a, b, 1, "c") for a, b in rows], SCHEMA)).collect()}
+    group, links = brute(rows)
+    assert all(group[i] == group[c] for i, c in got.items())
+    assert sum(got[i] == got[j] for i, j in links) / len(links) >= 0.98 and len(set(got.values())) <= len(set(group)) + 2 < 100
+
+
+def test_bounds_of_what_sets_share():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    most = shared._most(np.array([len(s) for s in sets]), shared._bitmaps(sets), i, j)
+    assert all(m >= len(np.intersect1d(sets[a], sets[b])) for m, a, b in zip(most, i, j, strict=True))
+
+
 def test_repeated_and_missing_ids(spark):
     """Rows that repeat an id and rows without one keep their rows; a null id names a group only of its own kind."""
     rows = [(None, "one two"), (7004, "one two"), (7005, "one two"), (7005, "one two"), (7005, "other"), (None, "lone text of its own kind"), (None, "lone text  of its own KIND")]
