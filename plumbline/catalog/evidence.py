@@ -144,11 +144,14 @@ def j24_hypothesis_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("reg", "hypothesis", F.round("mean", 4).alias("mean"), (F.col("mean") < 0.2 * F.col("runner")).alias("accepted"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal, s_suppkey % 10 = 0 AS changed, false AS refused FROM supplier")
+@query("SELECT batch, s_suppkey, CASE WHEN batch = 'checked' AND s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal, batch = 'checked' AND s_suppkey % 10 = 0 AS changed, batch = 'moved' AS refused FROM supplier, (VALUES ('checked'), ('moved')) b(batch)")
 def j26_review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    led = s.where("s_suppkey % 10 = 0").select("s_suppkey", F.col("s_acctbal").alias("before"), (F.col("s_acctbal") + 1).alias("after"))
-    return op.reviewed(s, led, "s_suppkey", "s_acctbal")
+    """A batch of corrections that fits, and one with a single place that has moved, which is refused whole."""
+    s = table(spark, sf_dir, "supplier").withColumn("x", F.col("s_nationkey") * 2.0)
+    led = s.where("s_suppkey % 10 = 0").select("s_suppkey", F.col("s_acctbal").alias("before"), (F.col("s_acctbal") + 1).alias("after"), "x")
+    moved = led.withColumn("x", F.when(F.col("s_suppkey") == 0, F.col("x") + 0.5).otherwise(F.col("x")))
+    out = [op.reviewed(s, b, "s_suppkey", "s_acctbal", ["x"]).withColumn("batch", F.lit(n)) for n, b in (("checked", led), ("moved", moved))]
+    return out[0].unionByName(out[1])
 
 
 @query(f"WITH {RUNS}, a AS (SELECT root, sum(score) AS s FROM runs GROUP BY root), b AS (SELECT root, sum(CASE WHEN root % 9 = 0 THEN score + 1 ELSE score END) AS s FROM runs GROUP BY root) SELECT root, round(b.s - a.s, 6) AS delta FROM a FULL JOIN b USING (root)")
@@ -219,6 +222,16 @@ def a57_training_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(op.overlap_audit(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey"))
 
 
+@query("""WITH m AS (SELECT DISTINCT p_size % 5 AS g, l_suppkey % 9 AS m, l_partkey AS u FROM lineitem JOIN part ON p_partkey = l_partkey WHERE NOT (p_size % 5 = 1 AND l_partkey % 9 = l_suppkey % 9) AND NOT (p_size % 5 = 2 AND l_partkey % 9 <> l_suppkey % 9)),
+k AS (SELECT g, u, count(*) AS k FROM m GROUP BY ALL), z AS (SELECT g, max(n) AS size FROM (SELECT g, m, count(*) AS n FROM m GROUP BY ALL) GROUP BY g), n AS (SELECT g, count(DISTINCT m) AS members FROM m GROUP BY g), u AS (SELECT g, count(*) AS units, min(k) AS least, max(k) AS most FROM k GROUP BY g)
+SELECT g, members, units, CASE WHEN least = members THEN 'identical_full_set' WHEN most = 1 THEN 'disjoint_subsets' WHEN least >= members - 1 AND size < units THEN 'cv_partition' ELSE 'partial_overlap' END AS regime FROM n JOIN u USING (g) JOIN z USING (g)""")
+def a57_overlap_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensembles of nine members by the size class of parts; in class 1 a member lacks the parts of its own number, in class 2 it has only these."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select((F.col("p_size") % 5).alias("g"), (F.col("l_suppkey") % 9).alias("m"), F.col("l_partkey").alias("u"))
+    own = F.col("u") % 9 == F.col("m")
+    return op.overlap_regime(li.where(~((F.col("g") == 1) & own) & ~((F.col("g") == 2) & ~own)), ["g"], "m", "u")
+
+
 _CHARS = "ch AS (SELECT conv_id, turn, CASE WHEN regexp_matches(c, '[A-Za-z]') THEN 'legible' WHEN regexp_matches(c, '[0-9]') THEN 'illegible' ELSE 'lost' END AS status FROM (SELECT conv_id, turn, unnest(string_split(text, '')) AS c FROM conversations))"
 
 

@@ -38,8 +38,11 @@ def capped_ledger(df: DataFrame, key: str, order: str, entry: str, amount: str,
     return df.select(key, order, entry, amount).groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {entry} {kind[entry]}, {amount} double, total double, accepted boolean", "total double", "append", "NoTimeout")
 
 
-def status_census(df: DataFrame, status: str) -> DataFrame:
-    return df.groupBy(status).agg(F.count("*").alias("n"))
+def progressive_census(objects: DataFrame, declared: DataFrame, level: str, size: str) -> DataFrame:
+    """Objects as they land, audited one by one against what their level declares, counted by level and status so far. declared: level, expected (NULL: compressed or of unknown type); it is static and joined to each batch. State is a row for each level and status."""
+    known = declared.select(level, "expected", F.lit(True).alias("declared"))
+    status = F.when(F.col("declared").isNull(), "unverified").when(F.col("expected").isNull(), "not_applicable").when(F.col(size) == F.col("expected"), "ok").otherwise("mismatch")
+    return objects.join(known, level, "left").groupBy(level, status.alias("status")).agg(F.count("*").alias("n"))
 
 
 def drained(df: DataFrame, path: str, mode: str, name: str) -> DataFrame:
