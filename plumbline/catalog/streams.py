@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.catalog.fixtures import GRID, VOXELS, grid, table, trace, voxels
@@ -42,9 +42,16 @@ def k02_capped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trackers.drained(s, _scratch(spark), "append", "k02")
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("""WITH x(level, expected) AS (VALUES (0::BIGINT, 2::BIGINT), (1, 4), (2, NULL)) SELECT page_id % 4 AS level, CASE WHEN x.level IS NULL THEN 'unverified' WHEN expected IS NULL THEN 'not_applicable' WHEN length(html) // 500 = expected THEN 'ok' ELSE 'mismatch' END AS status, count(*) AS n
+FROM pages LEFT JOIN x ON x.level = page_id % 4 GROUP BY ALL""")
 def k03_progressive_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trackers.drained(trackers.status_census(_events(spark, sf_dir), "event_type"), _scratch(spark), "complete", f"k03_{uuid.uuid4().hex}")
+    """Page objects that land in a folder, audited against the sizes that their levels declare."""
+    path = _scratch(spark)
+    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("level"), F.col("url").alias("key"), F.expr("length(html) div 500").alias("size"))
+    p.write.parquet(path)
+    declared = spark.createDataFrame([(0, 2), (1, 4), (2, None)], "level long, expected long")
+    got = trackers.progressive_census(trackers.stream(spark, path, p), declared, "level", "size")
+    return trackers.drained(got, _scratch(spark), "complete", f"k03_{uuid.uuid4().hex}")
 
 
 @query(f"WITH {VOXELS} SELECT volume, chunk, round(avg(v) + 0.5 * max(ct), 6)::DOUBLE AS score FROM voxels GROUP BY ALL")
@@ -169,11 +176,17 @@ def v04_probe_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("volume").agg(F.count("*").alias("probes"), F.count_if(F.col("s") > F.col("c")).alias("wins"), F.median(F.col("s") - F.col("c")).alias("margin"))
 
 
-@query(f"WITH {VOXELS}, d AS (SELECT volume, y, z, avg(v) AS v FROM voxels GROUP BY ALL), k AS (SELECT volume, y AS component, z AS off, round(v, 9) AS v FROM d) SELECT volume, component, arg_max(off, v * 1000 - off / 1000.0) AS peak, round(max(v), 6) AS value, round(max(v) FILTER (off = 1), 6) AS nominal FROM k GROUP BY ALL")
+@query(f"""WITH {VOXELS}, k AS (SELECT volume, y AS component, z AS off, round(avg(v), 9) AS v, avg((ct > 0)::INTEGER) AS truth FROM voxels GROUP BY ALL), m AS (SELECT *, max(v) OVER (PARTITION BY volume, component) AS top FROM k)
+SELECT volume, component, arg_max(off, v * 1000 - off / 1000.0) AS peak, round(max(v), 6) AS value, round(max(v) FILTER (off = 1), 6) AS nominal, max(v) FILTER (off = 1) = max(v) AND count(*) FILTER (v = top) = 1 AS strict, max(off) FILTER (v >= top / 2) - min(off) FILTER (v >= top / 2) AS half_span, CASE WHEN max(truth) FILTER (off = 1) >= 0.8 THEN 'true' WHEN max(truth) FILTER (off = 1) <= 0.2 THEN 'false' ELSE 'mixed' END AS grp FROM m GROUP BY ALL""")
 def a50_depth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean response of each component by offset, its peak (ties: the first) and the nominal one."""
-    d = voxels(spark, sf_dir).groupBy("volume", F.col("y").alias("component"), F.col("z").alias("off")).agg(F.round(F.avg("v"), 9).alias("v"))
-    return _rounded(d.groupBy("volume", "component").agg(F.max_by("off", F.struct("v", -F.col("off"))).alias("peak"), F.max("v").alias("value"), F.max(F.when(F.col("off") == 1, F.col("v"))).alias("nominal")))
+    """Mean response of each component by offset: its peak (ties: the first), the nominal one and whether that alone is the peak, the span of offsets at half the peak or more, and the group by how much of the nominal support is true."""
+    own = ["volume", "component"]
+    d = voxels(spark, sf_dir).groupBy("volume", F.col("y").alias("component"), F.col("z").alias("off")).agg(F.round(F.avg("v"), 9).alias("v"), F.avg((F.col("ct") > 0).cast("double")).alias("truth"))
+    d = d.withColumn("top", F.max("v").over(Window.partitionBy(*own)))
+    half, at = F.when(F.col("v") >= F.col("top") / 2, F.col("off")), lambda c: F.max(F.when(F.col("off") == 1, F.col(c)))
+    g = d.groupBy(*own).agg(F.max_by("off", F.struct("v", -F.col("off"))).alias("peak"), F.max("v").alias("value"), at("v").alias("nominal"), F.count_if(F.col("v") == F.col("top")).alias("tops"), (F.max(half) - F.min(half)).alias("half_span"), at("truth").alias("truth"))
+    g = g.withColumn("strict", (F.col("nominal") == F.col("value")) & (F.col("tops") == 1)).withColumn("grp", F.when(F.col("truth") >= 0.8, "true").when(F.col("truth") <= 0.2, "false").otherwise("mixed"))
+    return _rounded(g.select(*own, "peak", "value", "nominal", "strict", "half_span", "grp"))
 
 
 @query(f"WITH {VOXELS}, l AS (SELECT volume, z AS width, round(avg((ct > 127)::INTEGER) FILTER (x < 2) - avg((v > 127)::INTEGER) FILTER (x < 2), 6) AS inside, round(avg((ct > 127)::INTEGER) FILTER (x >= 2) - avg((v > 127)::INTEGER) FILTER (x >= 2), 6) AS outside FROM voxels GROUP BY ALL) SELECT *, round(inside - outside, 6) AS lift FROM l")

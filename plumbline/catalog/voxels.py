@@ -199,5 +199,6 @@ def v02_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def v03_plate_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eigenvalues have no form in SQL; tested against numpy's."""
-    return op.plate_response(voxels(spark, sf_dir), _K)
+    """The best of two smoothing scales; eigenvalues have no form in SQL, tested against numpy's."""
+    v = voxels(spark, sf_dir).withColumn("u", F.col("v") / 255.0)
+    return op.multiscale_plates(v, _K, "u", [0.6, 1.0], 4)

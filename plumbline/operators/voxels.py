@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,3 +230,32 @@ def plate_response(vox: DataFrame, keys: list[str], value: str = "v") -> DataFra
     out = out.select(*keys, *AXES, e1.alias("e1"), e2.alias("e2"), e3.alias("e3"))
     top = F.greatest(F.abs("e1"), F.abs("e2"), F.abs("e3"))
     return out.withColumn("strength", top).withColumn("trace", F.col("e1") + F.col("e2") + F.col("e3"))
+
+
+def gaussian(sigma: float, reach: float = 3.0) -> list[float]:
+    """Weights of a symmetric kernel out to ``reach`` deviations, summing to 1."""
+    half = max(1, math.ceil(reach * sigma))
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
+    return [x / sum(w) for x in w]
+
+
+def multiscale_plates(vox: DataFrame, keys: list[str], value: str, sigmas: list[float], size: int, beta: float = 0.5, gamma: float = 0.1, bright: bool = True) -> DataFrame:
+    """(keys, z, y, x, response, scale): the strongest plate response over smoothing scales (ties: the smaller scale), interior voxels only.
+
+    Second differences of the smoothed values are multiplied by the squared scale. Of the eigenvalues by
+    magnitude, the middle over the largest tells a plate from a line or blob, and all three together tell
+    structure from noise; bright plates have a negative largest eigenvalue, dark ones a positive one, and
+    the wrong sign gives no response. A scale's kernel must not reach beyond one ``size``.
+    """
+    out = None
+    for sigma in sigmas:
+        soft = smoothed(vox, keys, value, gaussian(sigma), size)
+        e = plate_response(soft, keys, "s").withColumn("e", F.sort_array(F.array(*[F.struct((F.abs(c) * sigma**2).alias("m"), (F.col(c) * sigma**2).alias("e")) for c in ("e1", "e2", "e3")])))
+        middle, most = F.col("e")[1]["m"], F.col("e")[2]["m"]
+        whole = F.sqrt(sum((F.pow(F.col("e")[k]["m"], 2) for k in (1, 2)), F.pow(F.col("e")[0]["m"], 2)))
+        plate = F.exp(-0.5 * F.pow(middle / most / beta, 2)) * (1 - F.exp(-0.5 * F.pow(whole / gamma, 2)))
+        right = (F.col("e")[2]["e"] < 0) if bright else (F.col("e")[2]["e"] > 0)
+        one = e.select(*keys, *AXES, F.lit(sigma).alias("scale"), F.when((most > 1e-12) & right, plate).otherwise(0.0).alias("response"))
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy(*keys, *AXES).agg(F.max_by(F.struct("response", "scale"), F.struct("response", -F.col("scale"))).alias("b"))
+    return best.select(*keys, *AXES, "b.response", "b.scale")

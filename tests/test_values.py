@@ -364,3 +364,55 @@ def test_a_long_chain(spark):
     assert tree == {k: (k, k) for k in range(n + 1)}
     assert graph_op.bridges(e).count() == n
     assert graph_op.bridges(e.unionByName(spark.createDataFrame([(n, n, 0, 0, 1.0)], e.schema))).count() == 0
+
+
+@pytest.mark.parametrize("bright", [True, False])
+def test_plates_at_two_scales(spark, bright):
+    """Mirrored Gaussian smoothing, second differences, eigenvalues and the response, in numpy."""
+    rng = np.random.default_rng(3)
+    cubes = rng.uniform(0, 1, (4, 6, 6, 6))
+    rows = [(c, *map(int, at), float(cubes[c][at])) for c in range(4) for at in np.ndindex(6, 6, 6)]
+    df = spark.createDataFrame(rows, "c int, z int, y int, x int, v double")
+    got = {(r.c, r.z, r.y, r.x): (r.response, r.scale) for r in voxels.multiscale_plates(df, ["c"], "v", [0.6, 1.0], 6, 0.5, 0.1, bright).collect()}
+    assert len(got) == 4 * 4**3
+    mirror = lambda k: -1 - k if k < 0 else 11 - k if k > 5 else k
+    unit = np.eye(3, dtype=int)
+    for c in range(4):
+        best = {}
+        for sigma in (0.6, 1.0):
+            w, soft = voxels.gaussian(sigma), cubes[c]
+            half = len(w) // 2
+            for axis in range(3):
+                soft = sum(x * np.take(soft, [mirror(k + o - half) for k in range(6)], axis) for o, x in enumerate(w))
+            for at in np.ndindex(4, 4, 4):
+                p, h = np.array(at) + 1, np.zeros((3, 3))
+                for a in range(3):
+                    h[a, a] = soft[tuple(p + unit[a])] + soft[tuple(p - unit[a])] - 2 * soft[tuple(p)]
+                    for b in range(a):
+                        h[a, b] = h[b, a] = sum(s * t * soft[tuple(p + s * unit[a] + t * unit[b])] for s in (1, -1) for t in (1, -1)) / 4
+                e = sorted(np.linalg.eigvalsh(h * sigma**2), key=abs)
+                ok = e[2] < 0 if bright else e[2] > 0
+                r = math.exp(-0.5 * (abs(e[1] / e[2]) / 0.5) ** 2) * (1 - math.exp(-0.5 * (sum(x * x for x in e) / 0.01))) if ok else 0.0
+                k = (c, *map(int, p))
+                if k not in best or r > best[k][0] + 1e-12:
+                    best[k] = r, sigma
+        for k, (r, sigma) in best.items():
+            assert got[k][0] == pytest.approx(r, abs=1e-6) and (r < 1e-9 or got[k][1] == sigma)
+
+
+@pytest.mark.parametrize(("sets", "want"), [([{1, 2}, {1, 2}], "identical_full_set"), ([{1, 2}, {3}], "disjoint_subsets"), ([{1, 2}, {2, 3}, {1, 3}], "cv_partition"), ([{1, 2, 3}, {2, 3}, {1, 3}], "partial_overlap"), ([{1, 2}, {2, 3}, {2}], "partial_overlap"), ([{1}], None)])
+def test_overlap_regime(spark, sets, want):
+    from plumbline.operators import rules
+
+    df = spark.createDataFrame([(7, m, u) for m, s in enumerate(sets) for u in s] + [(8, 0, 1), (8, 1, 2)], "g int, m int, u int")
+    assert {r.g: r.regime for r in rules.overlap_regime(df, ["g"], "m", "u").collect()} == {7: want, 8: "disjoint_subsets"}
+
+
+def test_a_review_that_moved_is_refused_whole(spark):
+    from plumbline.operators import rules
+
+    s = spark.createDataFrame([(1, 5.0, 1.0), (2, 6.0, None), (3, 7.0, 3.0)], "id int, v double, x double")
+    run = lambda led: {r.id: (r.v, r.changed, r.refused) for r in rules.reviewed(s, spark.createDataFrame(led, "id int, before double, after double, x double"), "id", "v", ["x"]).collect()}
+    assert run([(1, 5.0, 9.0, 1.0), (2, 6.0, 6.0, None)]) == {1: (9.0, True, False), 2: (6.0, False, False), 3: (7.0, False, False)}
+    for wrong in ([(1, 5.0, 9.0, 1.5)], [(1, 5.0, 9.0, 1.0), (4, 0.0, 0.0, 0.0)], [(1, 5.5, 9.0, 1.0)], [(1, 5.0, 9.0, 1.0), (1, 5.0, 8.0, 1.0)]):
+        assert run(wrong) == {1: (5.0, False, True), 2: (6.0, False, True), 3: (7.0, False, True)}
