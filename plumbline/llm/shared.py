@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import doc_frame, skew_join, slices, written
 from plumbline.llm.components import components
-from plumbline.llm.simhash import GrayIndex, gray_rank, in_parts, majority, named, shingle_hashes, whole_groups
+from plumbline.llm.simhash import GrayIndex, gray_rank, in_parts, majority, named, shared_keys, shingle_hashes, whole_groups
 
 #: Keys of a text, minima in a key, and the differing bits up to which texts under a key are candidates.
 BANDS, ROWS, RADIUS = 6, 3, 20
@@ -226,17 +226,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(_marked(texts, shingle), "marked")
     firsts = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
     nodes = written(marked.groupBy("name").agg(F.min("id").alias("low"), F.min("spot").alias("spot"), F.count("*").alias("w"), *firsts), "nodes")
-    n, total, keys = nodes.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
-    spots = nodes.select("name", "n", "fp", F.explode("keys").alias("key"))
-    met = spots.groupBy("key").agg(F.count("*").alias("w"), F.count("*").alias("wide")).where("w > 1")
-    spots = written(skew_join(spots, met, "key", "w", keys, "name", "inner"), "spots")
-    rows = spots.count()
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    spots = written(shared_keys(nodes.select("name", "n", "fp", F.explode("keys").alias("key"))), "spots")
     pairs = written(_nearest(spots, likeness), "pairs")
     sets = written(_sets(texts, nodes, pairs, shingle), "sets")
     roots = written(components(written(alike_pairs(pairs, sets, likeness), "links"), "a", "b"), "roots")
     now = spots.join(roots, spots["name"] == roots["node"], "left").select(*spots.columns, F.coalesce("root", "name").alias("root"))
-    apart = now.groupBy("key").agg(F.count("*").alias("w"), F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key", "w", F.lit(1).alias("open"))
-    links = written(_rest(skew_join(now, apart, "key", "w", rows, "name", "inner"), sets, likeness), "links")
+    apart = now.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
+    links = written(_rest(now.join(apart, "key"), sets, likeness), "links")
     return named(marked, nodes.select("name", "low", "w"), _joined(roots, links), "name", n, total)
 
 

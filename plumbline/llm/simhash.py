@@ -168,6 +168,12 @@ def in_parts(dealt: DataFrame, key: str, wide: Column, by: str, size: int | None
     return dealt.withColumns({"p": F.least("part", "other"), "r": F.greatest("part", "other")}).repartition(key, "p", "r").sortWithinPartitions(key, "p", "r")
 
 
+def shared_keys(dealt: DataFrame) -> DataFrame:
+    """The rows whose key others have too, with ``wide``, how many. Counts are summed before the shuffle; a hot key's rows are split by Spark's adaptive skew join, and only rows that stay leave it."""
+    wide = dealt.groupBy("key").agg(F.count("*").alias("wide")).where("wide > 1")
+    return dealt.join(wide, "key")
+
+
 def masks_of(radius: int) -> list[int]:
     """The bits that a key keeps, a choice of AGREE among radius + AGREE blocks each: two fingerprints within the radius share at least one key. The keys are the same at every size of table."""
     n = radius + AGREE
@@ -176,13 +182,12 @@ def masks_of(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near_edges(nodes: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """(a, b): links that connect the same fingerprints as all pairs within ``radius`` bits do. nodes: (fp), distinct; n: how many."""
+def near_edges(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): links that connect the same fingerprints as all pairs within ``radius`` bits do. nodes: (fp), distinct."""
     masks = masks_of(radius)
     dealt = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "bits"))
     dealt = dealt.select("fp", F.xxhash64("block", "bits").alias("key"))
-    met = dealt.groupBy("key").agg(F.count("*").alias("w"), F.count("*").alias("wide")).where("w > 1")
-    dealt = in_parts(skew_join(dealt, met, "key", "w", n * len(masks), "fp", "inner"), "key", F.col("wide"), "fp").select("key", "p", "r", "fp")
+    dealt = in_parts(shared_keys(dealt), "key", F.col("wide"), "fp").select("key", "p", "r", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in whole_groups(batches, 3):
@@ -207,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(with_fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("w")), "nodes")
     n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    roots = components(near_edges(nodes.select("fp"), n, radius), "a", "b")
+    roots = components(near_edges(nodes.select("fp"), radius), "a", "b")
     return named(prints, nodes, roots, "fp", n, total)
 
 

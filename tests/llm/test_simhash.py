@@ -88,7 +88,7 @@ def test_large_key_in_parts(spark, monkeypatch):
     fps = np.unique(np.concatenate([np.full(1, 12345, np.uint64) ^ (np.uint64(1) << a.astype(np.uint64)) ^ (np.uint64(1) << b.astype(np.uint64)) for a, b in rng.integers(0, 64, (300, 2, 1))] + [rng.integers(0, 2**63, 40).astype(np.uint64)]))
     monkeypatch.setattr(m, "PART", 16)
     nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    edges = near_edges(nodes, len(fps)).collect()
+    edges = near_edges(nodes).collect()
     at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
     label = spanning(len(fps), iter([(np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges]))]))
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4)
