@@ -47,8 +47,8 @@ class Block:
         self.norm = np.sqrt((self.vecs**2).sum(axis=1))
         order = self.orders(vecs)
         self.depth = order.shape[1]
-        # a pivot's file has a byte for each member: what its place in the member's order is worth, 0 if it is not in it
-        self.file = np.zeros((len(pivots), len(vecs)), np.int8)
+        # a pivot's file has a number for each member: what its place in the member's order is worth, 0 if it is not in it
+        self.file = np.zeros((len(pivots), len(vecs)), np.int16)
         for place in range(self.depth):
             self.file[order[:, place], np.arange(len(vecs))] = self.depth - place
         self.measured = max(LEAST, int(np.ceil(SHARE * len(vecs))))
@@ -61,17 +61,19 @@ class Block:
     def search(self, query: np.ndarray, order: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
         """The k nearest of those measured, ties to smaller ids; all that tie at either cut are taken in."""
         # An order without a pivot has it at place len(order). The footrule distance falls by twice the smaller weight for each pivot in both orders.
-        read = self.file[order]
-        np.minimum(read, np.arange(self.depth, self.depth - len(order), -1, dtype=np.int8)[:, None], out=read)
-        shared = read.sum(axis=0, dtype=np.int16)
+        shared, held = np.zeros(len(self.vecs), np.int16), np.empty(len(self.vecs), np.int16)
+        for place, p in enumerate(order.tolist()):
+            shared += np.minimum(self.file[p], np.int16(len(order) - place), out=held)
         pick = np.arange(len(shared))
         if self.measured < len(shared):
             pick = np.flatnonzero(shared >= np.partition(shared, -self.measured)[-self.measured])
         q = query.astype(np.float64)
-        score = (self.vecs[pick] * q).sum(axis=1) / (self.norm[pick] * np.sqrt((q**2).sum()))
         if len(pick) > k + 1:
-            top = score >= np.partition(score, -(k + 1))[-(k + 1)]
-            pick, score = pick[top], score[top]
+            # a fast product leaves those that rounding could bring among the nearest
+            near = (self.vecs[pick] @ q) / self.norm[pick]
+            cut = np.partition(near, -(k + 1))[-(k + 1)]
+            pick = pick[near >= cut - 1e-9 * np.sqrt((q**2).sum())]
+        score = (self.vecs[pick] * q).sum(axis=1) / (self.norm[pick] * np.sqrt((q**2).sum()))
         found = sorted((-s, i) for x, s in zip(pick.tolist(), score.tolist(), strict=True) for i in self.ids[x].tolist() if i != own)
         return [(i, -s) for s, i in found[:k]]
 
