@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, linededup, mixing, parsing, quality, sitetree, toxicity, warc
+from plumbline.llm import ann, linededup, mixing, parsing, quality, sitetree, toxicity, warc, whitening
 from plumbline.llm.common import documents
 from plumbline.llm.pieces import encode_decode
 from plumbline.llm.simhash import near_duplicates
@@ -97,9 +97,13 @@ def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract's queries, by name."""
-    made = (op1_warc_revisits, op2_permutation_index, op3_line_dedup, op4_site_style_tree, op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op9_mixing, op10_locally_consistent_fingerprints)
+    made = (op1_warc_revisits, op2_permutation_index, op3_line_dedup, op4_site_style_tree, op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op9_mixing, op10_locally_consistent_fingerprints, op12_feast_whitening)
     return {f.__name__: f for f in made}
 
 
