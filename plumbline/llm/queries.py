@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, linededup, mixing, parsing, quality, sitetree, toxicity, warc, whitening
+from plumbline.llm import ann, linededup, mixing, parsing, quality, sitetree, suffixes, toxicity, warc, whitening
 from plumbline.llm.common import documents
 from plumbline.llm.pieces import encode_decode
 from plumbline.llm.simhash import near_duplicates
@@ -101,9 +101,16 @@ def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8).withColumnRenamed("id", "vec_id")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.without_repeats(documents(spark, sf_dir), size=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return got.select("doc_id", n_bytes.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract's queries, by name."""
-    made = (op1_warc_revisits, op2_permutation_index, op3_line_dedup, op4_site_style_tree, op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op9_mixing, op10_locally_consistent_fingerprints, op12_feast_whitening)
+    made = (op1_warc_revisits, op2_permutation_index, op3_line_dedup, op4_site_style_tree, op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op9_mixing, op10_locally_consistent_fingerprints, op12_feast_whitening, op13_suffix_array_dedup)
     return {f.__name__: f for f in made}
 
 
