@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, linededup, mixing, parsing, quality, sitetree, suffixes, toxicity, warc, whitening
+from plumbline.llm import ann, linededup, mixing, parsing, phrases, quality, sitetree, suffixes, toxicity, warc, whitening
 from plumbline.llm.common import documents
 from plumbline.llm.pieces import encode_decode
 from plumbline.llm.simhash import near_duplicates
@@ -97,6 +97,10 @@ def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), top=2000, least=10)
+
+
 def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8).withColumnRenamed("id", "vec_id")
 
@@ -110,9 +114,9 @@ def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract's queries, by name."""
-    made = (op1_warc_revisits, op2_permutation_index, op3_line_dedup, op4_site_style_tree, op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op9_mixing, op10_locally_consistent_fingerprints, op12_feast_whitening, op13_suffix_array_dedup)
+    made = (op1_warc_revisits, op2_permutation_index, op3_line_dedup, op4_site_style_tree, op5_toxicity, op6_quality, op7_simhash_near_dedup, op8_sentencepiece, op9_mixing, op10_locally_consistent_fingerprints, op11_phrase_collocations, op12_feast_whitening, op13_suffix_array_dedup)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1_SQL, "op3_line_dedup": linededup.ORACLE, "op9_mixing": mixing.oracle("CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END", "CASE WHEN lang = 'en' THEN 3 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END", "1", MIX_SHARE, MIX_EPOCHS, MIX_SEED)}
+    return {"op1_warc_revisits": OP1_SQL, "op3_line_dedup": linededup.ORACLE, "op11_phrase_collocations": phrases.ORACLE, "op9_mixing": mixing.oracle("CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END", "CASE WHEN lang = 'en' THEN 3 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END", "1", MIX_SHARE, MIX_EPOCHS, MIX_SEED)}

@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import skew_join, written
+from plumbline.llm.sieve import passes, sieve
 
-#: Bytes of a gram; bytes that multikey quicksort looks at beyond those known to be equal; bytes of text handled at once; stretches of one gram that a task holds at most (beyond, windows are compared one by one); bits of a sieve.
-GRAM, SHALLOW, CHUNK, HEAVY, SIEVE = 64, 24, 1 << 20, 16_384, 1 << 26
+#: Bytes of a gram; bytes that multikey quicksort looks at beyond those known to be equal; bytes of text handled at once; stretches of one gram that a task holds at most (beyond, windows are compared one by one).
+GRAM, SHALLOW, CHUNK, HEAVY = 64, 24, 1 << 20, 16_384
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _AT = np.uint64((1 << 24) - 1)
 
@@ -252,20 +253,6 @@ def _halves(digest: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return got[:, 0], got[:, 1]
 
 
-def sieve(keys: DataFrame, key: str) -> np.ndarray:
-    """SIEVE bits, eight bytes a word: those that the keys' low bits name are set. It never grows; what it lets through wrongly is sorted out later."""
-    bit = F.col(key).bitwiseAND(F.lit(SIEVE - 1))
-    words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(`%s` & 63L as int))" % key)).alias("bits")).toArrow()
-    got = np.zeros(SIEVE // 64, np.int64)
-    got[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return got.view(np.uint64)
-
-
-def _passes(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys.astype(np.uint64) & np.uint64(SIEVE - 1)
-    return (held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _grams(docs: DataFrame, size: int) -> DataFrame:
     """(key, n): anchors' grams by hash, counted for each chunk of text."""
 
@@ -285,7 +272,7 @@ def _stretches(docs: DataFrame, size: int, grams, wanted=None) -> DataFrame:
         seen: set[bytes] = set()
         for rows, b, ends in _texts(batches):
             first, last, at, h = anchors(b, ends, size)
-            pick = np.flatnonzero(_passes(held, h))
+            pick = np.flatnonzero(passes(held, h))
             first, last, at, key = first[pick], last[pick], at[pick], h[pick].view(np.int64)
             text = b.tobytes()
             md5 = [hashlib.md5(text[i : j + size]).digest() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
@@ -301,7 +288,7 @@ def _stretches(docs: DataFrame, size: int, grams, wanted=None) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 new = []
-                for i in np.flatnonzero(_passes(some, s1)).tolist():
+                for i in np.flatnonzero(passes(some, s1)).tolist():
                     if md5[i] not in seen:
                         seen.add(md5[i])
                         new.append(i)
