@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import written
 
 #: Pivots, a bounded sample of the vectors; how many of them an order keeps; vectors of a block; share of a block that is measured, and the fewest.
-PIVOTS, ORDER, BLOCK, SHARE, LEAST = 256, 64, 8192, 0.1, 64
+PIVOTS, ORDER, BLOCK, SHARE, LEAST = 256, 64, 8192, 0.1, 800
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Paths given out inside each open ``scratch``.
-_made: list[list[str]] = []
+#: Paths given out inside the innermost open ``scratch``; threads have their own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-    if _made:
-        _made[-1].append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -44,13 +45,13 @@ def forget(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """The paths of all tables that are written inside; what is left in the list at the end is removed."""
+    """The paths of all tables that this thread writes inside; what is left in the list at the end is removed."""
     made: list[str] = []
-    _made.append(made)
+    outer = _made.set(made)
     try:
         yield made
     finally:
-        _made.remove(made)
+        _made.reset(outer)
         forget(spark, *made)
 
 

@@ -11,20 +11,20 @@ SIZE = 3
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
-    """(id, pos, hash): every window of ``size`` consecutive lines with a word in it, lines and their order hashed to 128 bits."""
-    rows = docs.select("id", F.split("text", "\n").alias("lines")).where(F.size("lines") >= size)
-    spot = rows.select("id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - size)).alias("pos"))
+    """(id, own, pos, hash): every window of ``size`` consecutive lines with a word in it, lines and their order hashed to 128 bits."""
+    rows = docs.select("id", "own", F.split("text", "\n").alias("lines")).where(F.size("lines") >= size)
+    spot = rows.select("id", "own", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - size)).alias("pos"))
     text = F.concat_ws("\n", F.slice("lines", F.col("pos") + 1, size))
-    return spot.select("id", "pos", text.alias("w")).where(F.col("w").rlike("[^ \t\n\r\f\x0b]")).select("id", "pos", F.unhex(F.md5("w")).alias("hash"))
+    return spot.select("id", "own", "pos", text.alias("w")).where(F.col("w").rlike("[^ \t\n\r\f\x0b]")).select("id", "own", "pos", F.unhex(F.md5("w")).alias("hash"))
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(id, pos) of each window that occurred before: in the order of (id, place), all occurrences but the first. docs: (id, text)."""
+    """(id, own, pos) of each window that occurred before: in the order of (id, own, place), all occurrences but the first. docs: (id, own, text), where ``own`` tells texts of one id apart."""
     spots = written(_windows(docs, size), "windows")
-    first = spots.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("w")).where(F.col("w") > 1)
+    first = spots.groupBy("hash").agg(F.min(F.struct("id", "own", "pos")).alias("first"), F.count("*").alias("w")).where(F.col("w") > 1)
     total = spots.count()
     met = skew_join(spots, first, "hash", "w", total, "id", "inner")
-    return met.where(F.struct("id", "pos") > F.col("first")).select("id", "pos")
+    return met.where(F.struct("id", "own", "pos") > F.col("first")).select("id", "own", "pos")
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -34,16 +34,16 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with a word among them. Of equal windows the one with the smallest (id, place) stays; the lines of
     all others go, windows that overlap being merged, so a repeated passage of any length goes whole.
     Texts with fewer lines than a window, null and empty texts stay as they are. Rows that repeat an
-    id and a text are one document and are treated alike; rows with equal ids and different texts
-    share what is removed by place. Rows without an id are never compared. Other columns stay, whatever
+    id and a text are one document and are treated alike; rows with equal ids and different texts are
+    documents of their own, in the order of a hash of their texts. Rows without an id are never compared. Other columns stay, whatever
     their names, but for ones named lines_before or lines_removed, which are replaced; an empty table
     stays empty. Passages that fill one or two lines only are no window and stay.
     """
-    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_windows(base, size).groupBy("id").agg(F.collect_set("pos").alias("starts"))
+    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64("text"))
+    gone = repeated_windows(base, size).groupBy("id", "own").agg(F.collect_set("pos").alias("starts"))
     # rows go as one column, so that their names cannot clash with others
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"))
-    out = rows.join(gone, rows["key"] == gone["id"], "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"))
+    out = rows.join(gone, (rows["key"] == gone["id"]) & (rows["hash"] == gone["own"]), "left")
     # a transform calls its function for each line: the lines are cut once, above it
     out = out.withColumn("lines", F.split(F.col("row")[text_col], "\n"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + size - 1))))

@@ -24,8 +24,8 @@ from plumbline.llm.simhash import GrayIndex, gray_rank, in_parts, majority, name
 
 #: Keys of a text, minima in a key, and the differing bits up to which texts under a key are candidates.
 BANDS, ROWS, RADIUS = 6, 3, 20
-#: The most texts of a key whose sets a task holds at once is twice this; a larger key is split into pairs of parts.
-SETS = 512
+#: The most texts of a key whose sets a task holds at once, and the most codes of these sets, are about twice these; a larger key is split into pairs of parts.
+SETS, CODES = 512, 1 << 23
 #: More bits than two fingerprints differ in.
 FAR = 99
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) << np.uint64(1) | np.uint64(1)
@@ -113,10 +113,13 @@ def _nearest(spots: DataFrame, likeness: float) -> DataFrame:
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A row of bits for each set, four times as many as the largest has codes: codes set the bits that their last digits name."""
     width = 64 << max(0, (max(map(len, sets)) * 4 - 1).bit_length() - 6)
-    bits = np.zeros((len(sets), width), bool)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bits[owner, (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    out = np.empty((len(sets), width // 64), np.uint64)
+    bits = np.empty(width, bool)
+    for row, codes in zip(out, sets, strict=True):
+        bits[:] = False
+        bits[(codes & np.uint64(width - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(bits, bitorder="little").view(np.uint64)
+    return out
 
 
 def _most(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -157,8 +160,8 @@ def _links_under(fps: np.ndarray, rows: np.ndarray, sets: list[np.ndarray], like
 
 
 def _rest(spots: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """(a, b): links between texts under a key that are not connected yet, decided where their whole sets meet, so that no pair that is refused leaves its task. spots: (key, wide, name, n, fp, root)."""
-    dealt = in_parts(spots.join(sets, "name"), "key", F.col("wide"), "name", SETS).select("key", "p", "r", "part", "n", "root", "name", "fp", "codes")
+    """(a, b): links between texts under a key that are not connected yet, decided where their whole sets meet, so that no pair that is refused leaves its task. spots: (key, wide, codes_under, name, n, fp, root)."""
+    dealt = in_parts(spots.join(sets, "name"), "key", F.greatest("wide", F.col("codes_under") * SETS / CODES), "name", SETS).select("key", "p", "r", "part", "n", "root", "name", "fp", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, list]] = []
@@ -232,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(_sets(texts, nodes, pairs, shingle), "sets")
     roots = written(components(written(alike_pairs(pairs, sets, likeness), "links"), "a", "b"), "roots")
     now = spots.join(roots, spots["name"] == roots["node"], "left").select(*spots.columns, F.coalesce("root", "name").alias("root"))
-    apart = now.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
+    apart = now.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.sum("n").alias("codes_under")).where("one <> two").select("key", "codes_under")
     links = written(_rest(now.join(apart, "key"), sets, likeness), "links")
     return named(marked, nodes.select("name", "low", "w"), _joined(roots, links), "name", n, total)
 

@@ -1,10 +1,17 @@
 import random
 
 from plumbline.llm.linededup import remove_repeated_lines
+from xxhash import xxh64_intdigest
 
 SCHEMA = "doc_id long, text string, lines string, pos int, hash string"
 
 
+def own(text):
+    """Spark's hash of a text, which sets texts of one id in an order."""
+    x = xxh64_intdigest(text.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute(rows):
     cut = {(i, t) for i, t in rows if i is not None and t is not None}
     first, spots = {}, []
@@ -13,19 +20,20 @@ def brute(rows):
         for p in range(len(lines) - 2):
             w = tuple(lines[p : p + 3])
             if any(x.strip(" \t\n\r\f\x0b") for x in w):
-                spots.append((w, i, p))
-                first[w] = min(first.get(w, (i, p)), (i, p))
+                at = (i, own(t), p)
+                spots.append((w, t, at))
+                first[w] = min(first.get(w, at), at)
     gone = {}
-    for w, i, p in spots:
-        if (i, p) > first[w]:
-            gone.setdefault(i, set()).update(range(p, p + 3))
+    for w, t, at in spots:
+        if at > first[w]:
+            gone.setdefault((at[0], t), set()).update(range(at[2], at[2] + 3))
     out = []
     for i, t in rows:
-        if i is None or t is None or i not in gone:
+        if i is None or t is None or (i, t) not in gone:
             out.append((i, t, 0))
         else:
             lines = t.split("\n")
-            keep = [x for p, x in enumerate(lines) if p not in gone[i]]
+            keep = [x for p, x in enumerate(lines) if p not in gone[i, t]]
             out.append((i, "\n".join(keep), len(lines) - len(keep)))
     return sorted(out, key=str)
 
@@ -41,13 +49,19 @@ def test_against_brute_force(spark):
             lines[at:at] = passage[: rng.randint(3, 9)]
         rows.append((i, "\n".join(lines)))
     hot = "same one\nsame two\nsame three\nsame four"
-    rows += [(1000 + i, hot + f"\nown {i}") for i in range(60)] + [(2000, ""), (2001, None), (None, hot), (2002, "a\nb"), (2003, "\n\n\n\n\n"), (2004, "\n\n\n\n"), (2005, "q\nq\nq\nq\nq\nq\nq"), (2006, "long line " * 20000 + "\nx\ny"), (2007, "\n".join(["l%d" % (k % 500) for k in range(5000)])), (2008, hot), (2008, hot)]
+    rows += [(1000 + i, hot + f"\nown {i}") for i in range(60)] + [(2000, ""), (2001, None), (None, hot), (2002, "a\nb"), (2003, "\n\n\n\n\n"), (2004, "\n\n\n\n"), (2005, "q\nq\nq\nq\nq\nq\nq"), (2006, "long line " * 20000 + "\nx\ny"), (2007, "\n".join(["l%d" % (k % 500) for k in range(5000)])), (2008, hot), (2008, hot), (2009, hot + "\nmine"), (2009, "u\nv\nw\nz"), (2009, "z\nu\nv\nw")]
     df = spark.createDataFrame([(i, t, "c", 1, "h") for i, t in rows], SCHEMA)
     got = remove_repeated_lines(df)
     assert set(got.columns) == {*df.columns, "lines_before", "lines_removed"}
     assert sorted(((r.doc_id, r.text, r.lines_removed) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [(4, "a1\nb1\nc1\nx"), (5, "a1\nb1\nc1\ny"), (5, "unique p\nunique q\nunique r\nz")]
+    got = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.lines_removed) for r in got) == sorted([(*rows[0], 0), (5, "y", 3), (*rows[2], 0)])
+
+
 def test_empty(spark):
     assert remove_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -91,3 +91,27 @@ def test_tokens(stages):
 
 def test_run(spark, stages):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()) == sorted(r["doc_id"] for r in stages[5])
+
+
+def test_scratch_of_two_threads(spark):
+    """What one thread writes is not removed when another's scratch ends, and lists that are equal are not mixed up."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from plumbline.llm.common import scratch, written
+
+    both, ended = Barrier(2), Barrier(2)
+
+    def run(k):
+        with scratch(spark) as made:
+            both.wait(60)
+            df = written(spark.range(10 * (k + 1)), "mine")
+            if k:
+                ended.wait(60)
+            n, own = df.count(), list(made)
+        if not k:
+            ended.wait(60)
+        return n, len(own)
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, range(2))) == [(10, 1), (20, 1)]

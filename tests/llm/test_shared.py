@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from plumbline.llm import shared, simhash
@@ -96,6 +97,21 @@ def test_bounds_of_what_sets_share():
     assert all(m >= len(np.intersect1d(sets[a], sets[b])) for m, a, b in zip(most, i, j, strict=True))
 
 
+def test_long_sets_are_dealt_by_their_size(spark, monkeypatch):
+    """Few codes a part give the same groups, and bit maps take no byte for a bit."""
+    rows = [(i, t) for i, t in corpus() if i not in (None, 7005)]
+    df = spark.createDataFrame([(a, b, 1, "clash") for a, b in rows], SCHEMA)
+    want = {r.id: r.component for r in near_duplicates(df).collect()}
+    monkeypatch.setattr(shared, "CODES", 300)
+    assert {r.id: r.component for r in near_duplicates(df).collect()} == want
+    sets = [np.arange(k, k + 100_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in range(64)]
+    tracemalloc.start()
+    shared._bitmaps(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(s.nbytes for s in sets) / 8
+
+
 def test_repeated_and_missing_ids(spark):
     """Rows that repeat an id and rows without one keep their rows; a null id names a group only of its own kind."""
     rows = [(None, "one two"), (7004, "one two"), (7005, "one two"), (7005, "one two"), (7005, "other"), (None, "lone text of its own kind"), (None, "lone text  of its own KIND")]
