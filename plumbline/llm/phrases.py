@@ -24,7 +24,8 @@ from plumbline.llm.common import written
 from plumbline.llm.sieve import passes, sieve
 
 #: Scores are whole numbers of 1/UNIT; bytes of text whose words a task counts at once; the first batch has so many times the phrases asked for; parts in which a language is ranked first.
-UNIT, CHUNK, WIDE, PARTS = 1_000_000, 8 << 20, 2, 64
+UNIT, CHUNK, WIDE, PARTS = 1_000_000, 8 << 20, 2, 16
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA5A3564E27F8862D], np.uint64)
 #: A separator of pieces stands for itself as a word ".", which no word can hold.
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 _END = re.compile(rb"\.+")
@@ -60,51 +61,78 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray,
                 lo = hi
 
 
-def _key(lang: str, phrase: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\t" + phrase, 42)
+class _Chunk:
+    """Words of some texts of one language, with a 64-bit key for each word and each pair of words."""
 
+    def __init__(self, lang: str, ids: np.ndarray, words: list[bytes]):
+        self.lang, self.ids, self.words = lang, ids, words
+        self.width = len(words)
 
-def _spark_key() -> Column:
-    return F.xxhash64(F.concat("lang", F.lit("\t"), "phrase"))
+    def keys(self) -> np.ndarray:
+        start = self.lang.encode() + b"\t"
+        return np.array([xxhash.xxh64_intdigest(start + w) for w in self.words], np.uint64)
 
+    def pairs(self, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, different pairs, which one each place has, counts) of neighbours that are both ``ok``."""
+        at = np.flatnonzero(ok[self.ids[:-1]] & ok[self.ids[1:]]) if len(self.ids) else np.zeros(0, np.int64)
+        return at, *np.unique(self.ids[at] * self.width + self.ids[at + 1], return_inverse=True, return_counts=True)
 
-def _counted(docs: DataFrame, found: Callable[[str, np.ndarray, list[bytes]], tuple[list[bytes], np.ndarray]]) -> DataFrame:
-    """(lang, phrase, f): what ``found`` gives for the words of each chunk, added up."""
+    def pair_keys(self, pairs: np.ndarray) -> np.ndarray:
+        words = self.keys()
+        first, second = np.divmod(pairs, self.width)
+        x = (words[first] * _ODD[0]) ^ (words[second] * _ODD[1] >> np.uint64(31)) ^ (words[second] * _ODD[2])
+        x = (x ^ x >> np.uint64(29)) * _ODD[0]
+        return x ^ x >> np.uint64(32)
+
+    def spelt(self, pairs: np.ndarray) -> list[bytes]:
+        words = self.words
+        return [words[p] + b" " + words[q] for p, q in zip(*(x.tolist() for x in np.divmod(pairs, self.width)), strict=True)]
+
+
+def _counted(docs: DataFrame, found: Callable[[_Chunk], tuple[list[bytes], np.ndarray, np.ndarray]]) -> DataFrame:
+    """(lang, phrase, key, f): the phrases, keys and counts that ``found`` gives for each chunk, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, words in _words(batches):
-            phrases, n = found(lang, ids, words)
+        for x in _words(batches):
+            phrases, keys, n = found(_Chunk(*x))
             for lo in range(0, len(phrases), 100_000):
                 part = phrases[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array(n[lo : lo + 100_000], pa.int64())], ["lang", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0]] * len(part), pa.string()), pa.array(part, pa.binary()), *[pa.array(c[lo : lo + 100_000].astype(np.int64)) for c in (keys, n)]], ["lang", "phrase", "key", "n"])
 
-    rows = docs.mapInArrow(run, "lang string, phrase binary, n long")
-    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
+    rows = docs.mapInArrow(run, "lang string, phrase binary, key long, n long")
+    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "key").agg(F.sum("n").alias("f"))
 
 
-def _singles(lang: str, ids: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    return words[1:], np.bincount(ids, minlength=len(words))[1:]
+def _singles(x: _Chunk) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    return x.words[1:], x.keys()[1:], np.bincount(x.ids, minlength=x.width)[1:]
 
 
-def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs of numbers, which of them each row is, and their counts."""
-    return np.unique(codes, return_inverse=True, return_counts=True)
+def _frequent(x: _Chunk, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of words that both pass the sieve of frequent words: what they are, their keys, their counts."""
+    ok = passes(words.value, x.keys())
+    ok[0] = False
+    _, pairs, _, n = x.pairs(ok)
+    return pairs, x.pair_keys(pairs), n
 
 
-def _pairs_of(ids: np.ndarray, ok: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, different pairs, which one each place has, counts) of neighbours that are both ``ok``."""
-    at = np.flatnonzero(ok[ids[:-1]] & ok[ids[1:]]) if len(ids) else np.zeros(0, np.int64)
-    return at, *_distinct(ids[at] * width + ids[at + 1])
+def _pair_counts(docs: DataFrame, words) -> DataFrame:
+    """(key, f): how often each pair of frequent words occurs, by its key alone; pairs that share a key are counted together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _words(batches):
+            _, keys, n = _frequent(_Chunk(*x), words)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-def _doubles(held) -> Callable:
-    """Pairs of words that both pass the sieve of frequent words."""
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("f"))
 
-    def found(lang: str, ids: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        ok = passes(held.value, np.array([_key(lang, w) for w in words], np.uint64))
-        ok[0] = False
-        _, pairs, _, n = _pairs_of(ids, ok, len(words))
-        return [words[p] + b" " + words[q] for p, q in zip(*(x.tolist() for x in np.divmod(pairs, len(words))), strict=True)], n
+
+def _doubles(words, often) -> Callable:
+    """Pairs of frequent words whose key passes the sieve of frequent pairs."""
+
+    def found(x: _Chunk) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        pairs, keys, n = _frequent(x, words)
+        pick = passes(often.value, keys)
+        return x.spelt(pairs[pick]), keys[pick], n[pick]
 
     return found
 
@@ -112,18 +140,19 @@ def _doubles(held) -> Callable:
 def _triples(expanded, tested) -> Callable:
     """Three words whose first two are an expanded prefix, or whose last two are a pair that something longer may cover."""
 
-    def found(lang: str, ids: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        ok = np.ones(len(words), bool)
+    def found(x: _Chunk) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        ok = np.ones(x.width, bool)
         ok[0] = False
-        at, pairs, which, _ = _pairs_of(ids, ok, len(words))
-        first, second = (x.tolist() for x in np.divmod(pairs, len(words)))
-        key = np.array([_key(lang, words[p] + b" " + words[q]) for p, q in zip(first, second, strict=True)], np.uint64)
+        at, pairs, which, _ = x.pairs(ok)
+        key = x.pair_keys(pairs)
         heads, tails = passes(expanded.value, key), passes(tested.value, key)
         follows = np.flatnonzero(at[1:] == at[:-1] + 1)
         follows = follows[heads[which[follows]] | tails[which[follows + 1]]]
-        codes, _, n = _distinct(which[follows] * len(words) + ids[at[follows] + 2])
-        pair, third = np.divmod(codes, len(words))
-        return [words[first[p]] + b" " + words[second[p]] + b" " + words[w] for p, w in zip(pair.tolist(), third.tolist(), strict=True)], n
+        codes, n = np.unique(which[follows] * x.width + x.ids[at[follows] + 2], return_counts=True)
+        pair, third = np.divmod(codes, x.width)
+        used, back = np.unique(pair, return_inverse=True)
+        first, words = x.spelt(pairs[used]), x.words
+        return [first[p] + b" " + words[w] for p, w in zip(back.tolist(), third.tolist(), strict=True)], np.zeros(len(n), np.int64), n
 
     return found
 
@@ -159,12 +188,13 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, cover: int =
     singles = written(_counted(docs, _singles), "words")
     total = singles.groupBy("lang").agg(F.sum("f").alias("n"))
     words = singles.where(F.col("f") >= least)
-    frequent = spark.sparkContext.broadcast(sieve(words.select(_spark_key().alias("key")), "key"))
-    doubles = _counted(docs, _doubles(frequent)).where(F.col("f") >= least)
-    doubles = doubles.select("lang", "phrase", F.col("f").alias("a"), F.substring_index("phrase", " ", 1).alias("w1"), F.substring_index("phrase", " ", -1).alias("w2"))
+    frequent = spark.sparkContext.broadcast(sieve(words, "key"))
+    often = spark.sparkContext.broadcast(sieve(_pair_counts(docs, frequent).where(F.col("f") >= least), "key"))
+    doubles = _counted(docs, _doubles(frequent, often)).where(F.col("f") >= least)
+    doubles = doubles.select("lang", "phrase", "key", F.col("f").alias("a"), F.substring_index("phrase", " ", 1).alias("w1"), F.substring_index("phrase", " ", -1).alias("w2"))
     one = lambda w, name: words.select("lang", F.col("phrase").alias(w), F.col("f").alias(name))
     pairs = doubles.join(one("w1", "l"), ["lang", "w1"]).join(one("w2", "r"), ["lang", "w2"])
-    pairs = written(pairs.select("lang", "phrase", "a", "l", "r", _score("a", "l", "r").alias("score"), F.expr(f"(cast(a as decimal(19, 0)) * {UNIT}) div cast(l as decimal(19, 0))").alias("bound")), "pairs")
+    pairs = written(pairs.select("lang", "phrase", "key", "a", "l", "r", _score("a", "l", "r").alias("score"), F.expr(f"(cast(a as decimal(19, 0)) * {UNIT}) div cast(l as decimal(19, 0))").alias("bound")), "pairs")
 
     settled, wanted = [], WIDE * top
     open_ = pairs.select("lang").distinct()
@@ -173,7 +203,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, cover: int =
         now = written(pairs.join(cuts, "lang"), "frontier")
         expanded = now.where(F.col("bound") >= F.col("least"))
         tested = now.where(F.col("score") >= F.col("least"))
-        held = [spark.sparkContext.broadcast(sieve(x.select(_spark_key().alias("key")), "key")) for x in (expanded, tested)]
+        held = [spark.sparkContext.broadcast(sieve(x, "key")) for x in (expanded, tested)]
         triples = _counted(docs, _triples(*held)).where(F.col("f") >= least).withColumnRenamed("f", "a")
         triples = triples.select("lang", "phrase", "a", F.substring_index("phrase", " ", 2).alias("head"), F.substring_index("phrase", " ", -2).alias("tail"))
         # both parts of two words are at least as frequent, so they are among the pairs
