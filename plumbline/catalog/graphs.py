@@ -7,7 +7,7 @@ from plumbline.catalog.fixtures import EDGES, GRID, edges, grid, table
 from plumbline.catalog.registry import query
 from plumbline.catalog.voxels import _rounded
 from plumbline.operators import graphs as op
-from plumbline.operators import surfaces
+from plumbline.operators import surfaces, trees
 
 _REACH = f"WITH RECURSIVE {EDGES}, b AS (SELECT i AS s, j AS t FROM edges UNION ALL SELECT j, i FROM edges), r(n, l) AS (SELECT s, s FROM b UNION SELECT b.t, r.l FROM r JOIN b ON b.s = r.n WHERE r.l < b.t), comp AS (SELECT n AS node, min(l) AS component FROM r GROUP BY n)"
 
@@ -36,13 +36,15 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g03_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against removal of each edge on a small graph."""
-    return op.bridges(_sparse(spark, sf_dir))
+    return trees.bridges(_sparse(spark, sf_dir))
 
 
 @query()
 def g04_bfs_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested against a queue on a small graph."""
-    return op.bfs_forest(_sparse(spark, sf_dir))
+    """Levels and potentials of a breadth-first tree, with the size of each subtree and its share of the tree. Tested against a queue on a small graph."""
+    tree = op.settled(op.bfs_forest(_sparse(spark, sf_dir)))
+    hung = tree.where("eid IS NOT NULL").select("eid", F.col("parent").alias("i"), F.col("node").alias("j"), F.lit(0).cast("long").alias("d"))
+    return trees.with_shares(tree, trees.rooted(hung))
 
 
 @query()
@@ -102,7 +104,7 @@ def g10_lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g11_checkable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that something else can contradict: support of two or more, or not a bridge; with their component."""
     e = _sparse(spark, sf_dir)
-    free = op.bridges(e).select("eid").withColumn("bridge", F.lit(True))
+    free = trees.bridges(e).select("eid").withColumn("bridge", F.lit(True))
     c = op.components(e, "i", "j").withColumnRenamed("node", "i")
     out = e.join(free, "eid", "left").join(c, "i").withColumn("bridge", F.coalesce("bridge", F.lit(False)))
     return out.select("eid", "component", "bridge", ((F.col("w") >= 400000) | ~F.col("bridge")).alias("checkable"))
@@ -119,6 +121,63 @@ def g12_phase_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(d.groupBy("surface", "row").agg(F.round(F.sum(w), 4).alias("net"), F.count_if(F.abs(w) > 0.25).alias("wide")))
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as readings of a constraint graph: supplier i, part j and a difference d that is off for some; several readings of one pair disagree."""
+    item, s, p = table(spark, sf_dir, "lineitem"), F.col("l_suppkey"), F.col("l_partkey")
+    off = F.when(F.col("l_linenumber") == 7, 1).when(F.col("l_quantity") > 49, 3).otherwise(0)
+    return item.select(F.concat(F.lit("s"), s.cast("string")).alias("i"), F.concat(F.lit("p"), p.cast("string")).alias("j"), ((p % 12) - (s % 12) + off).cast("long").alias("d"))
+
+
+@query()
+def g05_constraint_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of a pair merged to the most supported difference, and the forest of greatest support; tested against loops."""
+    return op.maximum_forest(trees.merged_constraints(_readings(spark, sf_dir), "i", "j", "d"), "w")
+
+
+@query()
+def g06_solved_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored values that start from the forest's potentials and move to what most readings imply; tested against loops."""
+    return trees.solved(_readings(spark, sf_dir), "i", "j", "d", anchor="p1")
+
+
+@query("WITH r AS (SELECT 's' || l_suppkey AS i, 'p' || l_partkey AS j, CASE WHEN l_linenumber = 7 THEN 1 WHEN l_quantity > 49 THEN 3 ELSE 0 END AS off FROM lineitem), e AS (SELECT count(*) AS constraints, count(*) FILTER (off = 0) AS exact, count(*) FILTER (off = 1) AS one, count(*) FILTER (off >= 2) AS more FROM r), p AS (SELECT count(*) AS edges, count(*) FILTER (most >= 1) AS disagreeing_edges FROM (SELECT i, j, max(off) AS most FROM r GROUP BY ALL)), n AS (SELECT unnest([i, j]) AS node FROM r), v AS (SELECT count(DISTINCT node) AS nodes, 1::BIGINT AS components, count(DISTINCT node) FILTER (node LIKE 's%') AS tied FROM n) SELECT *, constraints - (nodes - components) AS redundant, CASE WHEN more > 0 THEN 'INCONSISTENT' WHEN one = 0 AND constraints > nodes - components THEN 'CONSISTENT' ELSE 'UNVERIFIED' END AS verdict FROM e, p, v")
+def g07_solved_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of what the solved values leave: the SQL knows how far each reading was put off, which the solver has to find out."""
+    r = _readings(spark, sf_dir)
+    values = op.settled(trees.solved(r, "i", "j", "d", anchor="p1"))
+    return trees.residual_summary(trees.constraint_residuals(r, "i", "j", "d", values), values, tie="p1", prefix="s")
+
+
+@query(f"{_REACH}, t AS (SELECT 's' || s_suppkey AS node, s_suppkey % 12 AS true FROM supplier UNION ALL SELECT 'p' || p_partkey, p_partkey % 12 FROM part), k AS (SELECT comp.node, component AS root, true, true + length(component) + (substr(comp.node, 2)::BIGINT % 17 = 0)::INTEGER - true AS shift FROM comp JOIN t USING (node)), c AS (SELECT root, shift, count(*) AS n FROM k GROUP BY ALL), b AS (SELECT root, sum(n)::BIGINT AS nodes, max(n) AS agreeing FROM c GROUP BY root), s AS (SELECT root, min(shift) AS shift FROM c JOIN b USING (root) WHERE n = agreeing GROUP BY root), r AS (SELECT a.root, count(*) AS edges, count(*) FILTER (a.shift = z.shift) AS edges_right FROM edges JOIN k a ON a.node = i JOIN k z ON z.node = j GROUP BY a.root) SELECT root, nodes, shift, agreeing, edges, edges_right, round(agreeing / nodes, 6) AS accuracy, round(edges_right / edges, 6) AS edge_accuracy FROM b JOIN s USING (root) JOIN r USING (root)")
+def g08_component_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a graph's nodes against a table of truths, each component up to its own shift: nodes and edges that are right."""
+    e = edges(spark, sf_dir)
+    true = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), (F.col("s_suppkey") % 12).alias("true"))
+    true = true.unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), (F.col("p_partkey") % 12).alias("true")))
+    wrong = F.when(F.substring("node", 2, 20).cast("long") % 17 == 0, 1).otherwise(0)
+    found = op.components(e, "i", "j").join(true, "node").select("node", F.col("component").alias("root"), (F.col("true") + F.length("component") + wrong).alias("val"))
+    return _rounded(trees.accuracy_up_to_shift(found, true, e))
+
+
+@query("WITH e AS (SELECT o_custkey AS i, (o_orderkey % 700) + 1 AS j FROM orders WHERE o_orderpriority = '1-URGENT'), ids AS (SELECT c_custkey AS id FROM customer), b AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e), w2 AS (SELECT j AS n, count(*)::HUGEINT AS c FROM b JOIN ids ON id = i GROUP BY j), w3 AS (SELECT j AS n, sum(c)::HUGEINT AS c FROM w2 JOIN b ON i = n GROUP BY j), w4 AS (SELECT j AS n, sum(c)::HUGEINT AS c FROM w3 JOIN b ON i = n GROUP BY j), p AS (SELECT max(w)::DECIMAL(38, 0) AS peak FROM (SELECT sum(c) AS w FROM w2 UNION ALL SELECT sum(c) FROM w3 UNION ALL SELECT sum(c) FROM w4)), x AS (SELECT DISTINCT unnest([i, j]) AS id FROM e) SELECT (SELECT count(*) FROM ids) AS ids, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM x WHERE id NOT IN (SELECT id FROM ids)) AS missing, (SELECT count(*) FROM ids WHERE id NOT IN (SELECT id FROM x)) AS isolated, peak, CASE WHEN (SELECT count(*) FROM x WHERE id NOT IN (SELECT id FROM ids)) > 0 THEN 'blocked' WHEN peak >= 100000000 THEN 'high' WHEN peak >= 1000000 THEN 'warning' ELSE 'low' END AS risk FROM p")
+def g09_growth_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations between urgent orders' customers, both ways: ids that are missing or isolated, the most walks, and the risk of growing along them."""
+    e = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("i"), (F.col("o_orderkey") % 700 + 1).alias("j"))
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return trees.growth_preflight(e, ids, trees.augmented_walks(e, ids, 4), 1_000_000, 100_000_000)
+
+
+@query()
+def g12_unwrapped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angle of each surface cell, continuous over its piece. A surface is cut into bands of 15 rows and two sides: to the left a spiral with holes, to the right a flat sheet around the axis, whose loops do not close; tested against flood filling."""
+    g = grid(spark, sf_dir).where("valid OR col % 2 = 0").withColumn("band", F.expr("row div 15")).withColumn("side", (F.col("col") >= 50).cast("int"))
+    down, along = F.col("row") % 15 - 7.0, F.col("col") - 74.5
+    turn = F.col("col") * 0.17 + F.col("row") * 0.05
+    angle = F.when(F.col("side") == 0, F.atan2(F.sin(turn), F.cos(turn))).when(F.sqrt(down * down + along * along) >= 3, F.atan2(down, along))
+    out = trees.unwrapped_pieces(g.withColumn("angle", angle), ["surface", "band", "side"], "angle", 1.0)
+    return out.select("surface", "band", "side", "row", "col", F.col("piece.row").alias("piece_row"), F.col("piece.col").alias("piece_col"), F.round("phi", 9).alias("phi"), "excluded")
+
+
 @query(f"WITH {EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT unnest([i, j]) AS node FROM edges) GROUP BY node), r AS (SELECT degree, row_number() OVER (ORDER BY degree, node) AS k, count(*) OVER () AS n FROM d) SELECT any_value(n) AS n, max(CASE WHEN k = greatest(1, ceil(n * 0.5::DOUBLE)) THEN degree END) AS q50, max(CASE WHEN k = greatest(1, ceil(n * 0.9::DOUBLE)) THEN degree END) AS q90 FROM r")
 def a62_degree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank picks from the histogram of degrees: ranks are summed over distinct degrees, not over nodes."""

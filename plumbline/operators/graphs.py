@@ -66,14 +66,16 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def bfs_forest(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, parent, eid, level, root, pot): a breadth-first tree of each component from its smallest node, level by level; among edges to a node the smallest wins. edges: eid, i, j, d; walking i to j adds d."""
+def bfs_forest(edges: DataFrame) -> DataFrame:
+    """(node, parent, eid, level, root, pot): a breadth-first tree of each component from its smallest node, level by level; among edges to a node the smallest wins. edges: eid, i, j, d; walking i to j adds d. One job a level, however many; where any tree will do, ``trees.rooted`` takes the logarithm of that."""
     comp = components(edges, "i", "j")
     both = settled(edges.select("eid", F.col("i").alias("s"), F.col("j").alias("t"), "d").unionByName(edges.select("eid", F.col("j").alias("s"), F.col("i").alias("t"), (-F.col("d")).alias("d"))))
     kind = dict(edges.dtypes)
     tree = settled(comp.select(F.col("component").alias("node"), F.lit(None).cast(kind["i"]).alias("parent"), F.lit(None).cast(kind["eid"]).alias("eid"), F.lit(0).alias("level"), F.col("component").alias("root"), F.lit(0).cast("long").alias("pot")).distinct())
     fronts, before, front = [tree], None, tree
-    for level in range(1, rounds):
+    level = 0
+    while True:
+        level += 1
         step = front.join(both, front["node"] == both["s"]).select(F.col("t").alias("node"), F.col("s").alias("parent"), both["eid"], F.lit(level).alias("level"), "root", (F.col("pot") + F.col("d")).cast("long").alias("pot"))
         step = step.groupBy("node").agg(F.min_by(F.struct("parent", "eid", "level", "root", "pot"), F.struct("eid", "parent")).alias("x")).select("node", "x.*")
         # a neighbour of a level is of it or of the levels beside it
@@ -82,26 +84,6 @@ def bfs_forest(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         if front.isEmpty():
             return united(fronts)
         fronts.append(front)
-    raise RuntimeError(f"deeper than {rounds} levels")
-
-
-def bridges(edges: DataFrame) -> DataFrame:
-    """Edges whose loss disconnects. Every edge outside a spanning forest gets a 64-bit digest; the XOR of the digests at the nodes below a tree edge is that of the edges that leave the subtree: zero twice (two digests) means none does."""
-    tree = bfs_forest(edges)
-    other = edges.join(tree.where("eid IS NOT NULL").select("eid"), "eid", "left_anti")
-    mark = other.select(F.explode(F.array("i", "j")).alias("node"), F.xxhash64("eid", F.lit(1)).alias("a"), F.xxhash64("eid", F.lit(2)).alias("b"))
-    own = mark.groupBy("node").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    state = settled(tree.join(own, "node", "left").select("node", "parent", "eid", "level", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")))
-    deep = tree.agg(F.max("level")).first()[0] or 0
-    levels, up = [], None
-    for level in range(deep, 0, -1):
-        here = state.where(F.col("level") == level)
-        if up is not None:
-            here = here.join(up, "node", "left").select("node", "parent", "eid", "level", F.col("a").bitwiseXOR(F.coalesce("ua", F.lit(0))).alias("a"), F.col("b").bitwiseXOR(F.coalesce("ub", F.lit(0))).alias("b"))
-        levels.append(settled(here))
-        up = levels[-1].groupBy(F.col("parent").alias("node")).agg(F.bit_xor("a").alias("ua"), F.bit_xor("b").alias("ub"))
-    out = united(levels) if levels else state.limit(0)
-    return edges.join(out.where("a = 0 AND b = 0").select("eid"), "eid", "left_semi")
 
 
 def maximum_forest(edges: DataFrame, weight: str, rounds: int = 40) -> DataFrame:

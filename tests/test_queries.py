@@ -16,6 +16,8 @@ BOUNDED = {
     "a63_balanced_subset": "one row of totals",
     "a65_leave_one_domain_out": "one row inside the model's fit",
     "g02_redundancy": "one row of totals",
+    "g07_solved_residuals": "one row of totals",
+    "g09_growth_preflight": "one row of totals",
     "j08_box_distance": "hulls, two for each volume",
     "j26_review_apply": "one row of violations",
     "p23_box_fits_volume": "the catalogue of volumes",
