@@ -205,6 +205,14 @@ def t05_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.pareto(table(spark, sf_dir, "supplier").join(n, "s_suppkey"), "s_suppkey", ["s_acctbal"], ["n"])
 
 
+@query("WITH n AS (SELECT l_suppkey, avg(l_quantity) AS q, round(sum(l_discount) * 100) AS d, count(*) AS c FROM lineitem GROUP BY ALL), p AS (SELECT a.l_suppkey, b.l_suppkey AS other FROM n a JOIN n b ON b.q >= a.q AND b.c >= a.c AND b.d <= a.d AND (b.q > a.q OR b.c > a.c OR b.d < a.d)), k AS (SELECT l_suppkey, count(*) AS dominators, min(other) AS first, max(other) AS last FROM p GROUP BY l_suppkey) SELECT l_suppkey, coalesce(dominators, 0) AS dominators, first, last FROM n LEFT JOIN k USING (l_suppkey)")
+def t05_dominated_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who dominates each supplier in mean quantity and number of items (more is better) and total discount (less is): how many, the first and the last."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.round(F.sum("l_discount") * 100).alias("d"), F.count("*").alias("c"))
+    k = op.dominators(n, "l_suppkey", ["q", "c"], ["d"]).groupBy("l_suppkey").agg(F.count("*").alias("dominators"), F.min("by").alias("first"), F.max("by").alias("last"))
+    return n.select("l_suppkey").join(k, "l_suppkey", "left").select("l_suppkey", F.coalesce("dominators", F.lit(0)).alias("dominators"), "first", "last")
+
+
 @query("SELECT event_type, event_id, value FROM events ORDER BY value DESC, event_type, event_id LIMIT 500")
 def t01_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review queue: a full order, cut as a top-k report."""

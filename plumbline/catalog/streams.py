@@ -42,6 +42,31 @@ def k02_capped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trackers.drained(s, _scratch(spark), "append", "k02")
 
 
+@query()
+def k02_ordered_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events land in several files, latest first, and are taken into their ledgers in the order of their times; tested against a loop."""
+    path = _scratch(spark)
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    e.repartitionByRange(4, F.desc("ts")).write.parquet(path)
+    # the last file closes the books
+    e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast(dict(e.dtypes)["user_id"]).alias("user_id"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value")).write.mode("append").parquet(path)
+    s = trackers.ordered_ledger(trackers.stream(trackers.with_state_store(spark), path, e), "user_id", "ts", "event_id", "value", 1500.0, "365 days")
+    return trackers.drained(s, _scratch(spark), "append", "k02o")
+
+
+@query("""WITH x(level, expected) AS (VALUES (0::BIGINT, 2::BIGINT), (1, 4), (2, NULL)) SELECT page_id % 4 AS level, CASE WHEN x.level IS NULL THEN 'unverified' WHEN expected IS NULL THEN 'not_applicable' WHEN length(html) // 500 = expected THEN 'ok' ELSE 'mismatch' END AS status, count(*) AS n, count(DISTINCT page_id % 3) AS files
+FROM pages LEFT JOIN x ON x.level = page_id % 4 GROUP BY ALL""")
+def k03_landed_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page objects that land in files, one file a batch, audited into a ledger that a restart neither shortens nor doubles."""
+    path = _scratch(spark)
+    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("level"), F.col("url").alias("key"), F.expr("length(html) div 500").alias("size"), F.concat(F.lit("f"), (F.col("page_id") % 3).cast("string")).alias("file"))
+    p.repartition(3, "file").write.parquet(path)
+    declared = spark.createDataFrame([(0, 2), (1, 4), (2, None)], "level long, expected long")
+    ledger = _scratch(spark)
+    trackers.land_census(spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(path), declared, "level", "size", ledger)
+    return trackers.census_counts(spark, ledger, "level")
+
+
 @query("""WITH x(level, expected) AS (VALUES (0::BIGINT, 2::BIGINT), (1, 4), (2, NULL)) SELECT page_id % 4 AS level, CASE WHEN x.level IS NULL THEN 'unverified' WHEN expected IS NULL THEN 'not_applicable' WHEN length(html) // 500 = expected THEN 'ok' ELSE 'mismatch' END AS status, count(*) AS n
 FROM pages LEFT JOIN x ON x.level = page_id % 4 GROUP BY ALL""")
 def k03_progressive_census(spark: SparkSession, sf_dir: str) -> DataFrame:

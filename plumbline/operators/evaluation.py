@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import entropy_bits, hash_draw, ratio
+from plumbline.functions.numeric import entropy_bits, hash_draw, log_gamma, ratio
 
 
 def confusion(df: DataFrame, keys: list[str], score: str, label: str, threshold: float) -> DataFrame:
@@ -137,11 +138,26 @@ def permutation_test(df: DataFrame, group: str, key: str, value: str, flag: str,
 
 
 def sign_test(df: DataFrame, keys: list[str], delta: str) -> DataFrame:
-    """One-sided exact P(X >= positives) of a fair coin, ties dropped; 1 with nothing left."""
+    """One-sided exact P(X >= positives) of a fair coin, ties dropped; 1 with nothing left.
+
+    The smaller tail is summed, from its largest term outwards, each term from the one before: terms
+    beyond 20 root n are below double precision, so the work grows with the root of the pairs.
+    """
     g = df.groupBy(*keys).agg(F.count_if(F.col(delta) > 0).alias("pos"), F.count_if(F.col(delta) != 0).alias("n"))
-    logs = lambda m: F.aggregate(F.when(m >= 1, F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int"))).otherwise(F.array(F.lit(1))), F.lit(0.0), lambda a, k: a + F.ln(k))
-    tail = F.aggregate(F.sequence(F.col("pos").cast("int"), F.col("n").cast("int")), F.lit(0.0), lambda a, k: a + F.exp(logs(F.col("n")) - logs(k) - logs(F.col("n") - k) - F.col("n") * F.ln(F.lit(2.0))))
-    return g.withColumn("p", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), tail)))
+    n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
+    upper = 2 * pos > n
+    q = F.when(upper, pos).otherwise(n - pos + 1)
+    first = log_gamma(n + 1) - log_gamma(q + 1) - log_gamma(F.greatest(n - q, F.lit(0.0)) + 1) - n * math.log(2)
+    terms = F.least(n - q, F.ceil(20 * F.sqrt(n)) + 50).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(at: Column, k: Column) -> Column:
+        term = at["term"] * (n - q - k) / (q + k + 1)
+        return F.struct(term.alias("term"), (at["sum"] + term).alias("sum"))
+
+    total = F.when(terms > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(terms, F.lit(1)) - 1), start, step)["sum"]).otherwise(1.0)
+    tail = F.when(q > n, 0.0).otherwise(F.exp(first) * total)
+    return g.withColumn("p", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.when(upper, tail).otherwise(1.0 - tail))))
 
 
 def wilson(df: DataFrame, keys: list[str], label: str, unclear: str, z: float = 1.959963984540054) -> DataFrame:

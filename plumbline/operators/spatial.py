@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import angle_degrees, angle_distance, dot, norm, ratio, wrapped
+from plumbline.operators.graphs import settled, united
 
 
 def _renamed(df: DataFrame, suffix: str) -> DataFrame:
@@ -76,16 +77,53 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: list[str], point:
     return got.select(point, box)
 
 
-def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], axes: list[str], query: str, target: str, cell: float, reach: float) -> DataFrame:
-    """The nearest target of the same keys within ``reach``, ties to the smaller id; NULL if none. Cells of size ``cell``, the rings up to ``reach`` around."""
-    ring = int(-(-reach // cell))
-    q = queries.select(*keys, query, *[F.col(a).alias(f"q{a}") for a in axes])
-    t = targets.select(*keys, target, *axes)
-    for a in axes:
-        q = q.withColumn(f"__{a}", F.explode(F.sequence(F.floor(F.col(f"q{a}") / cell) - ring, F.floor(F.col(f"q{a}") / cell) + ring)))
-        t = t.withColumn(f"__{a}", F.floor(F.col(a) / cell))
-    d = norm([F.col(f"q{a}") - F.col(a) for a in axes])
-    best = q.join(t, [*keys, *[f"__{a}" for a in axes]]).withColumn("d", d).where(F.col("d") <= reach).groupBy(*keys, query).agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col(target).alias("t"))).alias("b"))
+def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], axes: list[str], query: str, target: str, cell: float, reach: float, most: int = 64) -> DataFrame:
+    """(keys, query, target, d): the nearest target of the same keys within ``reach``, ties (to nine decimals) to the smaller id; NULL if none. Rows with a NULL place find nothing and are not found.
+
+    Cells start at ``cell`` and shrink until none has over ``most`` different places. In each round
+    the queries meet the cells (not the targets) of the ring around them; only cells that may hold
+    something as near as the best of them surely does give their targets. Who has found a target within
+    the ring's safe distance is settled; the others go on with a ring four times as wide, up to ``reach``.
+    """
+    flat = [f"__q{k}" for k in range(len(axes))]
+    places = targets.dropna(subset=axes).groupBy(*keys, *axes).agg(F.min(target).alias("__t"))
+    places = settled(places)
+    size, at = float(min(cell, reach)), lambda c, s: F.floor(F.col(c) / s).cast("long")
+    for _ in range(20):
+        fullest = places.groupBy(*keys, *[at(a, size) for a in axes]).count().agg(F.max("count")).first()[0]
+        if not fullest or fullest <= most:
+            break
+        size /= 4
+    fine = [f"__f{k}" for k in range(len(axes))]
+    places = settled(places.withColumns({f: at(a, size) for f, a in zip(fine, axes, strict=True)}))
+    cells = settled(places.groupBy(*keys, *fine).agg(*[f(a).alias(f"__{n}{k}") for k, a in enumerate(axes) for f, n in ((F.min, "lo"), (F.max, "hi"))]))
+    todo = settled(queries.dropna(subset=axes).select(*keys, query, *[F.col(a).alias(q) for q, a in zip(flat, axes, strict=True)]).distinct())
+    found, wide, step = [], size, 1
+    while True:
+        safe = min(wide, reach)
+        asked, ring = todo, cells
+        for k, q in enumerate(flat):
+            own = F.floor(F.floor(F.col(q) / size) / step).cast("long")
+            asked = asked.withColumn(f"__c{k}", F.explode(F.array(own - 1, own, own + 1)))
+            ring = ring.withColumn(f"__c{k}", F.floor(F.col(fine[k]) / step).cast("long"))
+        met = asked.join(ring, [*keys, *[f"__c{k}" for k in range(len(axes))]])
+        near = norm([F.greatest(F.col(f"__lo{k}") - F.col(q), F.lit(0.0), F.col(q) - F.col(f"__hi{k}")) for k, q in enumerate(flat)])
+        far = norm([F.greatest(F.abs(F.col(q) - F.col(f"__lo{k}")), F.abs(F.col(q) - F.col(f"__hi{k}"))) for k, q in enumerate(flat)])
+        met = met.select(*keys, query, *flat, *fine, near.alias("__near"), far.alias("__far"))
+        met = met.withColumn("__best", F.min("__far").over(Window.partitionBy(*keys, query, *flat))).where((F.col("__near") <= F.col("__best") + 1e-8) & (F.col("__near") <= reach))
+        d = norm([F.col(q) - F.col(a) for q, a in zip(flat, axes, strict=True)])
+        got = met.join(places, [*keys, *fine]).withColumn("d", d).where(F.col("d") <= reach)
+        got = got.groupBy(*keys, query, *flat).agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col("__t").alias("t"))).alias("b"))
+        if wide >= reach:
+            found.append(got)
+            break
+        got = settled(got.where(F.col("b.d") <= safe - 1e-8))
+        found.append(got)
+        todo = settled(todo.join(got.select(*keys, query, *flat), [*keys, query, *flat], "left_anti"))
+        if todo.isEmpty():
+            break
+        wide, step = wide * 4, step * 4
+    best = united(found).groupBy(*keys, query).agg(F.min("b").alias("b"))
     return queries.select(*keys, query).join(best, [*keys, query], "left").select(*keys, query, F.col("b.t").alias(target), F.col("b.d").alias("d"))
 
 
@@ -185,7 +223,6 @@ def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str], ba
         if kept is not None:
             yield kept
 
-    from plumbline.operators.graphs import settled
     from plumbline.operators.sampling import global_rank
 
     # survivors meet in pairs of bands of their rank, so that a task holds two bands at most
@@ -210,6 +247,36 @@ def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str], ba
     return local.join(lost, "__r", "left_anti").select(key, *axes)
 
 
+def dominators(df: DataFrame, key: str, maximise: list[str], minimise: list[str], cells: int = 1024) -> DataFrame:
+    """(key, by): every pair where ``by`` equals or beats the row on all axes and beats it on one; rows with a NULL axis take no part. There are as many pairs as there are.
+
+    Rows lie in a grid of quantiles of the axes, ``cells`` of them at most: of two cells the corners say
+    that no row of one can beat one of the other, that all do, or that the rows have to be compared. The
+    table of cell pairs is bounded by ``cells`` squared whatever the table's size.
+    """
+    axes = [*maximise, *minimise]
+    u = [f"__u{k}" for k in range(len(axes))]
+    parts = max(2, int(cells ** (1 / len(axes))))
+    rows = df.dropna(subset=axes).select(key, *[F.col(a).cast("double").alias(n) for a, n in zip(maximise, u, strict=False)], *[(-F.col(a).cast("double")).alias(n) for a, n in zip(minimise, u[len(maximise) :], strict=True)])
+    cuts = rows.agg(*[F.percentile_approx(n, [k / parts for k in range(1, parts)], 10_000).alias(n) for n in u]).first()
+    bounds = {n: F.array(*[F.lit(float(x)) for x in sorted(set(cuts[n] or []))]).cast("array<double>") for n in u}
+    place = lambda n: F.size(F.filter(bounds[n], lambda x: x <= F.col(n)))
+    at = [f"__at{k}" for k in range(len(axes))]
+    rows = settled(rows.withColumns({a: place(n) for a, n in zip(at, u, strict=True)}).withColumn("__cell", F.xxhash64(*at)))
+    low, high = [f"__lo{k}" for k in range(len(axes))], [f"__hi{k}" for k in range(len(axes))]
+    corner = settled(rows.groupBy("__cell").agg(*[f(n).alias(x) for n, l, h in zip(u, low, high, strict=True) for f, x in ((F.min, l), (F.max, h))]))
+    a, b = (_renamed(corner, x) for x in ("a", "b"))
+    every = lambda test: F.array(*[test(k) for k in range(len(axes))])
+    may = F.forall(every(lambda k: F.col(f"__hi{k}b") >= F.col(f"__lo{k}a")), lambda x: x)
+    sure = F.forall(every(lambda k: F.col(f"__lo{k}b") > F.col(f"__hi{k}a")), lambda x: x)
+    pairs = a.join(F.broadcast(b), may).select(F.col("__cella").alias("__cell"), F.col("__cellb").alias("__other"), sure.alias("__sure"))
+    mine = rows.select(key, "__cell", *u).join(pairs, "__cell")
+    other = rows.select(F.col(key).alias("by"), F.col("__cell").alias("__other"), *[F.col(n).alias(f"{n}o") for n in u])
+    met = mine.join(other, "__other")
+    better = F.forall(every(lambda k: F.col(f"__u{k}o") >= F.col(f"__u{k}")), lambda x: x) & F.exists(every(lambda k: F.col(f"__u{k}o") > F.col(f"__u{k}")), lambda x: x)
+    return met.where(F.col("__sure") | better).select(key, "by")
+
+
 def band_holdout(df: DataFrame, value: str, key: str, bands: int) -> DataFrame:
     """Equal-count bands; in each, the row nearest to the band's mean is held out (ties: smaller value, then key)."""
     from plumbline.operators.sampling import global_rank

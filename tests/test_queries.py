@@ -21,6 +21,7 @@ BOUNDED = {
     "j08_box_distance": "hulls, two for each volume",
     "j26_review_apply": "one row of violations",
     "p23_box_fits_volume": "the catalogue of volumes",
+    "t05_dominated_by": "pairs of at most 1,024 cells",
     "u03_robust_members": "one row of totals",
     "w09_band_holdout": "one row of totals",
 }
