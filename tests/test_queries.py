@@ -12,6 +12,7 @@ from plumbline.plans import inspect
 BOUNDED = {
     "a30_permutation_test": "replicate numbers",
     "a36_stability_arm": "one row of totals",
+    "a39_producer_gauges": "one row of totals",
     "a55_leave_one_group_out": "folds",
     "a63_balanced_subset": "one row of totals",
     "a65_leave_one_domain_out": "one row inside the model's fit",
