@@ -1,4 +1,4 @@
-"""Graphs as edge tables: components, spanning trees, bridges, potentials, refinement, walks, closures.
+"""Graphs as edge tables: components, spanning trees, potentials, refinement, walks, closures.
 
 Every round is checkpointed in the shared folder, so lineage does not grow and a lost executor costs a
 reread. The driver sees counts only.

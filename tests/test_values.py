@@ -11,6 +11,7 @@ from plumbline import catalog
 from plumbline.catalog import graphs
 from plumbline.catalog.fixtures import grid, table
 from plumbline.operators import graphs as graph_op
+from plumbline.operators import trees
 from plumbline.operators import spatial, surfaces, voxels
 from plumbline.sources import files
 from xxhash import xxh64_intdigest
@@ -356,14 +357,14 @@ def test_halo_of_26_neighbours(spark):
 
 
 def test_a_long_chain(spark):
-    """Depth is no trouble: levels are written once each."""
+    """Depth is no trouble: levels are written once each, and bridges need none."""
     n = 40
     rows = [(k, k, k + 1, 1, 1.0) for k in range(n)]
     e = spark.createDataFrame(rows, "eid long, i long, j long, d long, w double").coalesce(1)
     tree = {r.node: (r.level, r.pot) for r in graph_op.bfs_forest(e).collect()}
     assert tree == {k: (k, k) for k in range(n + 1)}
-    assert graph_op.bridges(e).count() == n
-    assert graph_op.bridges(e.unionByName(spark.createDataFrame([(n, n, 0, 0, 1.0)], e.schema))).count() == 0
+    assert trees.bridges(e).count() == n
+    assert trees.bridges(e.unionByName(spark.createDataFrame([(n, n, 0, 0, 1.0)], e.schema))).count() == 0
 
 
 @pytest.mark.parametrize("bright", [True, False])
