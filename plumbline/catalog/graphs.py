@@ -148,7 +148,7 @@ def g07_solved_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.residual_summary(trees.constraint_residuals(r, "i", "j", "d", values), values, tie="p1", prefix="s")
 
 
-@query(f"{_REACH}, t AS (SELECT 's' || s_suppkey AS node, s_suppkey % 12 AS true FROM supplier UNION ALL SELECT 'p' || p_partkey, p_partkey % 12 FROM part), k AS (SELECT comp.node, component AS root, true, true + length(component) + (substr(comp.node, 2)::BIGINT % 17 = 0)::INTEGER - true AS shift FROM comp JOIN t USING (node)), c AS (SELECT root, shift, count(*) AS n FROM k GROUP BY ALL), b AS (SELECT root, sum(n)::BIGINT AS nodes, max(n) AS agreeing FROM c GROUP BY root), s AS (SELECT root, min(shift) AS shift FROM c JOIN b USING (root) WHERE n = agreeing GROUP BY root), r AS (SELECT a.root, count(*) AS edges, count(*) FILTER (a.shift = z.shift) AS edges_right FROM edges JOIN k a ON a.node = i JOIN k z ON z.node = j GROUP BY a.root) SELECT root, nodes, shift, agreeing, edges, edges_right, round(agreeing / nodes, 6) AS accuracy, round(edges_right / edges, 6) AS edge_accuracy FROM b JOIN s USING (root) JOIN r USING (root)")
+@query(f"{_REACH}, t AS (SELECT 's' || s_suppkey AS node, s_suppkey % 12 AS real_value FROM supplier UNION ALL SELECT 'p' || p_partkey, p_partkey % 12 FROM part), k AS (SELECT comp.node, component AS root, length(component) + (substr(comp.node, 2)::BIGINT % 17 = 0)::INTEGER AS shift FROM comp JOIN t USING (node)), c AS (SELECT root, shift, count(*) AS n FROM k GROUP BY ALL), most AS (SELECT root, sum(n)::BIGINT AS nodes, max(n) AS agreeing FROM c GROUP BY root), s AS (SELECT root, min(shift) AS shift FROM c JOIN most USING (root) WHERE n = agreeing GROUP BY root), right_ones AS (SELECT a.root, count(*) AS edges, count(*) FILTER (a.shift = z.shift) AS edges_right FROM edges JOIN k a ON a.node = i JOIN k z ON z.node = j GROUP BY a.root) SELECT root, nodes, shift, agreeing, edges, edges_right, round(agreeing / nodes, 6) AS accuracy, round(edges_right / edges, 6) AS edge_accuracy FROM most JOIN s USING (root) JOIN right_ones USING (root)")
 def g08_component_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a graph's nodes against a table of truths, each component up to its own shift: nodes and edges that are right."""
     e = edges(spark, sf_dir)
