@@ -24,7 +24,7 @@ from plumbline.llm.common import written
 from plumbline.llm.sieve import passes, sieve
 
 #: Scores are whole numbers of 1/UNIT; bytes of text whose words a task counts at once; the first batch has so many times the phrases asked for; parts in which a language is ranked first.
-UNIT, CHUNK, WIDE, PARTS = 1_000_000, 8 << 20, 2, 16
+UNIT, CHUNK, WIDE, PARTS = 1_000_000, 4 << 20, 2, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA5A3564E27F8862D], np.uint64)
 #: A separator of pieces stands for itself as a word ".", which no word can hold.
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
