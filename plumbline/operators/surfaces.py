@@ -212,3 +212,17 @@ def frame_turns(axes: DataFrame, limit: float) -> DataFrame:
         axes = axes.withColumn(f"turn_{name}", F.when(na.isNotNull() & F.col("a").isNotNull() & (F.lead(moving).over(w) == F.col(moving) + 1), turn))
     worst = F.greatest("turn_right", "turn_down")
     return axes.withColumn("discontinuity", worst > limit)
+
+
+def centred_normals(cells: DataFrame, key: str) -> DataFrame:
+    """(key, row, col, x, y, z, nx, ny, nz): valid vertices whose four neighbours are there and valid, with the unit normal of the centred differences; degenerate ones are left out."""
+    ok, along = F.col("valid"), []
+    for line, place in (("row", "col"), ("col", "row")):
+        w = Window.partitionBy(key, line).orderBy(place)
+        ok = ok & F.lag("valid").over(w) & F.lead("valid").over(w) & (F.lead(place).over(w) - F.lag(place).over(w) == 2)
+        along.append([F.lead(a).over(w) - F.lag(a).over(w) for a in AXES])
+    g = cells.select(key, "row", "col", *AXES, ok.alias("ok"), *[v.alias(f"__{n}{a}") for n, d in enumerate(along) for a, v in zip(AXES, d, strict=True)]).where("ok")
+    n = cross(*[[F.col(f"__{k}{a}") for a in AXES] for k in (0, 1)])
+    g = g.select(key, "row", "col", *AXES, *[v.alias(f"n{a}") for a, v in zip(AXES, n, strict=True)])
+    g = g.withColumn("__l", norm([F.col(f"n{a}") for a in AXES])).where("__l > 1e-8 AND NOT isnan(__l) AND __l < double('Infinity')")
+    return g.select(key, "row", "col", *AXES, *[(F.col(f"n{a}") / F.col("__l")).alias(f"n{a}") for a in AXES])
