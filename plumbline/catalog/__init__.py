@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.catalog.registry import ENTRIES
 
 FLAGSHIP = "a02_leaderboard"
-for _name in ("voxels", "samples", "spatial", "surfaces", "evaluation", "graphs", "evidence", "streams", "records", "arrays", "reviews", "rays", "vectors", "ensembles"):
+for _name in ("voxels", "samples", "spatial", "surfaces", "evaluation", "graphs", "evidence", "streams", "records", "arrays", "reviews", "rays", "vectors", "ensembles", "releases"):
     import_module(f"plumbline.catalog.{_name}")
 
 
