@@ -33,16 +33,13 @@ def ray_order(points: DataFrame, tolerance: float, gap: int, sector: float, marg
 
 
 def within_radius(points: DataFrame, frame: str, key: str, axes: list[str], radius: float) -> DataFrame:
-    """Pairs key1 < key2 of different frames within ``radius``, with their distance: cells of that size, one side shown to the cells around."""
-    cell = lambda a: F.floor(F.col(a) / radius).cast("long")
-    base = points.select(frame, key, *axes)
-    left = _renamed(base, "1")
+    """Pairs key1 < key2 of different frames within ``radius``, with their distance: cells of twice that size, one side shown to the cells that its reach touches, eight at most for three axes. Neither side is small, so they are merged and never broadcast."""
+    base, size, reach = points.select(frame, key, *axes), 2 * radius, radius * (1 + 1e-9)
+    left, right = _renamed(base, "1"), _renamed(base, "2")
     for a in axes:
-        left = left.withColumn(f"__{a}", F.explode(F.array(*[F.floor(F.col(a + "1") / radius).cast("long") + F.lit(k) for k in (-1, 0, 1)])))
-    right = _renamed(base, "2")
-    for a in axes:
-        right = right.withColumn(f"__{a}", F.floor(F.col(a + "2") / radius).cast("long"))
-    got = left.join(right, [f"__{a}" for a in axes]).where((F.col(key + "1") < F.col(key + "2")) & (F.col(frame + "1") != F.col(frame + "2")))
+        left = left.withColumn(f"__{a}", F.explode(F.sequence(F.floor((F.col(a + "1") - reach) / size).cast("long"), F.floor((F.col(a + "1") + reach) / size).cast("long"))))
+        right = right.withColumn(f"__{a}", F.floor(F.col(a + "2") / size).cast("long"))
+    got = left.hint("merge").join(right, [f"__{a}" for a in axes]).where((F.col(key + "1") < F.col(key + "2")) & (F.col(frame + "1") != F.col(frame + "2")))
     d = norm([F.col(a + "1") - F.col(a + "2") for a in axes])
     return got.withColumn("d", d).where(F.col("d") <= radius).select(frame + "1", key + "1", frame + "2", key + "2", "d")
 
