@@ -19,3 +19,23 @@ def test_radius_join_is_never_broadcast(spark):
     want = {(p[1], q[1]) for p in good for q in good if p[1] < q[1] and p[0] != q[0] and sum((a - b) ** 2 for a, b in zip(p[2:], q[2:], strict=True)) <= 16}
     pairs = [(r.id1, r.id2) for r in got.collect()]
     assert len(pairs) == len(want) and set(pairs) == want and (900, 901) in want
+
+
+def boxed(rng, n):
+    """Few different boxes, many of each."""
+    return [(k, "uv"[k % 2], x, x + 3, y, y + rng.choice([2, 4])) for k in range(n) for x, y in ((rng.randint(0, 4), rng.randint(0, 9)),)]
+
+
+BOX = "id long, volume string, x0 int, x1 int, y0 int, y1 int"
+
+
+def test_points_meet_equal_boxes_once(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LIST", 4)
+    monkeypatch.setattr(spatial, "TASK_ROWS", 50)
+    rng = random.Random(5)
+    boxes = [*boxed(rng, 200), (900, None, None, 3, 1, 2), (None, "u", 0, 3, 0, 4)]
+    points = [(k, rng.uniform(-1, 9), rng.uniform(-1, 15)) for k in range(150)] + [(800, -0.5, 0.0), (801, None, 0.0)]
+    got = spatial.points_in_boxes(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame(boxes, BOX).withColumnRenamed("id", "box"), ["x", "y"], "point", "box", 0.5, 5.0)
+    want = sorted((str(p), str(b)) for p, x, y in points for b, _, x0, x1, y0, y1 in boxes if None not in (x, x0) and x0 - 0.5 <= x <= x1 + 0.5 and y0 - 0.5 <= y <= y1 + 0.5)
+    assert sorted((str(r.point), str(r.box)) for r in got.collect()) == want
+    assert "__ids" in plan(got)  # the last join is of lists, not of boxes
