@@ -39,3 +39,14 @@ def test_points_meet_equal_boxes_once(spark, monkeypatch):
     want = sorted((str(p), str(b)) for p, x, y in points for b, _, x0, x1, y0, y1 in boxes if None not in (x, x0) and x0 - 0.5 <= x <= x1 + 0.5 and y0 - 0.5 <= y <= y1 + 0.5)
     assert sorted((str(r.point), str(r.box)) for r in got.collect()) == want
     assert "__ids" in plan(got)  # the last join is of lists, not of boxes
+
+
+def test_box_overlaps_measure_equal_boxes_once(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LIST", 4)
+    monkeypatch.setattr(spatial, "TASK_ROWS", 50)
+    rng = random.Random(6)
+    a, b = boxed(rng, 150), [*boxed(rng, 150), (900, None, 0, 3, 0, 3), (None, "u", 0, 3, 0, 4)]
+    got = spatial.box_overlaps(spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX), "volume", ["y", "x"], "id", 3)
+    want = sorted((v, str(p), str(q), w * h) for p, v, x0, x1, y0, y1 in a for q, u, s0, s1, t0, t1 in b if u == v for w, h in ((min(x1, s1) - max(x0, s0), min(y1, t1) - max(y0, t0)),) if w > 0 and h > 0)
+    assert sorted((r.volume, str(r.id_a), str(r.id_b), r.overlap) for r in got.collect()) == want
+    assert "__ids_a" in plan(got)
