@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+from plumbline import catalog
 from plumbline.operators import spatial
 
 
@@ -50,3 +52,20 @@ def test_box_overlaps_measure_equal_boxes_once(spark, monkeypatch):
     want = sorted((v, str(p), str(q), w * h) for p, v, x0, x1, y0, y1 in a for q, u, s0, s1, t0, t1 in b if u == v for w, h in ((min(x1, s1) - max(x0, s0), min(y1, t1) - max(y0, t0)),) if w > 0 and h > 0)
     assert sorted((r.volume, str(r.id_a), str(r.id_b), r.overlap) for r in got.collect()) == want
     assert "__ids_a" in plan(got)
+
+
+def sides(spark, folder, name, table, rows, schema):
+    """A query's rows and its SQL's, over one table."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(folder))
+    got = con.execute(catalog.oracle_sql()[name])
+    at = [c[0] for c in got.description]
+    return sorted((tuple(r[c] for c in at) for r in df.collect()), key=repr), sorted(got.fetchall(), key=repr)
+
+
+def test_logarithm_of_zero_is_null_in_both(spark, tmp_path):
+    rows = [(1, 0.0), (2, 10.0), (3, None), (4, 0.25)]
+    have, want = sides(spark, tmp_path, "f08_numeric", "events", rows, "event_id long, value double")
+    assert have == want and next(r[-1] for r in have if r[0] == 1) is None
