@@ -69,3 +69,14 @@ def test_logarithm_of_zero_is_null_in_both(spark, tmp_path):
     rows = [(1, 0.0), (2, 10.0), (3, None), (4, 0.25)]
     have, want = sides(spark, tmp_path, "f08_numeric", "events", rows, "event_id long, value double")
     assert have == want and next(r[-1] for r in have if r[0] == 1) is None
+
+
+def test_mean_at_its_limit_is_not_over_it(spark, tmp_path):
+    rng, rows = random.Random(9), []
+    for k in range(30):  # 600 discounts whose mean is 0.0505, in any order
+        d = [0.05] * 200 + [0.06] * 130 + [0.04] * 130 + [0.1] * 6 + [0.05] * 134
+        assert len(d) == 600 and sum(round(100 * x) for x in d) == 3030
+        rng.shuffle(d)
+        rows += [(k, 30.0, x, 0.0) for x in d]
+    have, want = sides(spark, tmp_path, "r05_health_verdict", "lineitem", rows, "l_suppkey long, l_quantity double, l_discount double, l_tax double")
+    assert have == want and {v for _, v in have} == {"TRAIN"}
