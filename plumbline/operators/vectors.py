@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import ratio
 from plumbline.operators.graphs import settled
 
 PIVOTS, RINGS, BLOCK = 64, 8, 2048
+#: Bytes of vectors that one side of a product across cells holds at most; a vector is sent once for each such lot.
+LOT = 2**24
 #: Cosines are compared at so many decimals, so that equal vectors tie in every block and in every engine.
 DECIMALS = 12
 #: What rounding may add to a distance between unit vectors whose cosines are equal at DECIMALS.
@@ -30,17 +32,24 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _nearest(queries: pd.DataFrame, members: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the best cosine (rounded) among members of another id, and the smallest id that has it; NaN without one. Members are held a block at a time, queries in slices of it."""
+def _nearest(queries: pd.DataFrame, members: pd.DataFrame, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the best cosine (rounded) among members of another id, and the smallest id that has it; NaN without one. Members are held a block at a time, queries in slices of it. ``apart``: no query is among the members."""
     m = members.sort_values("id", kind="stable")
     have, theirs = np.stack(m["u"].to_numpy()), m["id"].to_numpy()
     score, near = np.full(len(queries), np.nan), np.empty(len(queries), object)
     for at in range(0, len(queries), BLOCK):
         part = queries.iloc[at : at + BLOCK]
-        cos = np.round(np.stack(part["u"].to_numpy()) @ have.T, DECIMALS)
-        cos[part["id"].to_numpy()[:, None] == theirs[None, :]] = -np.inf
-        best = cos.argmax(axis=1)  # the first of equals, so the smallest id
-        top = cos[np.arange(len(part)), best]
+        cos = np.stack(part["u"].to_numpy()) @ have.T
+        if not apart:
+            cos[part["id"].to_numpy()[:, None] == theirs[None, :]] = -np.inf
+        top = cos.max(axis=1)
+        # what may be equal to the best once it is rounded; then the first of equals, so the smallest id
+        row, col = np.nonzero(cos >= top[:, None] - 2 * 10.0**-DECIMALS)
+        top = np.round(top, DECIMALS)
+        same = np.round(cos[row, col], DECIMALS) == top[row]
+        row, first = np.unique(row[same], return_index=True)
+        best = np.zeros(len(part), int)
+        best[row] = col[same][first]
         ok = np.isfinite(top)
         score[at : at + len(part)][ok] = top[ok]
         near[at : at + len(part)][ok] = theirs[best[ok]]
@@ -59,7 +68,7 @@ def nearest_vectors(rows: DataFrame, keys: list[str], item: str, vector: str, pi
     larger than a few blocks, however many vectors a cell or its visitors have. On vectors without structure few
     cells can be left out, and the work is that of all pairs.
     """
-    if not keys or set(keys) & {"id", "u", "pivot", "ring", "part", "r", "far", "salt", "cuts", "rows", "parts", "cells", "blocks", "score", "near"}:
+    if not keys or set(keys) & {"id", "u", "pivot", "ring", "part", "r", "far", "salt", "cuts", "rows", "parts", "cells", "blocks", "score", "near", "n", "lot", "slot", "slots", "opened", "lo", "hi", "c", "salts", "reach"}:
         raise ValueError("keys are needed, and not by names that the blocks use")
     kind = _type(rows, item)
     placed = rows.select(*keys, F.col(item).alias("id"), unit(vector).alias("u")).where("u IS NOT NULL AND id IS NOT NULL")
@@ -83,6 +92,8 @@ def nearest_vectors(rows: DataFrame, keys: list[str], item: str, vector: str, pi
     ringed = placed.join(cuts, [*keys, "pivot"]).withColumn("ring", ring).drop("cuts", "rows")
     cells = settled(ringed.groupBy(*keys, "pivot", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.min("r").alias("lo"), F.max("r").alias("hi")))
     cell = [*keys, "pivot", "ring"]
+    # parts of cells that lie beside each other make a lot, which a query is sent to once with the parts that it asks for
+    most = max(BLOCK, min(LOT // (8 * corners.shape[1]), placed.count() // 8))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
     members = settled(ringed.join(cells.select(*cell, "parts"), cell).select(*keys, "id", "u", "far", "pivot", "ring", part))
 
@@ -92,24 +103,37 @@ def nearest_vectors(rows: DataFrame, keys: list[str], item: str, vector: str, pi
 
     shape = f"{base}, far array<double>, pivot int, ring int, part long, score double, near {kind}"
     first = settled(members.select(*keys, "id", "u", "far", "pivot", "ring", "part").groupBy(*cell, "part").applyInPandas(inside, shape).withColumn("score", F.nanvl("score", F.lit(None))))
-    about = cells.groupBy(*keys).agg(F.collect_list(F.struct("pivot", "ring", "parts", "lo", "hi")).alias("cells"), F.sum("parts").alias("blocks"))
+    sized = members.groupBy(*cell, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("pivot", "ring", "part")) - F.col("n")
+    lots = settled(sized.select(*cell, "part", F.floor(before / most).alias("lot"), F.row_number().over(Window.partitionBy(*keys).orderBy("pivot", "ring", "part")).alias("slot")))
+    edge = lots.join(cells, cell)
+    about = edge.groupBy(*keys).agg(F.collect_list(F.struct("pivot", "ring", "part", "lo", "hi", "lot", "slot")).alias("cells"), F.count("*").alias("blocks"))
     reach = F.when(F.col("score").isNull(), 2.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score")))) + SLACK
     away = lambda c: F.greatest(F.get("far", c["pivot"]) - c["hi"], c["lo"] - F.get("far", c["pivot"]))
-    asked = first.withColumn("reach", reach).join(about, keys).select(*keys, "id", "u", F.struct("pivot", "ring", "part").alias("home"), F.explode(F.filter("cells", lambda c: away(c) <= F.col("reach"))).alias("c"))
-    asked = asked.select(*keys, "id", "u", "home", "c.pivot", "c.ring", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.parts") - 1)).alias("part")).where("home <> struct(pivot, ring, part)").drop("home")
-    salts = asked.groupBy(*cell, "part").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("salts"))
-    ask = asked.join(salts, [*cell, "part"]).select(*cell, "part", "id", "u", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
-    give = members.join(salts, [*cell, "part"]).select(*cell, "part", "id", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    home = lambda c: (c["pivot"] == F.col("pivot")) & (c["ring"] == F.col("ring")) & (c["part"] == F.col("part"))
+    asked = first.withColumn("reach", reach).join(about, keys).select(*keys, "id", "u", F.filter("cells", lambda c: (away(c) <= F.col("reach")) & ~home(c)).alias("c"))
+    asked = settled(asked.select(*keys, "id", "u", "c", F.explode(F.array_distinct("c.lot")).alias("lot")).select(*keys, "id", "u", "lot", F.transform(F.filter("c", lambda c: c["lot"] == F.col("lot")), lambda c: c["slot"]).alias("slots")))
+    salts = asked.groupBy(*keys, "lot").agg(F.ceil(F.count("*") / most).alias("salts"))
+    ask = asked.join(salts, [*keys, "lot"]).select(*keys, "lot", "id", "u", "slots", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+    give = members.join(lots, [*cell, "part"]).join(salts, [*keys, "lot"]).select(*keys, "lot", "slot", "id", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
 
     def across(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        score, near = _nearest(q, m) if len(q) and len(m) else (np.full(len(q), np.nan), None)
-        return q[[*keys, "id"]].assign(score=score, near=near)
-
-    group = [*cell, "part", "salt"]
-    second = ask.groupBy(*group).cogroup(give.groupBy(*group)).applyInPandas(across, f"{names}, id {kind}, score double, near {kind}")
-    both = first.select(*keys, "id", "score", "near").unionByName(second.select(*keys, "id", F.nanvl("score", F.lit(None)).alias("score"), "near"))
+        score, near = np.full(len(q), np.nan), np.empty(len(q), object)
+        wants = [np.asarray(x) for x in q["slots"]]
+        row, slot = np.repeat(np.arange(len(q)), [len(x) for x in wants]), np.concatenate(wants) if wants else np.zeros(0, int)
+        for k, block in m.groupby("slot"):
+            at = row[slot == k]
+            if len(at):
+                s, n = _nearest(q.iloc[at], block, apart=True)
+                better = np.isnan(score[at]) | (s > score[at]) | ((s == score[at]) & np.array([a is not None and b is not None and a < b for a, b in zip(n, near[at], strict=True)], bool))
+                score[at[better]], near[at[better]] = s[better], n[better]
+        return q[[*keys, "id"]].assign(score=score, near=near, opened=[len(x) for x in wants])
+
+    group = [*keys, "lot", "salt"]
+    second = ask.groupBy(*group).cogroup(give.groupBy(*group)).applyInPandas(across, f"{names}, id {kind}, score double, near {kind}, opened long")
+    both = first.select(*keys, "id", "score", "near", F.lit(1).cast("long").alias("opened")).unionByName(second.select(*keys, "id", F.nanvl("score", F.lit(None)).alias("score"), "near", "opened"))
     best = F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "near"))).alias("best")
-    found = both.groupBy(*keys, "id").agg(best, F.count("*").alias("opened")).join(about.drop("cells"), keys)
+    found = both.groupBy(*keys, "id").agg(best, F.sum("opened").alias("opened")).join(about.drop("cells"), keys)
     return found.select(*keys, F.col("id").alias(item), F.col("best.near").alias("nearest"), (-F.col("best.s")).alias("cosine"), "blocks", "opened")
 
 

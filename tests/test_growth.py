@@ -4,7 +4,7 @@ import random
 
 import duckdb
 from plumbline import catalog
-from plumbline.operators import spatial
+from plumbline.operators import spatial, vectors
 
 
 def plan(df) -> str:
@@ -80,3 +80,15 @@ def test_mean_at_its_limit_is_not_over_it(spark, tmp_path):
         rows += [(k, 30.0, x, 0.0) for x in d]
     have, want = sides(spark, tmp_path, "r05_health_verdict", "lineitem", rows, "l_suppkey long, l_quantity double, l_discount double, l_tax double")
     assert have == want and {v for _, v in have} == {"TRAIN"}
+
+
+def test_vectors_are_sent_once_for_each_lot(spark, monkeypatch):
+    """Without structure every cell is asked for; rows that are sent do not grow with the cells."""
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rng, sent = random.Random(2), []
+    rows = [(0, k, [rng.gauss(0, 1) for _ in range(16)]) for k in range(400)]
+    kept = vectors.settled
+    monkeypatch.setattr(vectors, "settled", lambda df: sent.append(df) or kept(df))
+    got = vectors.nearest_vectors(spark.createDataFrame(rows, "view int, item long, x array<double>"), ["view"], "item", "x").collect()
+    asked = [df for df in sent if "slots" in df.columns]
+    assert asked and asked[0].count() <= 8 * 400 < sum(r.opened for r in got) / 2
