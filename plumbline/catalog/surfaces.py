@@ -149,12 +149,13 @@ def a79_hidden_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRID}, n AS (SELECT surface, row, col, abs(lead(z) OVER r - lag(z) OVER r) / 2 AS gx, abs(lag(z) OVER r + lead(z) OVER r + lag(z) OVER c + lead(z) OVER c - 4 * z) AS lap FROM grid WINDOW r AS (PARTITION BY surface, row ORDER BY col), c AS (PARTITION BY surface, col ORDER BY row)), k AS (SELECT * FROM n WHERE gx IS NOT NULL AND lap IS NOT NULL)
 SELECT surface, row, col, round((rank() OVER (PARTITION BY surface ORDER BY round(gx, 9)) - 1 + (count(*) OVER (PARTITION BY surface, round(gx, 9)) - 1) / 2.0) / (count(*) OVER (PARTITION BY surface) - 1), 6)::DOUBLE AS gradient, round((rank() OVER (PARTITION BY surface ORDER BY round(lap, 9)) - 1 + (count(*) OVER (PARTITION BY surface, round(lap, 9)) - 1) / 2.0) / (count(*) OVER (PARTITION BY surface) - 1), 6)::DOUBLE AS laplacian FROM k""")
 def a56_grid_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.operators.graphs import settled
     from plumbline.operators.sampling import average_rank
 
     r, c = Window.partitionBy("surface", "row").orderBy("col"), Window.partitionBy("surface", "col").orderBy("row")
     z = F.col("z")
     k = grid(spark, sf_dir).select("surface", "row", "col", F.round(F.abs(F.lead(z).over(r) - F.lag(z).over(r)) / 2, 9).alias("gx"), F.round(F.abs(F.lag(z).over(r) + F.lead(z).over(r) + F.lag(z).over(c) + F.lead(z).over(c) - 4 * z), 9).alias("lap")).dropna()
-    k = average_rank(average_rank(k, ["surface"], "gx", "a"), ["surface"], "lap", "b")
+    k = average_rank(average_rank(settled(k), ["surface"], "gx", "a"), ["surface"], "lap", "b")
     n = F.count("*").over(Window.partitionBy("surface")) - 1
     return k.select("surface", "row", "col", F.round((F.col("a") - 1) / n, 6).alias("gradient"), F.round((F.col("b") - 1) / n, 6).alias("laplacian"))
 

@@ -113,15 +113,36 @@ def set_checks(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
     return both.select("*", ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("equal"), (F.col("common") == 0).alias("disjoint"), (F.col("only_a") == 0).alias("contained"))
 
 
+def _value_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(__k0, ..., __v, name): the mean rank of each different value of the keys, NULL before others. Values are counted, and the counts summed up by ranges, so that no task holds a group; the sums ahead have a row for each range and keys."""
+    ks = [f"__k{i}" for i in range(len(keys))]
+    each = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)], F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ranged = settled(each.repartitionByRange(*ks, "__v").withColumn("__p", F.spark_partition_id()))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy(*ks, "__p").agg(F.sum("__n").alias("__s"))
+    ahead = ahead.select(*[F.col(k).alias(f"{k}a") for k in ks], F.col("__p").alias("__pa"), F.coalesce(F.sum("__s").over(upto(Window.partitionBy(*ks).orderBy("__p"))), F.lit(0)).alias("__ahead"))
+    inside = ranged.withColumn("__in", F.coalesce(F.sum("__n").over(upto(Window.partitionBy(*ks, "__p").orderBy("__v"))), F.lit(0)))
+    on = F.col("__p") == F.col("__pa")
+    for k in ks:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}a"))
+    return inside.join(ahead, on).select(*ks, "__v", (F.col("__ahead") + F.col("__in") + (F.col("__n") + 1) / 2.0).alias(name))
+
+
+def _with_rank(df: DataFrame, ranks: DataFrame, keys: list[str], value: str) -> DataFrame:
+    on = F.col(value).eqNullSafe(F.col("__v"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranks, on).drop("__v", *[f"__k{i}" for i in range(len(keys))])
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
     """1-based ranks, ties sharing their mean."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0)
+    return _with_rank(df, _value_ranks(df, keys, value, name), keys, value)
 
 
 def correlations(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Spearman (average ranks) and Pearson by group; NULL for fewer than three rows or no variance."""
-    r = average_rank(average_rank(df, keys, a, "__ra"), keys, b, "__rb")
+    r = _with_rank(_with_rank(df, _value_ranks(df, keys, a, "__ra"), keys, a), _value_ranks(df, keys, b, "__rb"), keys, b)
     fine = lambda x, y, c: F.when((F.count("*") >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), c)
     return r.groupBy(*keys).agg(F.count("*").alias("n"), fine(a, b, correlation("__ra", "__rb")).alias("spearman"), fine(a, b, correlation(a, b)).alias("pearson"))
 

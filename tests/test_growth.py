@@ -1,10 +1,12 @@
 """Steps that grew faster than their input: the same rows as loops, and the plan or the work that keeps them bounded."""
 
+import math
 import random
+import re
 
 import duckdb
 from plumbline import catalog
-from plumbline.operators import spatial, vectors
+from plumbline.operators import sampling, spatial, vectors
 
 
 def plan(df) -> str:
@@ -92,3 +94,17 @@ def test_vectors_are_sent_once_for_each_lot(spark, monkeypatch):
     got = vectors.nearest_vectors(spark.createDataFrame(rows, "view int, item long, x array<double>"), ["view"], "item", "x").collect()
     asked = [df for df in sent if "slots" in df.columns]
     assert asked and asked[0].count() <= 8 * 400 < sum(r.opened for r in got) / 2
+
+
+def test_average_ranks_sort_no_group_in_one_task(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, -0.0, float("nan"), *range(9)]), k) for k in range(300)]
+    rows = [(g, None if v is None else float(v), k) for g, v, k in rows]
+    got = {r.k: r.rank for r in sampling.average_rank(spark.createDataFrame(rows, "g string, v double, k int"), ["g"], "v").collect()}
+    order = lambda v: (v is not None, v is not None and math.isnan(v), 0.0 if v is None or math.isnan(v) else v + 0.0)
+    for g, v, k in rows:
+        mine = [order(w) for h, w, _ in rows if h == g]
+        assert got[k] == sum(w < order(v) for w in mine) + (sum(w == order(v) for w in mine) + 1) / 2
+    df = sampling.average_rank(spark.createDataFrame(rows, "g string, v double, k int"), ["g"], "v")
+    assert not [w for w in re.findall(r"windowspecdefinition\((.*?)\)", plan(df)) if "__v" in w and "__p" not in w]
+    assert len(got) == 300 and "rank(v" not in plan(df)
