@@ -114,9 +114,9 @@ def p16_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a, b, round(r, 6) AS ratio, coalesce(r >= 0.5, false) AS included, CASE WHEN r IS NULL THEN 'unknown' WHEN r < 0.5 THEN 'ratio' ELSE 'ok' END AS code FROM p""")
 def p17_pair_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.abs("s_acctbal").alias("v"))
-    p = s.alias("a").join(s.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    r = fn.ratio(F.least("a.v", "b.v"), F.greatest("a.v", "b.v"))
-    return p.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round(r, 6).alias("ratio"), F.coalesce(r >= 0.5, F.lit(False)).alias("included"), F.when(r.isNull(), "unknown").when(r < 0.5, "ratio").otherwise("ok").alias("code"))
+    p = op.pairs_within(s, "s_nationkey", "s_suppkey")
+    r = fn.ratio(F.least("v1", "v2"), F.greatest("v1", "v2"))
+    return p.select(F.col("s_suppkey1").alias("a"), F.col("s_suppkey2").alias("b"), F.round(r, 6).alias("ratio"), F.coalesce(r >= 0.5, F.lit(False)).alias("included"), F.when(r.isNull(), "unknown").when(r < 0.5, "ratio").otherwise("ok").alias("code"))
 
 
 @query("SELECT p_type, arg_min(p_size, round(abs(ln(p_size / 12.0::DOUBLE)), 9) * 1000 + p_size / 1000.0) AS level FROM part GROUP BY p_type")

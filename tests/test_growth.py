@@ -108,3 +108,13 @@ def test_average_ranks_sort_no_group_in_one_task(spark):
     df = sampling.average_rank(spark.createDataFrame(rows, "g string, v double, k int"), ["g"], "v")
     assert not [w for w in re.findall(r"windowspecdefinition\((.*?)\)", plan(df)) if "__v" in w and "__p" not in w]
     assert len(got) == 300 and "rank(v" not in plan(df)
+
+
+def test_pairs_of_a_large_group_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "TASK_PAIRS", 100)
+    rows = [("a", k, k * 0.5) for k in range(60)] + [("b", k, 1.0) for k in range(5)] + [(None, 99, 1.0), ("a", 7, 9.0)]
+    got = sampling.pairs_within(spark.createDataFrame(rows, "g string, k long, v double"), "g", "k")
+    want = sorted((g, x, y, v, w) for g, x, v in rows for h, y, w in rows if g is not None and g == h and x < y)
+    assert sorted((r.g1, r.k1, r.k2, r.v1, r.v2) for r in got.collect()) == want
+    most = got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert max(most) < len(want) / 4
