@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import wrapped
-from plumbline.operators.graphs import _stars, components, maximum_forest, settled
+from plumbline.operators.graphs import _stars, components, maximum_forest, settled, stored
 from plumbline.operators.sampling import global_rank
 
 
@@ -25,7 +25,7 @@ def rooted(forest: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     ranks around all nodes together give it, and sums to the end of the tour come by pointer jumping.
     """
     arcs = forest.select("eid", F.col("i").alias("s"), F.col("j").alias("t"), "d").unionByName(forest.select("eid", F.col("j").alias("s"), F.col("i").alias("t"), (-F.col("d")).alias("d")))
-    arcs = settled(global_rank(arcs, ["s", "eid"], "at"))
+    arcs = stored(global_rank(arcs, ["s", "eid"], "at"))
     around = arcs.groupBy("s").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     tops = components(forest, "i", "j")
     twin = arcs.groupBy("eid").agg((F.min("at") + F.max("at")).alias("both"))
@@ -40,14 +40,14 @@ def rooted(forest: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     else:
         own = marks.join(around, marks["node"] == around["s"]).select(F.col("first").alias("at"), "a", "b")
         walk = walk.join(own, "at", "left").fillna(0, ["a", "b"])
-    walk = settled(walk)
+    walk = stored(walk)
     sums = walk.select("at", "next", F.lit(1).cast("long").alias("n"), F.col("d").cast("long").alias("d"), "a", "b")
     while not sums.where("next IS NOT NULL").isEmpty():
         ahead = sums.select(F.col("at").alias("next"), F.col("next").alias("then"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
         met = sums.join(ahead, "next", "left")
         plus = lambda c: (F.col(c) + F.coalesce(c + "2", F.lit(0))).alias(c)
         xor = lambda c: F.col(c).bitwiseXOR(F.coalesce(c + "2", F.lit(0))).alias(c)
-        sums = settled(met.select("at", F.col("then").alias("next"), plus("n"), plus("d"), xor("a"), xor("b")))
+        sums = stored(met.select("at", F.col("then").alias("next"), plus("n"), plus("d"), xor("a"), xor("b")))
     there = walk.select("at", "twin", "s", "t", "eid", "root", F.col("d").alias("step"), F.col("a").alias("ma"), F.col("b").alias("mb")).join(sums.drop("next"), "at")
     back = there.select(F.col("at").alias("twin"), F.col("n").alias("bn"), F.col("a").alias("ba"), F.col("b").alias("bb"), F.col("ma").alias("bma"), F.col("mb").alias("bmb"))
     down = there.join(back, "twin").where("n > bn")
@@ -69,12 +69,12 @@ def with_shares(tree: DataFrame, sized: DataFrame) -> DataFrame:
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Some spanning forest (ties: the smaller eid); loops and parallel edges stay out."""
-    return maximum_forest(edges.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return maximum_forest(edges, None)
 
 
 def bridges(edges: DataFrame) -> DataFrame:
     """Edges whose loss disconnects. Every edge outside a spanning forest gets two 64-bit digests at both ends; the XOR over the nodes below a forest edge is that of the edges which leave the subtree: zero twice means none does. edges: eid, i, j, d."""
-    forest = settled(spanning_forest(edges))
+    forest = stored(spanning_forest(edges))
     other = edges.join(forest.select("eid"), "eid", "left_anti")
     mark = other.select(F.explode(F.array("i", "j")).alias("node"), F.xxhash64("eid", F.lit(1)).alias("a"), F.xxhash64("eid", F.lit(2)).alias("b"))
     marks = mark.groupBy("node").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))

@@ -150,3 +150,9 @@ def test_dense_graph_is_contracted_before_it_is_starred(spark, monkeypatch):
     got = {r.node: r.component for r in graphs.components(spark.createDataFrame(rows, "i long, j long"), "i", "j").collect()}
     assert got == {n: min(m for r in rows for m in r if m // 100 == n // 100) for r in rows for n in r}
     assert max(starred) <= 90
+
+
+def test_sizes_do_not_multiply_over_rounds_of_a_forest(spark, path):
+    got = graphs.maximum_forest(path, "w")
+    assert sized(got) and {r.eid for r in got.collect()} == {*range(63), 103, 107} - {3, 7}
+    assert {r.eid for r in graphs.maximum_forest(path, None).collect()} == set(range(63))
