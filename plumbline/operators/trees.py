@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import wrapped
-from plumbline.operators.graphs import _stars, components, maximum_forest, settled, stored
+from plumbline.operators.graphs import _stars, components, maximum_forest, numbered, settled, stored
 from plumbline.operators.sampling import global_rank
 
 
@@ -101,16 +101,22 @@ def solved(constraints: DataFrame, i: str, j: str, d: str, anchor: str | None =
     and stays at 0: ``anchor`` where it is in it, else the smallest. No node may be on both sides: then
     every turn adds support, and the turns end.
     """
-    rows = settled(constraints.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(d).cast("long").alias("d")))
-    if not rows.select(F.col("i").alias("n")).join(rows.select(F.col("j").alias("n")), "n", "left_semi").isEmpty():
+    rows = stored(constraints.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(d).cast("long").alias("d")))
+    if not rows.select(F.col("i").alias("n")).distinct().join(rows.select(F.col("j").alias("n")).distinct(), "n", "left_semi").isEmpty():
         raise ValueError("a node is on both sides of the constraints")
-    forest = settled(maximum_forest(merged_constraints(rows, "i", "j", "d"), "w"))
-    tree = rooted(forest.select("eid", "i", "j", "d")).select("node", "root", F.col("pot").alias("val"))
-    top = tree.groupBy("root").agg(F.coalesce(F.max(F.when(F.col("node") == F.lit(anchor), F.col("node"))), F.col("root")).alias("anchor"))
+    rows, names = numbered(rows, ["i", "j"])
+    each = stored(rows.groupBy("i", "j", "d").agg(F.count("*").alias("w")))
+    # eid follows the weight, so the forest of the smallest eids is that of the greatest support
+    forest = stored(maximum_forest(stored(merged_constraints(each, "i", "j", "d", F.col("w"))), None))
+    tree = stored(potentials(forest, "i", "j", "d").select("node", F.col("component").alias("root"), F.col("pot").alias("val")))
+    chosen = F.col("node") == F.lit(anchor)
+    if names is not None:
+        held = names.where(chosen).first()
+        chosen = F.col("node") == F.lit(held and held.id)
+    top = tree.groupBy("root").agg(F.coalesce(F.max(F.when(chosen, F.col("node"))), F.col("root")).alias("anchor"))
     shift = tree.join(top, "root")
     base = shift.where(F.col("node") == F.col("anchor")).select("root", F.col("val").alias("base"))
-    now = settled(shift.join(base, "root").select("node", F.col("anchor").alias("root"), (F.col("val") - F.col("base")).alias("val"), (F.col("node") == F.col("anchor")).alias("anchored")))
-    each = settled(rows.groupBy("i", "j", "d").agg(F.count("*").alias("w")))
+    now = stored(shift.join(base, "root").select("node", F.col("anchor").alias("root"), (F.col("val") - F.col("base")).alias("val"), (F.col("node") == F.col("anchor")).alias("anchored")))
     for _ in range(rounds):
         moved = 0
         for own, other, sign in (("i", "j", -1), ("j", "i", 1)):
@@ -119,11 +125,14 @@ def solved(constraints: DataFrame, i: str, j: str, d: str, anchor: str | None =
             mine = votes.select("n", F.col("implied").alias("val"), "k")
             here = now.join(best, now["node"] == best["n"], "left").drop("n").join(mine.withColumnRenamed("n", "node"), ["node", "val"], "left")
             stays = F.col("anchored") | F.col("most").isNull() | (F.coalesce("k", F.lit(-1)) == F.col("most"))
-            new = settled(here.select("node", "root", F.when(stays, F.col("val")).otherwise(F.col("least")).alias("val"), "anchored", (~stays & (F.col("val") != F.col("least"))).alias("moved")))
+            new = stored(here.select("node", "root", F.when(stays, F.col("val")).otherwise(F.col("least")).alias("val"), "anchored", (~stays & (F.col("val") != F.col("least"))).alias("moved")))
             moved += new.where("moved").count()
             now = new.drop("moved")
         if not moved:
-            return now
+            if names is not None:
+                for c in ("node", "root"):
+                    now = now.withColumnRenamed(c, "id").join(names.withColumnRenamed("node", c), "id").drop("id")
+            return now.select("node", "root", "val", "anchored")
     raise RuntimeError(f"values still move after {rounds} rounds")
 
 
@@ -182,7 +191,7 @@ def potentials(edges: DataFrame, i: str, j: str, d: str) -> DataFrame:
     """(node, component, pot): each node's component by its smallest node, and val[node] - val[component], where walking i to j adds d. Where edges of a component contradict each other, some of them hold (see ``contradicted``). Star contraction: rounds grow with the logarithm of the component."""
     flip = F.col(i) < F.col(j)
     now = edges.where(F.col(i) != F.col(j)).select(F.greatest(i, j).alias("u"), F.least(i, j).alias("v"), F.when(flip, F.col(d)).otherwise(-F.col(d)).cast("long").alias("d"))
-    one = lambda df: settled(df.groupBy("u", "v").agg(F.min("d").alias("d")))
+    one = lambda df: stored(df.groupBy("u", "v").agg(F.min("d").alias("d")))
     now = one(now)
     while True:
         n, stars = _stars(now)
@@ -191,7 +200,7 @@ def potentials(edges: DataFrame, i: str, j: str, d: str) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"), F.col("d").alias("pot")).unionByName(roots)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("d")).alias("d")))
         large = one(_with_root(both, True, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("dm") - F.col("d")).alias("d")))
-        met = settled(_with_root(large, False, 2 * n))
+        met = stored(_with_root(large, False, 2 * n))
         now = one(met.select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("dm") - F.col("d")).alias("d")).unionByName(met.select("u", F.col("m").alias("v"), F.col("dm").alias("d"))).where("u > v"))
 
 

@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 from plumbline import catalog
-from plumbline.operators import graphs, sampling, spatial, vectors
+from plumbline.operators import graphs, sampling, spatial, trees, vectors
 
 
 def plan(df) -> str:
@@ -156,3 +156,10 @@ def test_sizes_do_not_multiply_over_rounds_of_a_forest(spark, path):
     got = graphs.maximum_forest(path, "w")
     assert sized(got) and {r.eid for r in got.collect()} == {*range(63), 103, 107} - {3, 7}
     assert {r.eid for r in graphs.maximum_forest(path, None).collect()} == set(range(63))
+
+
+def test_sizes_do_not_multiply_over_turns(spark):
+    rows = [(2 * k if k % 2 else 2 * k + 2, 2 * k + 2 if k % 2 else 2 * k, 1) for k in range(24)]
+    even = spark.createDataFrame([(f"s{i}", f"p{j}", d) for i, j, d in rows], "i string, j string, d long")
+    got = trees.solved(even, "i", "j", "d")
+    assert sized(got) and got.count() == 25
