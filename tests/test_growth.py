@@ -163,3 +163,7 @@ def test_sizes_do_not_multiply_over_turns(spark):
     even = spark.createDataFrame([(f"s{i}", f"p{j}", d) for i, j, d in rows], "i string, j string, d long")
     got = trees.solved(even, "i", "j", "d")
     assert sized(got) and got.count() == 25
+
+
+def test_sizes_do_not_multiply_over_levels(spark, path):
+    assert sized(graphs.bfs_forest(path.where("eid < 24")))
