@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import angle_degrees, angle_distance, dot, norm, ratio, wrapped
+from plumbline.functions.numeric import angle_degrees, angle_distance, dot, finite, norm, ratio, wrapped
 from plumbline.operators.graphs import settled, united
 
 
@@ -120,53 +123,69 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: list[str], point:
 
 
 def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], axes: list[str], query: str, target: str, cell: float, reach: float, most: int = 64) -> DataFrame:
-    """(keys, query, target, d): the nearest target of the same keys within ``reach``, ties (to nine decimals) to the smaller id; NULL if none. Rows with a NULL place find nothing and are not found.
+    """(keys, query, target, d): the nearest target of the same keys within ``reach``, ties (to nine decimals) to the smaller id; NULL if none. Rows with a place that is NULL or not finite find nothing and are not found.
 
-    Cells start at ``cell`` and shrink until none has over ``most`` different places. In each round
-    the queries meet the cells (not the targets) of the ring around them; only cells that may hold
-    something as near as the best of them surely does give their targets. Who has found a target within
-    the ring's safe distance is settled; the others go on with a ring four times as wide, up to ``reach``.
+    Cells start at ``cell``, twice the reach at least, and are cut to a quarter of their size where they
+    hold over ``most`` different places, so that a cell is as small as its own places ask. The cells that
+    a query lies in say how far its nearest target is at most; it then meets the cells within that
+    distance, from the level of its ball down to those that are not cut, and the places of these alone.
+    Equal places are asked for once and found once.
     """
-    flat = [f"__q{k}" for k in range(len(axes))]
-    places = targets.dropna(subset=axes).groupBy(*keys, *axes).agg(F.min(target).alias("__t"))
-    places = settled(places)
-    size, at = float(min(cell, reach)), lambda c, s: F.floor(F.col(c) / s).cast("long")
-    for _ in range(20):
-        fullest = places.groupBy(*keys, *[at(a, size) for a in axes]).count().agg(F.max("count")).first()[0]
+    n = range(len(axes))
+    flat, c, up, lo, hi = ([f"__{x}{k}" for k in n] for x in ("q", "c", "up", "lo", "hi"))
+    sound = lambda df: df.where(reduce(and_, [F.coalesce(finite(F.col(a)), F.lit(False)) for a in axes]))
+    places = settled(sound(targets).groupBy(*keys, *axes).agg(F.min(target).alias("__t")))
+    ends = places.agg(*[f(a) for a in axes for f in (F.min, F.max)]).first()
+    widest = max(((ends[2 * k + 1] or 0) - (ends[2 * k] or 0) for k in n), default=0)
+    size, depth = float(min(max(cell, 2 * reach), 2 * widest) if widest else max(cell, 2 * reach)), 0
+    at = lambda x, level: F.floor(x / (F.lit(size) / F.pow(F.lit(4.0), level))).cast("long")
+    while depth < 20:
+        fullest = places.groupBy(*keys, *[at(F.col(a), F.lit(depth)) for a in axes]).count().agg(F.max("count")).first()[0]
         if not fullest or fullest <= most:
             break
-        size /= 4
-    fine = [f"__f{k}" for k in range(len(axes))]
-    places = settled(places.withColumns({f: at(a, size) for f, a in zip(fine, axes, strict=True)}))
-    cells = settled(places.groupBy(*keys, *fine).agg(*[f(a).alias(f"__{n}{k}") for k, a in enumerate(axes) for f, n in ((F.min, "lo"), (F.max, "hi"))]))
-    todo = settled(queries.dropna(subset=axes).select(*keys, query, *[F.col(a).alias(q) for q, a in zip(flat, axes, strict=True)]).distinct())
-    found, wide, step = [], size, 1
-    while True:
-        safe = min(wide, reach)
-        asked, ring = todo, cells
-        for k, q in enumerate(flat):
-            own = F.floor(F.floor(F.col(q) / size) / step).cast("long")
-            asked = asked.withColumn(f"__c{k}", F.explode(F.array(own - 1, own, own + 1)))
-            ring = ring.withColumn(f"__c{k}", F.floor(F.col(fine[k]) / step).cast("long"))
-        met = asked.join(ring, [*keys, *[f"__c{k}" for k in range(len(axes))]])
-        near = norm([F.greatest(F.col(f"__lo{k}") - F.col(q), F.lit(0.0), F.col(q) - F.col(f"__hi{k}")) for k, q in enumerate(flat)])
-        far = norm([F.greatest(F.abs(F.col(q) - F.col(f"__lo{k}")), F.abs(F.col(q) - F.col(f"__hi{k}"))) for k, q in enumerate(flat)])
-        met = met.select(*keys, query, *flat, *fine, near.alias("__near"), far.alias("__far"))
-        met = met.withColumn("__best", F.min("__far").over(Window.partitionBy(*keys, query, *flat))).where((F.col("__near") <= F.col("__best") + 1e-8) & (F.col("__near") <= reach))
-        d = norm([F.col(q) - F.col(a) for q, a in zip(flat, axes, strict=True)])
-        got = met.join(places, [*keys, *fine]).withColumn("d", d).where(F.col("d") <= reach)
-        got = got.groupBy(*keys, query, *flat).agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col("__t").alias("t"))).alias("b"))
-        if wide >= reach:
-            found.append(got)
-            break
-        got = settled(got.where(F.col("b.d") <= safe - 1e-8))
-        found.append(got)
-        todo = settled(todo.join(got.select(*keys, query, *flat), [*keys, query, *flat], "left_anti"))
-        if todo.isEmpty():
-            break
-        wide, step = wide * 4, step * 4
-    best = united(found).groupBy(*keys, query).agg(F.min("b").alias("b"))
-    return queries.select(*keys, query).join(best, [*keys, query], "left").select(*keys, query, F.col("b.t").alias(target), F.col("b.d").alias("d"))
+        depth += 1
+
+    # every level's cells with their counts and the hulls of their places, from the finest up; those below a cell that is not cut do not count
+    levels = [settled(places.groupBy(*keys, *[at(F.col(a), F.lit(depth)).alias(x) for x, a in zip(c, axes, strict=True)]).agg(F.count("*").alias("__n"), *[F.min(a).alias(x) for x, a in zip(lo, axes, strict=True)], *[F.max(a).alias(x) for x, a in zip(hi, axes, strict=True)]))]
+    above = [F.shiftright(x, 2) for x in c]
+    for _ in range(depth):
+        levels.insert(0, settled(levels[0].groupBy(*keys, *[x.alias(y) for x, y in zip(above, c, strict=True)]).agg(F.sum("__n").alias("__n"), *[F.min(x).alias(x) for x in lo], *[F.max(x).alias(x) for x in hi])))
+    kept = []
+    for k, level in enumerate(levels):
+        level = level.withColumns(dict(zip(up, above, strict=True)))
+        if k:
+            level = level.join(levels[k - 1].where(F.col("__n") > most).select(*keys, *[F.col(x).alias(y) for x, y in zip(c, up, strict=True)]), [*keys, *up], "left_semi")
+        kept.append(level.select(*keys, F.lit(k).alias("__level"), *c, *up, *lo, *hi, ((F.col("__n") <= most) | F.lit(k == depth)).alias("__last")))
+    cells, cut = settled(united(kept)), [*keys, "__level", *c]
+
+    def rungs(df: DataFrame, cols: list[str]) -> DataFrame:
+        """Each row with the cell of every level that it lies in."""
+        return df.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumns({x: at(F.col(a), F.col("__level")) for x, a in zip(c, cols, strict=True)})
+
+    near = norm([F.greatest(F.col(x) - F.col(q), F.lit(0.0), F.col(q) - F.col(y)) for q, x, y in zip(flat, lo, hi, strict=True)])
+    far = norm([F.greatest(F.abs(F.col(q) - F.col(x)), F.abs(F.col(q) - F.col(y))) for q, x, y in zip(flat, lo, hi, strict=True)])
+    todo = settled(sound(queries).select(*keys, *[F.col(a).alias(q) for q, a in zip(flat, axes, strict=True)]).distinct())
+    own = rungs(todo, flat).join(cells, cut).groupBy(*keys, *flat).agg(F.min(far).alias("__far"), F.max("__level").alias("__deep"))
+    ball = F.least(F.lit(float(reach)), F.coalesce("__far", F.lit(float(reach)))) * (1 + 1e-12) + 1e-8
+    own = todo.join(own, [*keys, *flat], "left").withColumn("__ball", ball)
+    top = F.least(F.coalesce("__deep", F.lit(0)), F.coalesce(F.floor(F.log(4.0, F.lit(size) / (2 * F.col("__ball")))), F.lit(0)))
+    asked = own.withColumn("__top", F.greatest(F.lit(0), top).cast("int")).withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__top"))))
+    for k, (q, x) in enumerate(zip(flat, c, strict=True)):
+        low, high = F.greatest(F.col(q) - F.col("__ball"), F.lit(ends[2 * k])), F.least(F.col(q) + F.col("__ball"), F.lit(ends[2 * k + 1]))
+        asked = asked.where(low <= high).withColumn(x, F.explode(F.sequence(at(low, F.col("__level")), at(high, F.col("__level")))))
+    inside = near <= F.col("__ball")
+    met = settled(asked.join(cells, cut).where((F.col("__last") | (F.col("__level") == F.col("__top"))) & inside).select(*cut, *flat, "__ball", "__last"))
+    last = [met.where("__last")]
+    while not met.where("NOT __last").isEmpty():
+        met = met.where("NOT __last").select(*keys, (F.col("__level") + 1).alias("__level"), *[F.col(x).alias(y) for x, y in zip(c, up, strict=True)], *flat, "__ball")
+        met = settled(met.join(cells, [*keys, "__level", *up]).where(inside).select(*cut, *flat, "__ball", "__last"))
+        last.append(met.where("__last"))
+    homes = rungs(places, axes).join(cells.where("__last").select(*cut), cut)
+    d = norm([F.col(q) - F.col(a) for q, a in zip(flat, axes, strict=True)])
+    got = united(last).join(homes, cut).withColumn("d", d).where((F.col("d") <= reach) & (F.col("d") <= F.col("__ball")))
+    best = got.groupBy(*keys, *flat).agg(F.min(F.struct(F.round("d", 9).alias("d"), F.col("__t").alias("t"))).alias("b"))
+    best = best.select(*keys, *[F.col(q).alias(a) for q, a in zip(flat, axes, strict=True)], "b")
+    return queries.select(*keys, query, *axes).join(best, [*keys, *axes], "left").select(*keys, query, F.col("b.t").alias(target), F.col("b.d").alias("d"))
 
 
 def interpolated(points: DataFrame, controls: DataFrame, at: str, values: list[str]) -> DataFrame:

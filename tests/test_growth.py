@@ -167,3 +167,20 @@ def test_sizes_do_not_multiply_over_turns(spark):
 
 def test_sizes_do_not_multiply_over_levels(spark, path):
     assert sized(graphs.bfs_forest(path.where("eid < 24")))
+
+
+def test_equal_places_are_asked_for_once(spark, monkeypatch):
+    """Copies of the points with other ids add rows to the last join alone; what is not finite is not found and hides nothing."""
+    rng, sent = random.Random(11), []
+    kept = spatial.settled
+    monkeypatch.setattr(spatial, "settled", lambda df: sent.append(kept(df)) or sent[-1])
+    at = [("ab"[k % 2], round(rng.gauss(0, 3), 2), round(rng.gauss(0, 3), 2)) for k in range(300)]
+    odd = [("a", float("nan"), 0.0), ("a", float("inf"), 0.0), ("a", -0.0, 0.0)]
+    q = [(f, k + 1000 * c, x, y) for c in range(8) for k, (f, x, y) in enumerate(at + odd)]
+    t = [(f, k + 1000 * c, x + 0.3, y) for c in range(8) for k, (f, x, y) in enumerate(at + odd)]
+    got = spatial.nearest(spark.createDataFrame(q, "f string, q long, x double, y double"), spark.createDataFrame(t, "f string, t long, x double, y double"), ["f"], ["x", "y"], "q", "t", 2.0, 2.0, 8)
+    have = {r.q: (r.d, r.t) for r in got.collect()}
+    for f, k, *p in q[:303] + q[-3:]:
+        near = [(round(math.dist(p, to), 9), i) for g, i, *to in t[:303] if g == f and all(map(math.isfinite, (*p, *to))) and math.dist(p, to) <= 2]
+        assert have[k] == min(near, default=(None, None))
+    assert len(have) == len(q) and max(df.count() for df in sent) < len(q)
