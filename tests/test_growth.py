@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 from plumbline import catalog
-from plumbline.operators import graphs, sampling, spatial, trees, vectors
+from plumbline.operators import ensembles, graphs, sampling, spatial, trees, vectors
 
 
 def plan(df) -> str:
@@ -184,3 +184,16 @@ def test_equal_places_are_asked_for_once(spark, monkeypatch):
         near = [(round(math.dist(p, to), 9), i) for g, i, *to in t[:303] if g == f and all(map(math.isfinite, (*p, *to))) and math.dist(p, to) <= 2]
         assert have[k] == min(near, default=(None, None))
     assert len(have) == len(q) and max(df.count() for df in sent) < len(q)
+
+
+def test_no_pair_of_members_moves(spark, monkeypatch):
+    """Lists of partners are shuffled, and pairs are counted where they are spelt, in as many tasks as there are pairs for."""
+    monkeypatch.setattr(ensembles, "TASK_PAIRS", 200)
+    rng = random.Random(12)
+    held = {m: {0, *rng.sample(range(1, 30), 6)} for m in range(80)}
+    rows = spark.createDataFrame([(m, u) for m, us in held.items() for u in us], "m long, u long")
+    got = ensembles.shared_units(rows, [], "m", "u", block=8)
+    assert "Exchange" not in plan(got).split("explode(ys")[0]
+    assert {(r.a, r.b): r.shared for r in got.collect()} == {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b}
+    most = got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(most) > 10 and max(most) < 80 * 79 // 2 / 4
