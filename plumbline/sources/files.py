@@ -68,21 +68,28 @@ def trace_json(spark: SparkSession, path: str, lines: bool = False) -> dict[str,
     return {"points": xyz("line_points"), "controls": xyz("control_points"), "segments": doc.select("id", F.posexplode("segments").alias("ord", "s")).select("id", "ord", "s.mode")}
 
 
+#: A task numbers so many lines of a mesh at a time.
+LINES = 65_536
+
+
 def polygon_mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Text meshes, one a file: vertices (mesh, vid, x, y, z), uvs (mesh, tid, u, v), triangles (mesh, line, k, v0, v1, v2, t0, t1, t2) and bad lines (mesh, line, value, reason).
 
     Polygons of any number of corners are fanned, negative numbers count back from the line, corners
-    without a texture vertex have NULL. Lines are numbered within their file by its blocks: one pass
-    counts each block's lines, vertices and texture vertices, and nothing is sorted in one task.
+    without a texture vertex have NULL. Lines are numbered within their file by stretches of its blocks,
+    LINES of them at most: one pass counts each stretch's lines, vertices and texture vertices, and a
+    task sorts one stretch at a time, of lines alone.
     """
-    block = ["mesh", "block"]
+    block = ["mesh", "block", "stretch"]
     row = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("mesh"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("value"))
-    row = row.withColumn("f", F.split("value", r"\s+")).withColumn("tag", F.col("f")[0])
-    is_ = {"v": (F.col("tag") == "v").cast("long"), "t": (F.col("tag") == "vt").cast("long"), "l": F.lit(1).cast("long")}
-    before = Window.partitionBy("mesh").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    row = row.withColumn("stretch", F.floor(F.col("id") / LINES))
+    tag = F.split("value", r"\s+", 2)[0]
+    is_ = {"v": (tag == "v").cast("long"), "t": (tag == "vt").cast("long"), "l": F.lit(1).cast("long")}
+    before = Window.partitionBy("mesh").orderBy("block", "stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = row.groupBy(*block).agg(*[F.sum(c).alias(n) for n, c in is_.items()]).select(*block, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"base_{n}") for n in is_])
     upto = Window.partitionBy(*block).orderBy("id")
-    cut = row.join(base, block).select("mesh", "value", "f", "tag", *[(F.col(f"base_{n}") + F.sum(c).over(upto)).alias(f"seen_{n}") for n, c in is_.items()]).withColumnRenamed("seen_l", "line")
+    cut = row.join(base, block).select("mesh", "value", *[(F.col(f"base_{n}") + F.sum(c).over(upto)).alias(f"seen_{n}") for n, c in is_.items()]).withColumnRenamed("seen_l", "line")
+    cut = cut.withColumn("f", F.split("value", r"\s+")).withColumn("tag", F.col("f")[0])
     number = lambda k: F.get("f", F.lit(k)).try_cast("double")
     vertices = cut.where("tag = 'v'").select("mesh", "line", "value", F.col("seen_v").alias("vid"), *[number(k + 1).alias(a) for k, a in enumerate("xyz")])
     uvs = cut.where("tag = 'vt'").select("mesh", "line", "value", F.col("seen_t").alias("tid"), number(1).alias("u"), number(2).alias("v"))

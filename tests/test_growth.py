@@ -8,6 +8,8 @@ import duckdb
 import pytest
 from plumbline import catalog
 from plumbline.operators import ensembles, graphs, sampling, spatial, trees, vectors
+from plumbline.sources import files
+from pyspark.sql import functions as F
 
 
 def plan(df) -> str:
@@ -197,3 +199,16 @@ def test_no_pair_of_members_moves(spark, monkeypatch):
     assert {(r.a, r.b): r.shared for r in got.collect()} == {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b}
     most = got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert len(most) > 10 and max(most) < 80 * 79 // 2 / 4
+
+
+def test_lines_of_a_mesh_are_numbered_by_stretches(spark, tmp_path, monkeypatch):
+    """No task sorts a whole block of a file, and what it sorts has not been split into words yet."""
+    monkeypatch.setattr(files, "LINES", 7)
+    (tmp_path / "m.obj").write_text("".join(f"v {k} 0 0\n vt {k} 0\nv {k} 1 0\n\nv {k} 2 0\nf -3/-1 -2/{k + 1} -1\n" for k in range(40)))
+    m = files.polygon_mesh(spark, str(tmp_path))
+    sizes = [r["count"] for r in m["vertices"].groupBy(F.floor((F.col("vid") - 1) / 3)).count().collect()]
+    assert sizes == [3] * 40 and [(r.vid, r.x, r.y) for r in m["vertices"].orderBy("vid").collect()] == [(3 * k + j + 1, float(k), float(j)) for k in range(40) for j in range(3)]
+    want = [(6 * k + 6, 3 * k + 1, 3 * k + 2, 3 * k + 3, k + 1, k + 1, None) for k in range(40)]
+    assert [tuple(r) for r in m["triangles"].orderBy("line").select("line", "v0", "v1", "v2", "t0", "t1", "t2").collect()] == want
+    windows = re.findall(r"windowspecdefinition\((.*?)\)", plan(m["triangles"]))
+    assert windows and all("stretch" in w for w in windows)
