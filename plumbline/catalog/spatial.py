@@ -209,7 +209,7 @@ def t05_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t05_dominated_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who dominates each supplier in mean quantity and number of items (more is better) and total discount (less is): how many, the first and the last."""
     n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.round(F.sum("l_discount") * 100).alias("d"), F.count("*").alias("c"))
-    k = op.dominators(n, "l_suppkey", ["q", "c"], ["d"]).groupBy("l_suppkey").agg(F.count("*").alias("dominators"), F.min("by").alias("first"), F.max("by").alias("last"))
+    k = op.dominated(n, "l_suppkey", ["q", "c"], ["d"])
     return n.select("l_suppkey").join(k, "l_suppkey", "left").select("l_suppkey", F.coalesce("dominators", F.lit(0)).alias("dominators"), "first", "last")
 
 

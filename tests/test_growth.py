@@ -212,3 +212,18 @@ def test_lines_of_a_mesh_are_numbered_by_stretches(spark, tmp_path, monkeypatch)
     assert [tuple(r) for r in m["triangles"].orderBy("line").select("line", "v0", "v1", "v2", "t0", "t1", "t2").collect()] == want
     windows = re.findall(r"windowspecdefinition\((.*?)\)", plan(m["triangles"]))
     assert windows and all("stretch" in w for w in windows)
+
+
+def test_dominators_are_counted_without_pairs(spark, monkeypatch):
+    """Copies of rows are compared once, and two cells in parts."""
+    monkeypatch.setattr(spatial, "TASK_ROWS", 20)
+    rng, sent = random.Random(13), []
+    kept = spatial.settled
+    monkeypatch.setattr(spatial, "settled", lambda df: sent.append(kept(df)) or sent[-1])
+    at = [(float(rng.randint(0, 8)), float(rng.randint(0, 8)), float(rng.choice([0, 1, 2, -0.0]))) for _ in range(60)]
+    rows = [(100 * c + k, *p) for c in range(5) for k, p in enumerate(at)] + [(900, None, 1.0, 1.0)]
+    got = spatial.dominated(spark.createDataFrame(rows, "k long, a double, b double, c double"), "k", ["a", "b"], ["c"], 27)
+    beats = lambda p, q: p[0] >= q[0] and p[1] >= q[1] and p[2] <= q[2] and p != q
+    want = {k: [j for j, *q in rows[:-1] if beats(q, p)] for k, *p in rows[:-1]}
+    assert {r.k: (r.dominators, r.first, r.last) for r in got.collect()} == {k: (len(v), min(v, default=None), max(v, default=None)) for k, v in want.items()}
+    assert sent[1].count() <= 60
