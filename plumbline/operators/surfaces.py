@@ -154,13 +154,27 @@ def triangle_distance(p: list[Column], a: list[Column], b: list[Column], c: list
 
 
 def point_to_mesh(points: DataFrame, corners: DataFrame, key: str, cell: float) -> DataFrame:
-    """(key, fid, d): the nearest triangle (ties: the smaller fid) among those whose box in x and y meets the cells around the point; exact within ``cell``, NULL beyond. corners: fid, ax .. cz."""
-    box = lambda f, a: F.floor(f(*[F.col(k + a) for k in "abc"]) / cell)
-    t = corners.withColumn("__x", F.explode(F.sequence(box(F.least, "x"), box(F.greatest, "x")))).withColumn("__y", F.explode(F.sequence(box(F.least, "y"), box(F.greatest, "y"))))
-    around = lambda a: F.explode(F.sequence(F.floor(F.col(a) / cell) - 1, F.floor(F.col(a) / cell) + 1))
-    p = points.select(key, *AXES).withColumn("__x", around("x")).withColumn("__y", around("y"))
+    """(key, fid, d): the nearest triangle within ``cell`` (ties: the smaller fid), NULL beyond. corners: fid, ax .. cz.
+
+    A triangle is shown to the cells, of three times that size in x and y, that its box comes within
+    ``cell`` of, and a point to its own, so that the two meet once. A point's nearest corner says how far
+    its triangle is at most; only triangles whose box is as near as that are measured.
+    """
+    size, pad, names = 3 * cell, cell * (1 + 1e-9), [k + a for k in "abc" for a in AXES]
+    ends = lambda f, a: f(*[F.col(k + a) for k in "abc"])
+    t = corners.dropna(subset=names).select("fid", *names)
+    p = points.select(key, *AXES)
+    for a in "xy":
+        t = t.withColumn(f"__{a}", F.explode(F.sequence(F.floor((ends(F.least, a) - pad) / size), F.floor((ends(F.greatest, a) + pad) / size))))
+        p = p.withColumn(f"__{a}", F.floor(F.col(a) / size))
+    here = ["__x", "__y"]
+    near = norm([F.greatest(ends(F.least, a) - F.col(a), F.lit(0.0), F.col(a) - ends(F.greatest, a)) for a in AXES])
+    corner = F.least(*[norm([F.col(k + a) - F.col(a) for a in AXES]) for k in "abc"])
+    # the fid is asked for in both so that the cells are dealt once
+    most = p.join(t, here).where(near <= pad).groupBy(*here, key, *AXES).agg(F.min(F.struct(corner.alias("d"), "fid")).alias("__most"))
+    most = most.select(*here, key, *AXES, (F.least(F.lit(pad), F.col("__most.d")) * (1 + 1e-12) + 1e-8).alias("__most"))
     d = triangle_distance(_p(), *[[F.col(k + a) for a in AXES] for k in "abc"])
-    best = p.join(t, ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= cell).groupBy(key).agg(F.min(F.struct(F.round("d", 9).alias("d"), "fid")).alias("b"))
+    best = most.join(t, here).where(near <= F.col("__most")).groupBy(key).agg(F.min(F.when(d <= cell, F.struct(F.round(d, 9).alias("d"), "fid"))).alias("b"))
     return points.select(key).join(best, key, "left").select(key, F.col("b.fid").alias("fid"), F.col("b.d").alias("d"))
 
 

@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 from plumbline import catalog
-from plumbline.operators import ensembles, graphs, sampling, spatial, trees, vectors
+from plumbline.operators import ensembles, graphs, sampling, spatial, surfaces, trees, vectors
 from plumbline.sources import files
 from pyspark.sql import functions as F
 
@@ -227,3 +227,23 @@ def test_dominators_are_counted_without_pairs(spark, monkeypatch):
     want = {k: [j for j, *q in rows[:-1] if beats(q, p)] for k, *p in rows[:-1]}
     assert {r.k: (r.dominators, r.first, r.last) for r in got.collect()} == {k: (len(v), min(v, default=None), max(v, default=None)) for k, v in want.items()}
     assert sent[1].count() <= 60
+
+
+def test_few_triangles_are_measured(spark, monkeypatch):
+    """A point and a triangle meet once, and only triangles as near as the nearest corner are measured."""
+    rng, calls = random.Random(14), spark.sparkContext.accumulator(0)
+    kept = surfaces.triangle_distance
+    told = F.udf(lambda fid: calls.add(1) or fid, "long")
+    monkeypatch.setattr(surfaces, "triangle_distance", lambda *a: kept(*a) + 0.0 * told("fid"))
+    at = lambda: [(x := rng.uniform(0, 200)), (y := rng.uniform(0, 200)), rng.uniform(0, 20)]  # noqa: E731, F841
+    tri = [(k, *[v + rng.uniform(-5, 5) for _ in range(3) for v in p]) for k in range(800) for p in (at(),)] + [(9000, 100.0, 100.0, 5.0, *[None] * 6)]
+    pts = [(k, *at()) for k in range(100)] + [(500, 900.0, 900.0, 0.0), (501, None, 1.0, 1.0)]
+    names = ", ".join(f"{k}{a} double" for k in "abc" for a in "xyz")
+    got = surfaces.point_to_mesh(spark.createDataFrame(pts, "id long, x double, y double, z double"), spark.createDataFrame(tri, f"fid long, {names}"), "id", 20.0)
+    have = {r.id: (r.fid, r.d) for r in got.collect()}
+    assert calls.value < 100 * 800 * 0.04 and len(have) == 102 and have[500] == have[501] == (None, None)
+    monkeypatch.undo()
+    both = spark.createDataFrame(pts, "id long, x double, y double, z double").crossJoin(spark.createDataFrame(tri, f"fid long, {names}"))
+    d = surfaces.triangle_distance(surfaces._p(), *[[F.col(k + a) for a in "xyz"] for k in "abc"])
+    want = {r.id: r.b for r in both.withColumn("d", d).where("d <= 20").groupBy("id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "fid")).alias("b")).collect()}
+    assert {k: v for k, v in have.items() if v[0] is not None} == {k: (b.fid, b.d) for k, b in want.items()}
