@@ -247,3 +247,22 @@ def test_few_triangles_are_measured(spark, monkeypatch):
     d = surfaces.triangle_distance(surfaces._p(), *[[F.col(k + a) for a in "xyz"] for k in "abc"])
     want = {r.id: r.b for r in both.withColumn("d", d).where("d <= 20").groupBy("id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "fid")).alias("b")).collect()}
     assert {k: v for k, v in have.items() if v[0] is not None} == {k: (b.fid, b.d) for k, b in want.items()}
+
+
+def test_units_are_gathered_by_their_rows_and_sent_by_blocks(spark, monkeypatch):
+    """What a task gathers does not hang on the session's partitions; a unit of all members is sent once for each block, not once for each member."""
+    monkeypatch.setattr(ensembles, "TASK_ROWS", 100, raising=False)
+    rng, stored, moved = random.Random(15), [], []
+    kept, dealt = ensembles.settled, ensembles._dealt
+    monkeypatch.setattr(ensembles, "settled", lambda df: stored.append(kept(df)) or stored[-1])
+    monkeypatch.setattr(ensembles, "_dealt", lambda sent, *a: moved.append(sent) or dealt(sent, *a))
+    held = {m: {0, *rng.sample(range(1, 200), 4), *([900] if m < 30 else [])} for m in range(400)}
+    rows = [("a", m, u, 1 + u % 3) for m, us in held.items() for u in us] + [("b", m, 0, 2) for m in range(3)] + [(None, 1, 0, 2), (None, 2, 0, 2), ("b", 1, 0, 5)]
+    got = ensembles.shared_units(spark.createDataFrame(rows, "g string, m long, u long, w long"), ["g"], "m", "u", "w", block=8)
+    lists = next(df for df in stored if "ms" in df.columns)
+    assert lists.rdd.getNumPartitions() >= len(rows) // 100 > 4
+    sparse = sum(n * (n - 1) for n in (sum(u in us for us in held.values()) for u in [*range(1, 200), 900]))
+    ids = moved[0].select(*[F.sum(F.size(c)) for c in ("xs", "ys")]).first()
+    assert sum(ids) <= sparse + 2 * 400 * 21 < 400 * 399 // 2
+    want = {("a", a, b): (len(both), float(sum(1 + u % 3 for u in both))) for a in held for b in held if a < b for both in (held[a] & held[b],)}
+    assert {(r.g, r.a, r.b): (r.shared, r.weight) for r in got.collect()} == want | {("b", a, b): (1, 5.0) for a, b in ((0, 1), (0, 2), (1, 2))}
