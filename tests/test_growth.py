@@ -266,3 +266,29 @@ def test_units_are_gathered_by_their_rows_and_sent_by_blocks(spark, monkeypatch)
     assert sum(ids) <= sparse + 2 * 400 * 21 < 400 * 399 // 2
     want = {("a", a, b): (len(both), float(sum(1 + u % 3 for u in both))) for a in held for b in held if a < b for both in (held[a] & held[b],)}
     assert {(r.g, r.a, r.b): (r.shared, r.weight) for r in got.collect()} == want | {("b", a, b): (1, 5.0) for a, b in ((0, 1), (0, 2), (1, 2))}
+
+
+def test_no_fact_is_joined_to_pairs(spark, monkeypatch):
+    """Each pair's facts come with its two blocks; blocks and lone pairs say the same as one block."""
+    rng = random.Random(16)
+    maybe = lambda v: None if rng.random() < 0.2 else v
+    members = [("ab"[m % 9 == 0], m, maybe(f"c{m // 2}" if m < 20 else f"c{m}"), maybe([f"base{m % 5}"] if m % 3 else []), maybe(m % 4), maybe(m % 7), maybe("kl"[m % 2])) for m in range(90)]
+    units = [(g, m, u, float(u % 3)) for g, m, *_ in members if m % 11 for u in [0, *rng.sample(range(1, 30), 3)]] + [("a", 500, 0, 0.0), (None, 1, 0, 1.0)]
+    m = spark.createDataFrame(members, "g string, m long, checkpoint string, parents array<string>, init_seed int, order_seed int, config string")
+    u = spark.createDataFrame(units, "g string, m long, u long, w double")
+    one = ensembles.independence(m, u, ["g"], "m", "u", "w", 0.3)
+    above = plan(one).split("explode(ys")[0]
+    assert "Join" not in above and "Exchange" not in above
+    whole = sorted(one.collect())
+    monkeypatch.setattr(ensembles, "BLOCK", 8)
+    monkeypatch.setattr(ensembles, "FEW", 3)
+    assert sorted(ensembles.independence(m, u, ["g"], "m", "u", "w", 0.3).collect()) == whole
+    by = {r.m: r for r in m.collect()}
+    held = {r[0]: {x[2] for x in units if x[:2] == (by[r[0]].g, r[0])} for r in ((k,) for k in by)}
+    assert len(whole) == sum(by[a].g == by[b].g for a in by for b in by if a < b)
+    for r in whole:
+        a, b, both = by[r.a], by[r.b], held[r.a] & held[r.b]
+        assert r.shared == len(both) and r.identical == (a.checkpoint is not None and a.checkpoint == b.checkpoint)
+        assert r.order == ("unknown" if None in (a.order_seed, b.order_seed) else "shared" if a.order_seed == b.order_seed else "distinct")
+        least = min(sum(x % 3 for x in held[k]) for k in (r.a, r.b))
+        assert (r.overlap is None) == (not held[r.a] or not held[r.b] or not least) and (r.overlap is None or r.overlap == pytest.approx(sum(x % 3 for x in both) / least))
