@@ -414,15 +414,39 @@ def pitch(cells: DataFrame) -> DataFrame:
     return cells.withColumn("pitch", F.col("r") - F.lag("r").over(w)).withColumn("step", F.col("w") - F.lag("w").over(w)).withColumn("in_order", F.col("step") > 0)
 
 
+def _quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q): exact interpolated percentiles of a value from 0 upwards, in the order of shares; no row where a group has no value. Values are counted by 64ths of an octave first, so that only those in the ranges asked for are put in order."""
+    v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    v = settled(v.withColumn("at", F.when(F.col("v") > 0, F.floor(F.log2("v") * 64).cast("int"))))
+    upto = lambda *order: Window.partitionBy(*keys, *order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = v.groupBy(*keys, "at").agg(F.sum("n").alias("n"))
+    ranges = ranges.withColumn("upto", F.sum("n").over(upto(F.asc_nulls_first("at")))).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    asked = ranges.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("place", (F.col("total") - 1) * F.col("share"))
+    # the two values that a place lies between, each as so many values before it
+    asked = asked.select(*keys, "at", "share", "place", (F.col("upto") - F.col("n")).alias("before"), "upto", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("want"))
+    asked = settled(asked.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("upto"))).distinct())
+    same = reduce(and_, [F.col(f"v.{k}").eqNullSafe(F.col(f"a.{k}")) for k in (*keys, "at")])
+    some = v.alias("v").join(F.broadcast(asked.select(*keys, "at", "before").distinct()).alias("a"), same).select("v.*", "a.before")
+    some = some.withColumn("upto", F.col("before") + F.sum("n").over(upto("at", "v")))
+    same = reduce(and_, [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in (*keys, "at")] + [F.col("s.upto") - F.col("s.n") <= F.col("a.want"), F.col("a.want") < F.col("s.upto")])
+    ends = some.alias("s").join(F.broadcast(asked).alias("a"), same).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], "a.share", "a.place").agg(F.min("s.v").alias("low"), F.max("s.v").alias("high"))
+    part = F.col("place") - F.floor("place")
+    met = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))
+    one = ends.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("share", met))).alias("q"))
+    return one.select(*keys, F.array(*[F.try_element_at("q", F.lit(p)) for p in shares]).alias("q"))
+
+
 def surface_recovery(truth: DataFrame, found: DataFrame, keys: list[str], axes: list[str], tolerance: float, reach: float, component: str) -> DataFrame:
     """Share of each side within ``tolerance`` of the other (recall, precision) and the smaller share; p50, p95 and maximum of the distances within ``reach`` and how many have none, each way; the share of truth's components that are met at all, and the least share of one."""
     def distances(a: DataFrame, b: DataFrame) -> DataFrame:
-        return nearest(a, b.withColumnRenamed("id", "other"), keys, axes, "id", "other", reach, reach).withColumn("near", F.coalesce(F.col("d") <= tolerance, F.lit(False)).cast("double"))
+        d = nearest(a, b.withColumnRenamed("id", "other"), keys, axes, "id", "other", reach, reach).drop("other")
+        return settled(d.withColumn("near", F.coalesce(F.col("d") <= tolerance, F.lit(False)).cast("double")))
 
     def summed(d: DataFrame, share: str, name: str) -> DataFrame:
-        q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.95), F.lit(1.0)))
-        out = d.groupBy(*keys).agg(F.avg("near").alias(share), q.alias("q"), F.count_if(F.col("d").isNull()).alias(f"{name}_beyond"))
-        return out.select(*keys, share, *[F.col("q")[k].alias(f"{name}_{c}") for k, c in enumerate(("p50", "p95", "max"))], f"{name}_beyond")
+        out = d.groupBy(*keys).agg(F.avg("near").alias(share), F.count_if(F.col("d").isNull()).alias(f"{name}_beyond")).alias("o")
+        q = _quantiles(d, keys, "d", [0.5, 0.95, 1.0]).alias("q")
+        out = out.join(q, reduce(and_, [F.col(f"o.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]), "left")
+        return out.select(*[f"o.{k}" for k in keys], share, *[F.col("q.q")[k].alias(f"{name}_{c}") for k, c in enumerate(("p50", "p95", "max"))], f"{name}_beyond")
 
     there = distances(truth, found)
     parts = there.join(truth.select(*keys, "id", component), [*keys, "id"]).groupBy(*keys, component).agg(F.avg("near").alias("covered"))

@@ -292,3 +292,20 @@ def test_no_fact_is_joined_to_pairs(spark, monkeypatch):
         assert r.order == ("unknown" if None in (a.order_seed, b.order_seed) else "shared" if a.order_seed == b.order_seed else "distinct")
         least = min(sum(x % 3 for x in held[k]) for k in (r.a, r.b))
         assert (r.overlap is None) == (not held[r.a] or not held[r.b] or not least) and (r.overlap is None or r.overlap == pytest.approx(sum(x % 3 for x in both) / least))
+
+
+def test_percentiles_of_a_frame_are_not_one_tasks(spark, monkeypatch):
+    """Distances are measured once for each side, and a frame's percentiles gather no map of its values."""
+    rng, calls = random.Random(17), []
+    kept = spatial.nearest
+    monkeypatch.setattr(spatial, "nearest", lambda *a: calls.append(kept(*a)) or calls[-1])
+    rows = [("ab"[k % 3 == 0], k, rng.gauss(0, 4), rng.gauss(0, 4), k % 5) for k in range(240)] + [("c", 900, 0.0, 0.0, 1), ("c", 901, 50.0, 0.0, 1)]
+    p = spark.createDataFrame(rows, "frame string, id long, x double, y double, w int")
+    got = spatial.surface_recovery(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["frame"], ["x", "y"], 0.5, 2.0, "w")
+    assert "percentile" not in plan(got) and len(calls) == 2
+    have = {r.frame: r for r in got.collect()}
+    for name, d in zip(("truth", "found"), calls, strict=True):
+        for r in d.groupBy("frame").agg(F.percentile("d", F.array(*map(F.lit, (0.5, 0.95, 1.0)))).alias("q"), F.count_if(F.col("d").isNull()).alias("beyond")).collect():
+            q = [have[r.frame][f"{name}_{c}"] for c in ("p50", "p95", "max")]
+            assert have[r.frame][f"{name}_beyond"] == r.beyond and q == (pytest.approx(r.q, abs=1e-12) if r.q else [None] * 3)
+    assert set(have) == {"a", "b", "c"} and have["c"].truth_p50 is None
