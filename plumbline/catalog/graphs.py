@@ -144,7 +144,7 @@ def g06_solved_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g07_solved_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of what the solved values leave: the SQL knows how far each reading was put off, which the solver has to find out."""
     r = _readings(spark, sf_dir)
-    values = op.settled(trees.solved(r, "i", "j", "d", anchor="p1"))
+    values = op.settled(trees.solved(r, "i", "j", "d", anchor="p1", pinned=False))
     return trees.residual_summary(trees.constraint_residuals(r, "i", "j", "d", values), values, tie="p1", prefix="s")
 
 

@@ -92,14 +92,16 @@ def merged_constraints(constraints: DataFrame, i: str, j: str, d: str, weight: C
     return global_rank(one.withColumn("__w", -F.col("w")), ["__w", "i", "j"], "eid").drop("__w")
 
 
-def solved(constraints: DataFrame, i: str, j: str, d: str, anchor: str | None = None, rounds: int = 1000) -> DataFrame:
+def solved(constraints: DataFrame, i: str, j: str, d: str, anchor: str | None = None, rounds: int = 1000, pinned: bool = True) -> DataFrame:
     """(node, root, val, anchored): values with val[j] - val[i] = d where the constraints agree.
 
     They start from the potentials of the forest of greatest support; then each node moves to the value
     that most of its constraints imply (a value among the winners stays, else the smallest), the nodes of
     ``i`` and those of ``j`` taking turns, until nothing moves. One node of each component is the anchor
     and stays at 0: ``anchor`` where it is in it, else the smallest. No node may be on both sides: then
-    every turn adds support, and the turns end.
+    every turn adds support, and the turns end. An anchor that the forest hangs from a wrong constraint
+    never leaves it while it is ``pinned``; else it moves as the others do, and all of its component are
+    shifted in the end so that it is at 0.
     """
     rows = stored(constraints.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(d).cast("long").alias("d")))
     if not rows.select(F.col("i").alias("n")).distinct().join(rows.select(F.col("j").alias("n")).distinct(), "n", "left_semi").isEmpty():
@@ -124,11 +126,14 @@ def solved(constraints: DataFrame, i: str, j: str, d: str, anchor: str | None =
             best = votes.groupBy("n").agg(F.max("k").alias("most"), F.min_by("implied", F.struct(-F.col("k"), F.col("implied"))).alias("least"))
             mine = votes.select("n", F.col("implied").alias("val"), "k")
             here = now.join(best, now["node"] == best["n"], "left").drop("n").join(mine.withColumnRenamed("n", "node"), ["node", "val"], "left")
-            stays = F.col("anchored") | F.col("most").isNull() | (F.coalesce("k", F.lit(-1)) == F.col("most"))
+            stays = (F.lit(pinned) & F.col("anchored")) | F.col("most").isNull() | (F.coalesce("k", F.lit(-1)) == F.col("most"))
             new = stored(here.select("node", "root", F.when(stays, F.col("val")).otherwise(F.col("least")).alias("val"), "anchored", (~stays & (F.col("val") != F.col("least"))).alias("moved")))
             moved += new.where("moved").count()
             now = new.drop("moved")
         if not moved:
+            if not pinned:
+                base = now.where("anchored").select("root", F.col("val").alias("base"))
+                now = now.join(base, "root").withColumn("val", F.col("val") - F.col("base"))
             if names is not None:
                 for c in ("node", "root"):
                     now = now.withColumnRenamed(c, "id").join(names.withColumnRenamed("node", c), "id").drop("id")

@@ -309,3 +309,13 @@ def test_percentiles_of_a_frame_are_not_one_tasks(spark, monkeypatch):
             q = [have[r.frame][f"{name}_{c}"] for c in ("p50", "p95", "max")]
             assert have[r.frame][f"{name}_beyond"] == r.beyond and q == (pytest.approx(r.q, abs=1e-12) if r.q else [None] * 3)
     assert set(have) == {"a", "b", "c"} and have["c"].truth_p50 is None
+
+
+def test_anchor_hung_from_wrong_readings_is_corrected(spark, tmp_path):
+    """The heaviest pair hangs p1 from s0 by readings that are one off; the others outvote them, though p1 is what all values are told from."""
+    rows = [(s, p, 1, 10.0) for s in range(4) for p in range(6) for _ in range(2) if (s, p) != (0, 1)] + [(0, 1, 7, 10.0)] * 3 + [(2, 4, 1, 50.0)]
+    have, want = sides(spark, tmp_path, "g07_solved_residuals", "lineitem", rows, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double")
+    assert have == want and have[0][:4] == (50, 46, 3, 1)
+    readings = spark.createDataFrame([(f"s{s}", f"p{p}", p - s + (n == 7)) for s, p, n, _ in rows], "i string, j string, d long")
+    got = {r.node: (r.val, r.anchored) for r in trees.solved(readings, "i", "j", "d", "p1", pinned=False).collect()}
+    assert got["p1"] == (0, True) and got["s0"] == (-1, False) and got["p5"] == (4, False)
