@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 from plumbline import catalog
-from plumbline.operators import ensembles, graphs, sampling, spatial, surfaces, trees, vectors
+from plumbline.operators import ensembles, graphs, rules, sampling, spatial, surfaces, trees, vectors
 from plumbline.sources import files
 from pyspark.sql import functions as F
 
@@ -319,3 +319,22 @@ def test_anchor_hung_from_wrong_readings_is_corrected(spark, tmp_path):
     readings = spark.createDataFrame([(f"s{s}", f"p{p}", p - s + (n == 7)) for s, p, n, _ in rows], "i string, j string, d long")
     got = {r.node: (r.val, r.anchored) for r in trees.solved(readings, "i", "j", "d", "p1", pinned=False).collect()}
     assert got["p1"] == (0, True) and got["s0"] == (-1, False) and got["p5"] == (4, False)
+
+
+def test_units_of_neighbours_move_once(spark, monkeypatch):
+    """Copies of an ensemble with shifted members and units: what moves follows the copies, and pairs are neither moved nor met by a loop."""
+    monkeypatch.setattr(ensembles, "BLOCK", 8)
+    rng, moved = random.Random(18), []
+    dealt = ensembles._dealt
+    monkeypatch.setattr(ensembles, "_dealt", lambda sent, *a: moved.append(sent) or dealt(sent, *a))
+    held = {40 * c + m: {1000 * c + u for u in us} for m in range(40) for us in (rng.sample(range(60), 20),) for c in range(12)}
+    held |= {900: {77777}, 901: {88888, 3}, 902: {88888}}
+    rows = [(m, u) for m, us in held.items() for u in us] + [(0, u) for u in held[0]] + [(None, 3), (5, None)]
+    rng.shuffle(rows)
+    got = rules.overlap_audit(spark.createDataFrame(rows, "m long, u long"), "m", "u")
+    assert not re.search("NestedLoop|Cartesian|SortMergeJoin", plan(got)) and "Exchange" not in plan(got).split("explode(ys")[0].replace("BroadcastExchange", "")
+    want = {(a, b): (len(both), len(both) / min(len(x), len(y)), len(both) / len(x | y)) for a, x in held.items() for b, y in held.items() if a < b for both in (x & y,) if both}
+    have = got.collect()
+    assert len(have) == len(want) and {(r.a, r.b): (r.common, r.overlap, r.jaccard) for r in have} == want
+    ids, lists = moved[0].select(F.sum(F.size("xs") + F.size("ys")), F.count("*")).first()
+    assert lists < sum(map(len, held.values())) and ids < sum(c for c, *_ in want.values())
