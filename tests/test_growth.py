@@ -338,3 +338,26 @@ def test_units_of_neighbours_move_once(spark, monkeypatch):
     assert len(have) == len(want) and {(r.a, r.b): (r.common, r.overlap, r.jaccard) for r in have} == want
     ids, lists = moved[0].select(F.sum(F.size("xs") + F.size("ys")), F.count("*")).first()
     assert lists < sum(map(len, held.values())) and ids < sum(c for c, *_ in want.values())
+
+
+def test_lists_of_points_meet_lists_of_boxes(spark, monkeypatch):
+    """What moves for the pairs are two ids for each LIST of them, and what is written on the way follows the input."""
+    monkeypatch.setattr(spatial, "LIST", 16)
+    monkeypatch.setattr(spatial, "TASK_ROWS", 500)
+    boxes = spark.range(240).selectExpr("id AS box", "0 AS x0", "3 AS x1", "0 AS y0", "4 AS y1")
+    points = spark.range(300).selectExpr("id AS point", "1.0D + id / 1000 AS x", "2.0D AS y")
+    moved = []
+    kept = spatial._spelt
+    monkeypatch.setattr(spatial, "_spelt", lambda met, *a: moved.append(met) or kept(met, *a))
+    got = spatial.points_in_boxes(points, boxes, ["x", "y"], "point", "box", 0.5, 5.0)
+    assert got.count() == got.distinct().count() == 300 * 240 and moved[0].rdd.getNumPartitions() == 144
+    assert moved[0].select(F.sum(F.size("__ids_p") + F.size("__ids_b"))).first()[0] < 300 * 240 / 4
+
+
+def test_rows_that_make_pairs_are_short(spark, monkeypatch):
+    """All that one row makes is held before it goes on: no row makes more than SPELT x SPELT pairs, and NULL ids are kept."""
+    df = spark.createDataFrame([("u", [*range(70)], [None, *range(100)]), ("v", [1], [2])], "v string, a array<long>, b array<long>")
+    got = spatial._spelt(df, ["v"], "a", "b")
+    want = [("u", p, q) for p in range(70) for q in (None, *range(100))] + [("v", 1, 2)]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert plan(got).count("Generate") == 4 and plan(got).count("slice(") >= 2
