@@ -98,11 +98,12 @@ def x02_pluggable_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x04_solver_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The solvers by name on the same graph: the share of edges that each leaves without residual."""
     from plumbline.catalog.graphs import _start
-    from plumbline.operators.graphs import residuals
+    from plumbline.operators.graphs import numbered, residuals, stored
 
-    e, v = _start(spark, sf_dir)
-    numbered = e.withColumn("eid", F.xxhash64("i", "j"))
-    solved = {"bfs": callables.SOLVERS["bfs"](numbered), "mode": callables.SOLVERS["mode"](e, v)}
+    # nodes are numbers in the nodes' order, given once for both solvers; the eids stay those of the names
+    e = stored(numbered(_start(spark, sf_dir)[0].withColumn("eid", F.xxhash64("i", "j")), ["i", "j"])[0])
+    v = e.select(F.explode(F.array("i", "j")).alias("node")).distinct().select("node", F.lit(0).cast("long").alias("val"))
+    solved = {"bfs": callables.SOLVERS["bfs"](e), "mode": callables.SOLVERS["mode"](e, v)}
     out = [residuals(e, s).agg(F.lit(n).alias("solver"), F.avg((F.col("residual") == 0).cast("double")).alias("exact")) for n, s in solved.items()]
     return out[0].unionByName(out[1])
 

@@ -361,3 +361,30 @@ def test_rows_that_make_pairs_are_short(spark, monkeypatch):
     want = [("u", p, q) for p in range(70) for q in (None, *range(100))] + [("v", 1, 2)]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert plan(got).count("Generate") == 4 and plan(got).count("slice(") >= 2
+
+
+def test_edges_are_made_once_for_all_turns(spark):
+    """Turns read the edges as a table, and move as loops do: a winner stays, else the least of the winners."""
+    rng, calls = random.Random(19), spark.sparkContext.accumulator(0)
+    rows = [(f"a{rng.randrange(12)}", f"b{rng.randrange(15)}", rng.randint(-3, 3), rng.choice([1, 1, 2])) for _ in range(150)]
+    told = F.udf(lambda d: calls.add(1) or d, "long")
+    edges = spark.createDataFrame(rows, "i string, j string, d long, w long").withColumn("d", told("d"))
+    val = {n: rng.randint(-2, 2) for r in rows for n in r[:2]} | {"alone": 7}
+    got = graphs.mode_refined(edges, spark.createDataFrame([*val.items()], "node string, val long"))
+    have, turns = {r.node: r.val for r in got.collect()}, 0
+    while True:
+        before, turns = dict(val), turns + 1
+        for side in (0, 1):
+            new = dict(val)
+            for n in val:
+                votes = {}
+                for r in rows:
+                    if r[side] == n:
+                        x = val[r[1 - side]] + (r[2] if side else -r[2])
+                        votes[x] = votes.get(x, 0) + r[3]
+                most = [x for x, k in votes.items() if k == max(votes.values())]
+                new[n] = val[n] if not most or val[n] in most else min(most)
+            val = new
+        if val == before:
+            break
+    assert have == val and turns > 1 and calls.value == len(rows)
