@@ -23,9 +23,11 @@ SLACK = 1e-5
 
 def unit(vector: str) -> Column:
     """The vector as doubles of length one; NULL if it is NULL, zero, or holds NULL or what is not finite."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when((length > 0) & (length < float("inf")), F.transform(x, lambda v: v / length))
+    # an expression inside a lambda is made anew for every number, so the length is bound first, as the one item of an array
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    over = lambda x: bound(length(x), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(x, lambda v: v / n)))
+    return bound(F.transform(vector, lambda v: v.cast("double")), over)
 
 
 def _type(df: DataFrame, column: str) -> str:

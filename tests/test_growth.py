@@ -388,3 +388,14 @@ def test_edges_are_made_once_for_all_turns(spark):
         if val == before:
             break
     assert have == val and turns > 1 and calls.value == len(rows)
+
+
+def test_a_vector_is_measured_once(spark):
+    """Its length is not made anew for each of its numbers; what has no direction is NULL."""
+    rows = [[3.0, 4.0], [0.0, 0.0], [1.0, None], [float("inf"), 1.0], [float("nan"), 1.0], None]
+    got = spark.createDataFrame([(x,) for x in rows], "x array<double>").select(vectors.unit("x").alias("u")).collect()
+    assert [r.u for r in got] == [[0.6, 0.8], *[None] * 5]
+    one = spark.createDataFrame([([1.0] * 64,)], "x array<double>").select(vectors.unit("x").alias("u"))
+    inner = plan(one).split("transform(array(")
+    assert len(inner) == 3 and all("sqrt" not in part.rsplit(" / ", 1)[-1].split(",")[0] for part in inner)
+    assert one.first().u == [0.125] * 64
